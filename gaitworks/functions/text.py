@@ -87,14 +87,14 @@ def fixed_point(value: Column, digits: int) -> Column:
 def format_size(size: Column) -> Column:
     """Bytes as text, divided by 1024 until below it; PB has no upper end."""
     size = size.cast("double")
-    out = None
-    for power, unit in enumerate(("B", "KB", "MB", "GB", "TB")):
-        scaled = size / F.lit(float(1024**power))
-        text = F.concat(fixed_point(scaled, 2), F.lit(f" {unit}"))
-        # NaN sorts above everything in Spark, so it falls through to PB as intended
-        out = F.when(scaled < 1024.0, text) if out is None else out.when(scaled < 1024.0, text)
-    petabytes = fixed_point(size / F.lit(float(1024**5)), 2)
-    return F.when(size.isNotNull(), out.otherwise(F.concat(petabytes, F.lit(" PB"))))
+    scaled, unit = None, None
+    for power, name in enumerate(("B", "KB", "MB", "GB", "TB")):
+        fits, value = size < float(1024 ** (power + 1)), size / float(1024**power)
+        scaled = F.when(fits, value) if scaled is None else scaled.when(fits, value)
+        unit = F.when(fits, F.lit(f" {name}")) if unit is None else unit.when(fits, F.lit(f" {name}"))
+    # NaN is above everything in Spark and so falls through to PB, as it should
+    scaled, unit = scaled.otherwise(size / float(1024**5)), unit.otherwise(F.lit(" PB"))
+    return F.concat(fixed_point(scaled, 2), unit)
 
 
 def format_duration(seconds: Column) -> Column:

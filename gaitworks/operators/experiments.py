@@ -63,7 +63,7 @@ def one_by_id(experiments: DataFrame, experiment_id: int) -> DataFrame:
 
 def by_name_first(table: DataFrame, position: str = "position", scope: Sequence[str] = ()) -> DataFrame:
     """The first row of each name (within the scope columns) in source order."""
-    columns = [name for name in table.columns if name not in ("name", *scope)]
+    columns = [name for name in table.columns if name not in ("name", position, *scope)]
     first = F.min_by(F.struct(*columns), position).alias("_first")
     return table.groupBy(*scope, "name").agg(first).select(*scope, "name", "_first.*")
 

@@ -22,13 +22,19 @@ FRAME, PLACE, BLOCK = "_frame", "_place", "_block"
 
 
 def with_frame(
-    samples: DataFrame, back: int, ahead: int, value: str = "state", block_rows: int = BLOCK_ROWS
+    samples: DataFrame,
+    back: int,
+    ahead: int,
+    value: str = "state",
+    block_rows: int = BLOCK_ROWS,
+    in_order: bool = False,
 ) -> DataFrame:
     """Adds the values of rows t-back..t+ahead (as far as the file goes) and row t's place among them.
 
     Needs dense ``sample_idx`` from 0 within ``file_idx`` and no null value.
     Copies carry only the keys and the value, so wide columns such as actions
-    are shuffled once.
+    are shuffled once. ``in_order`` has that shuffle go by range, which leaves
+    the rows in file and sample order over all partitions.
     """
     index = F.col("sample_idx")
     home = F.floor(index / block_rows)
@@ -39,6 +45,8 @@ def with_frame(
     keys = ("file_idx", "sample_idx", value)
     rest = [F.when(at_home, F.col(name)).alias(name) for name in samples.columns if name not in keys]
     lean = spread.select(*keys, BLOCK, *rest)
+    if in_order:
+        lean = lean.repartitionByRange("file_idx", BLOCK)
     within = Window.partitionBy("file_idx", BLOCK).orderBy("sample_idx")
     framed = lean.select(
         "*",
@@ -72,6 +80,7 @@ def derive(
     spec: RolloutSpec = RolloutSpec(),
     features: Sequence[str] = FEATURES,
     block_rows: int = BLOCK_ROWS,
+    in_order: bool = False,
 ) -> DataFrame:
     """The chosen features beside the trimmed state (and action, where there is one).
 
@@ -88,10 +97,12 @@ def derive(
         action = [arrays.trim_action(whole, spec.horizon_steps, spec.action_dim).alias("action")]
     trimmed = samples.select(*columns, *action, state)
 
-    back = spec.cond_steps - 1 if {"state_hist", "cmd_hist"} & set(features) else 0
-    ahead = spec.horizon_steps if "state_delta" in features else 0
-    if back or ahead or {"state_hist", "cmd_hist"} & set(features):
-        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows)
+    looks_back = bool({"state_hist", "cmd_hist"} & set(features))
+    looks_ahead = "state_delta" in features
+    back = spec.cond_steps - 1 if looks_back else 0
+    ahead = spec.horizon_steps if looks_ahead else 0
+    if looks_back or looks_ahead:
+        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, in_order=in_order)
 
     def commands(frames: Column) -> Column:
         return F.transform(frames, lambda row: arrays.command(row, spec.cmd_dim))

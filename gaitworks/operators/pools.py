@@ -94,6 +94,17 @@ def best_pool(
     return rank_pools(pools, avoided, max(required_slots, min_free_slots), prefer, max_pools=1)
 
 
+def list_pools(
+    pools: DataFrame,
+    available_only: bool = False,
+    min_free_slots: int = 0,
+    prefer: Sequence[str] = (),
+    avoided: DataFrame | Sequence[str] = (),
+) -> DataFrame:
+    """The report's pools: ranked and filtered when only available ones are asked for, else all as they are."""
+    return rank_pools(pools, avoided, min_free_slots, prefer) if available_only else pools
+
+
 def pool_report(pools: DataFrame) -> DataFrame:
     line = pool_report_line(
         F.col("name"), F.col("available_slots"), F.col("total_slots"), F.col("utilization_rate")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gaitworks.operators import checks
 from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive
 from gaitworks.operators.indexing import cap_samples, file_ranges
-from gaitworks.session import materialized
 from gaitworks.sources import datasets, recordings
 from gaitworks.spec import RolloutSpec
 
@@ -30,11 +29,12 @@ def consolidate(
 ) -> datasets.Dataset:
     """All recordings in one dataset, with the optional fields that all of them share.
 
-    Headers are read once and checkpointed; every check and the schema come
-    from them, then each array is read once.
+    Headers are read once; every check and the schema come
+    from them. Then each array is read once and written as read, without a
+    shuffle of the samples.
     """
     required = [traj, state]
-    profiled = materialized(recordings.profile(files))
+    profiled = recordings.profile(files)
     checks.raise_if_any(checks.require_fields(profiled, required), "missing fields", ["file_idx", "field"])
     judged = {row["field"]: row for row in checks.common_fields(profiled, [*required, *optional]).collect()}
     for name in required:
@@ -50,7 +50,9 @@ def consolidate(
     samples = recordings.read_recordings(profiled, fields)
     counted = recordings.files_table(profiled, traj)
     meta = {f"{name}_shape": str(tuple(judged[name]["shape"])) for name in required}
-    return datasets.write_consolidated(samples, counted, path, meta, compression=compression, level=level)
+    return datasets.write_consolidated(
+        samples, counted, path, meta, compression=compression, level=level, in_order=True
+    )
 
 
 def rebuild_from_recordings(
@@ -67,10 +69,11 @@ def rebuild_from_recordings(
 ) -> datasets.Dataset:
     """Recordings to a derived dataset, one shard folder per recording.
 
-    Fields are trimmed in the decoder. One shuffle brings each block of a
-    recording together for the windows; a second one sorts rows into shards.
+    Fields are trimmed in the decoder. The one shuffle brings each block of a
+    recording together for the windows, and the blocks are written as they
+    lie, so a shard folder has at most one part per block.
     """
-    profiled = materialized(recordings.profile(files))
+    profiled = recordings.profile(files)
     checks.raise_if_any(checks.require_fields(profiled, [state, action]), "missing fields", ["file_idx", "field"])
     checks.raise_if_any(checks.check_dims(profiled, spec, state, action), "unusable recordings", ["file_idx", "problem"])
     trim = {state: (spec.state_dim,), action: (spec.horizon_steps, spec.action_dim)}
@@ -79,7 +82,7 @@ def rebuild_from_recordings(
     derived = derive(samples, spec, features, block_rows)
     counted = recordings.files_table(profiled, state)
     meta = {"schema": "derived_shards", **spec.meta()}
-    return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level)
+    return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level, part_rows=None)
 
 
 def rebuild_from_dataset(
@@ -93,17 +96,23 @@ def rebuild_from_dataset(
     level: int | None = 1,
     block_rows: int = BLOCK_ROWS,
 ) -> datasets.Dataset:
-    """A consolidated dataset to a derived one; the cap counts rows over all files and comes first."""
+    """A consolidated dataset to a derived one; the cap counts rows over all files and comes first.
+
+    The one shuffle of the samples goes by range of file and block, so that
+    the derived rows, several times as wide, are written in order without another.
+    """
     read = datasets.read_dataset(spark, source)
     total = read.files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
     kept = file_ranges(read.files.drop("num_samples"), total, max_samples)
     if kept.isEmpty():
         raise ValueError("no samples are left after the cap")
     samples = cap_samples(read.samples.select("file_idx", "sample_idx", "state", "action"), read.files, max_samples)
-    derived = derive(samples, spec, features, block_rows)
+    derived = derive(samples, spec, features, block_rows, in_order=True)
     files = kept.select(
         "file_idx", *[name for name in ("name", "path") if name in read.files.columns], "num_samples",
         F.col("out_offset").alias("file_offset"),
     )
     meta = {"schema": "derived_dataset", "source_samples": total, "source_dataset": source, **spec.meta()}
-    return datasets.write_consolidated(derived, files, path, meta, compression=compression, level=level)
+    return datasets.write_consolidated(
+        derived, files, path, meta, compression=compression, level=level, in_order=True
+    )

@@ -67,17 +67,22 @@ def write_consolidated(
     compression: str = "none",
     level: int | None = None,
     verify: bool = True,
+    in_order: bool = False,
 ) -> Dataset:
     """All files in path order in one dataset.
 
     Rows are range-partitioned by file and position, so that a file of any
     size spreads over as many parts as it needs, and readers skip by footer
-    statistics. Row counts are compared with ``files`` after the write.
+    statistics. ``in_order`` says that the rows come so already, as the reader
+    of recordings and ``derive(in_order=True)`` give them; they are then
+    written without a shuffle. Row counts are compared with ``files`` after
+    the write.
     """
     spark = samples.sparkSession
     _prepare(path, overwrite)
-    ordered = samples.repartitionByRange("file_idx", "sample_idx").sortWithinPartitions("file_idx", "sample_idx")
-    ordered.write.mode("overwrite").options(**compression_options(compression, level)).parquet(f"{path}/{SAMPLES}")
+    if not in_order:
+        samples = samples.repartitionByRange("file_idx", "sample_idx").sortWithinPartitions("file_idx", "sample_idx")
+    samples.write.mode("overwrite").options(**compression_options(compression, level)).parquet(f"{path}/{SAMPLES}")
     return _finish(spark, files, path, meta or {}, verify)
 
 
@@ -104,21 +109,22 @@ def write_shards(
     overwrite: bool = True,
     compression: str = "gzip",
     level: int | None = 1,
-    part_rows: int = PART_ROWS,
+    part_rows: int | None = PART_ROWS,
     verify: bool = True,
 ) -> Dataset:
     """One folder per source file below ``samples``; ``files`` records it as ``shard_path``.
 
     A task gets whole runs of ``part_rows`` samples of a file rather than whole
-    files, so a huge file is written by many tasks.
+    files, so a huge file is written by many tasks. Without ``part_rows`` the
+    rows are written as they lie, for input that is in runs already.
     """
     spark = samples.sparkSession
     _prepare(path, overwrite)
-    run = F.floor(F.col("sample_idx") / part_rows)
+    if part_rows:
+        run = F.floor(F.col("sample_idx") / part_rows)
+        samples = samples.repartition("file_idx", run).sortWithinPartitions("file_idx", "sample_idx")
     (
-        samples.repartition("file_idx", run)
-        .sortWithinPartitions("file_idx", "sample_idx")
-        .write.mode("overwrite")
+        samples.write.mode("overwrite")
         .partitionBy("file_idx")
         .options(**compression_options(compression, level))
         .parquet(f"{path}/{SAMPLES}")

@@ -20,8 +20,9 @@ def is_packaged(path: Column) -> Column:
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """``path, content`` of the packaged files, the binary content as base64 text."""
-    return files.where(is_packaged(F.col("path"))).select("path", F.base64("content").alias("content"))
+    """``path, content`` of the packaged files, the binary content as base64 text on one line."""
+    content = F.translate(F.base64("content"), "\r\n", "")
+    return files.where(is_packaged(F.col("path"))).select("path", content.alias("content"))
 
 
 def walk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:

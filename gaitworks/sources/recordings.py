@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitworks.functions.text import path_name
-from gaitworks.operators.indexing import cap_files, global_index
+from gaitworks.operators.indexing import cap_files, global_index, with_offsets
+from gaitworks.session import materialized
 from gaitworks.sources import storage
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
 # tasks of a read: enough for large clusters, few enough for one shuffle
 MAX_TASKS = 100_000
+# what opening a split costs, in bytes read
+OPEN_COST = 1 << 20
 
 PROFILE_SCHEMA = (
     "file_idx long, name string, path string, num_bytes long, "
@@ -88,7 +91,11 @@ def _header(member) -> tuple[tuple[int, ...], bool, np.dtype]:
 
 
 def profile(files: DataFrame, tasks: int | None = None) -> DataFrame:
-    """One row per file: its members' names, types and shapes, from the headers alone."""
+    """One row per file: its members' names, types and shapes, from the headers alone.
+
+    The result is checkpointed, so that the checks and the reader, which all
+    start from it, open each file's header once.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,9 +121,8 @@ def profile(files: DataFrame, tasks: int | None = None) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=_PROFILE_ARROW)
 
     tasks = tasks or files.sparkSession.sparkContext.defaultParallelism * 4
-    return (
-        files.select("file_idx", "name", "path").repartition(tasks, "file_idx").mapInArrow(read, PROFILE_SCHEMA)
-    )
+    named = files.select("file_idx", "name", "path").repartition(tasks, "file_idx")
+    return materialized(named.mapInArrow(read, PROFILE_SCHEMA))
 
 
 _PROFILE_ARROW = pa.schema(
@@ -161,8 +167,9 @@ def read_recordings(
     Only the named members are read; ``trim`` cuts a field's trailing axes
     before the values leave the decoder. The fields must be present in every
     file with one rank and with equal sample counts per file, which the
-    operators in ``checks`` find out; a reader that meets an absent field fails
-    and names the file.
+    operators in ``checks`` find out; otherwise this fails and names the file.
+    Partitions come in file and sample order, so a write needs no shuffle of
+    the samples.
     """
     fields, trim = list(fields), trim or {}
     described = profiled.select(
@@ -193,12 +200,18 @@ def read_recordings(
         ).alias("_seekable"),
     )
     uneven = F.exists("_firsts", lambda n: ~n.eqNullSafe(F.col("_n")))
+    step = F.when(
+        F.col("_seekable"), F.greatest(F.floor(F.lit(split_bytes) / F.greatest("_row_bytes", F.lit(1))), F.lit(1))
+    ).otherwise(F.greatest("_n", F.lit(1)))
+    measured = measured.withColumn("_step", step).withColumn(
+        "_cost", F.col("_n") * F.col("_row_bytes") + F.ceil(F.col("_n") / F.col("_step")) * OPEN_COST
+    )
     facts = measured.agg(
         F.min_by(F.struct("_absent", "path"), F.when(F.col("_absent").isNotNull(), F.col("file_idx"))).alias("absent"),
         F.min_by("path", F.when(F.col("_absent").isNull() & uneven, F.col("file_idx"))).alias("uneven"),
         F.collect_set(F.when(F.col("_absent").isNull(), F.col("_ranks"))).alias("ranks"),
-        F.sum(F.col("_n") * F.col("_row_bytes")).alias("bytes"),
-        F.count("*").alias("files"),
+        F.coalesce(F.sum("_cost"), F.lit(0)).alias("cost"),
+        F.coalesce(F.sum(F.ceil(F.col("_n") / F.col("_step"))), F.lit(0)).alias("splits"),
     ).first()
     if facts["absent"]:
         raise KeyError(f"missing field {facts['absent']['_absent']!r} in {facts['absent']['path']}")
@@ -210,26 +223,20 @@ def read_recordings(
     if 0 in ranks:
         raise ValueError(f"a field without sample axis: {dict(zip(fields, ranks))}")
 
-    step = F.greatest(F.floor(F.lit(split_bytes) / F.greatest("_row_bytes", F.lit(1))), F.lit(1))
-    starts = F.when(F.col("_seekable"), F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, step)).otherwise(
-        F.array(F.lit(0).cast("long"))
-    )
+    # each task gets a run of splits of about equal cost, in file and sample order
+    cores = profiled.sparkSession.sparkContext.defaultParallelism
+    pieces = math.ceil(facts["cost"] / split_bytes)
+    tasks = max(1, min(MAX_TASKS, facts["splits"], max(pieces, cores)))
+    share = max(1, math.ceil(facts["cost"] / tasks))
+    placed = with_offsets(measured.where(F.col("_n") > 0), value="_cost", name="_at")
     splits = (
-        measured.where(F.col("_n") > 0)
-        .select("file_idx", "path", F.explode(starts).alias("start"), "_seekable", step.alias("_step"), "_n")
-        .select(
-            "file_idx",
-            "path",
-            "start",
-            F.when(F.col("_seekable"), F.least(F.col("start") + F.col("_step"), F.col("_n")))
-            .otherwise(F.col("_n"))
-            .alias("end"),
+        placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.col("_step"))).alias("start"))
+        .withColumn("end", F.least(F.col("start") + F.col("_step"), F.col("_n")))
+        .withColumn(
+            "_at", F.col("_at") + F.col("start") * F.col("_row_bytes") + F.col("start") / F.col("_step") * OPEN_COST
         )
+        .select("file_idx", "path", "start", "end", F.floor(F.col("_at") / share).cast("int").alias("_task"))
     )
-    # a number given outright, as the splits table is far too small to be sized by its bytes
-    cores = splits.sparkSession.sparkContext.defaultParallelism
-    pieces = math.ceil((facts["bytes"] or 0) / split_bytes)
-    tasks = max(1, min(MAX_TASKS, max(pieces, min(facts["files"], cores * 4))))
 
     types = ["array<" * (rank - 1) + "float" + ">" * (rank - 1) for rank in ranks]
     schema = "file_idx long, sample_idx long, " + ", ".join(f"`{f}` {t}" for f, t in zip(fields, types))
@@ -240,7 +247,12 @@ def read_recordings(
             for split in batch.to_pylist():
                 yield from _decode(split, fields, cuts)
 
-    return splits.repartition(tasks, "file_idx", "start").mapInArrow(read, schema)
+    return (
+        splits.repartitionById(tasks, "_task")
+        .sortWithinPartitions("file_idx", "start")
+        .drop("_task")
+        .mapInArrow(read, schema)
+    )
 
 
 def _decode(split: dict, fields: list[str], cuts: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
