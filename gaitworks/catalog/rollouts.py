@@ -344,17 +344,19 @@ JOIN (SELECT *, {FLAG} AS flag FROM norms) n ON n.file_idx = w.file_idx AND n.sa
 def rollout_features(spark, folder):
     """All features of every sample, read back along a diagonal: step k at dim k."""
     rows = features.derive(states(spark, folder), SPEC)
-    k = F.col("k")
-    back = F.get(F.get("state_hist", F.lit(SPEC.cond_steps - 1) - k), F.lit(63) - k)
-    return rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SPEC.horizon_steps - 1)))).select(
-        "file_idx",
-        "sample_idx",
-        k.cast("long").alias("k"),
-        F.col("recovery_flag").cast("double").alias("recovery_flag"),
-        F.get(F.get("state_delta", k), k).cast("double").alias("ahead_delta"),
-        F.when(k < SPEC.cond_steps, back.cast("double")).alias("past_value"),
-        F.get("cmd", F.lit(57) - k).cast("double").alias("cmd_value"),
-    )
+
+    def cell(k):
+        back = F.get(F.get("state_hist", F.lit(SPEC.cond_steps - 1) - k), F.lit(63) - k)
+        return F.struct(
+            k.cast("long").alias("k"),
+            F.get(F.get("state_delta", k), k).cast("double").alias("ahead_delta"),
+            F.when(k < SPEC.cond_steps, back.cast("double")).alias("past_value"),
+            F.get("cmd", F.lit(57) - k).cast("double").alias("cmd_value"),
+        )
+
+    steps = F.array(*[cell(F.lit(k)) for k in range(SPEC.horizon_steps)])
+    flag = F.col("recovery_flag").cast("double").alias("recovery_flag")
+    return rows.select("file_idx", "sample_idx", flag, F.inline(steps))
 
 
 def _cells(spark: SparkSession, folder: str) -> DataFrame:

@@ -13,7 +13,6 @@ from gaitworks.session import broadcast_if_small, materialized
 
 BLOCK_ROWS = 1 << 20
 OFFSET_BLOCK = 1 << 16
-LOOKUP_BUCKET = 1 << 16
 
 
 def _as_long(df: DataFrame, name: str) -> Column:
@@ -220,23 +219,23 @@ def cap_samples(samples: DataFrame, files: DataFrame, max_samples: int | None) -
 
 
 def locate_samples(
-    rows: DataFrame, files: DataFrame, row: str = "global_row", bucket: int = LOOKUP_BUCKET
+    rows: DataFrame, files: DataFrame, row: str = "global_row", bucket: int | None = None
 ) -> DataFrame:
     """File and position of each global row: an interval look-up as an equi join.
 
-    Each file is listed once per bucket of global rows it touches, which makes
-    at most one entry per file plus one per bucket; as every entry covers at
-    least one row, a bucket has at most ``bucket`` entries.
+    Each file is listed once per bucket of global rows it touches. With the
+    mean file length as bucket that makes at most two entries per file on
+    average; and as every entry covers at least one row, a bucket never has
+    more entries than rows.
     """
-    spans = (
-        files.where(F.col("num_samples") > 0)
-        .select("file_idx", "file_offset", (F.col("file_offset") + F.col("num_samples")).alias("_end"))
-        .withColumn(
-            "_bucket",
-            F.explode(
-                F.sequence(F.floor(F.col("file_offset") / bucket), F.floor((F.col("_end") - 1) / bucket))
-            ),
-        )
+    filled = files.where(F.col("num_samples") > 0)
+    if bucket is None:
+        bucket = filled.agg(F.coalesce(F.ceil(F.avg("num_samples")), F.lit(1))).first()[0]
+    spans = filled.select(
+        "file_idx", "file_offset", (F.col("file_offset") + F.col("num_samples")).alias("_end")
+    ).withColumn(
+        "_bucket",
+        F.explode(F.sequence(F.floor(F.col("file_offset") / bucket), F.floor((F.col("_end") - 1) / bucket))),
     )
     inside = (F.col(row) >= F.col("file_offset")) & (F.col(row) < F.col("_end"))
     return (

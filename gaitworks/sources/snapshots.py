@@ -30,48 +30,59 @@ def _items(payloads: DataFrame, member: str, payload: str = "payload") -> DataFr
     return payloads.select("*", F.posexplode(array).alias("_n", "_item"))
 
 
-def _text(value: Column, member: str) -> Column:
-    """A string member; null when absent, null or of another kind."""
-    found = F.try_variant_get(value, f"$.{member}", "variant")
-    return F.when(kind(found) == "STRING", F.try_variant_get(value, f"$.{member}", "string"))
+def _members(item: Column, *names: str) -> Column:
+    """The named members of an object, each as a variant; null for anything else.
+
+    One walk through the object; an absent member is null, a JSON null is a variant.
+    """
+    fields = ", ".join(f"`{name}` variant" for name in names)
+    return F.try_variant_get(item, "$", f"struct<{fields}>")
+
+
+def _scalar(value: Column, type_: str) -> Column:
+    return F.try_variant_get(value, "$", type_)
 
 
 def _whole_number(value: Column) -> Column:
     """A JSON value as integer: numbers are cut, text must be an integer, true is 1; else null."""
-    text = F.try_variant_get(value, "$", "string")
+    text = _scalar(value, "string")
     return (
-        F.when(kind(value) == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")))
-        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("long"))
-        .when(
-            kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"),
-            F.try_variant_get(value, "$", "decimal(38,6)").try_cast("long"),
-        )
+        F.when(kind(value) == "BIGINT", _scalar(value, "long"))
+        .when(kind(value) == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")))
+        .when(kind(value) == "BOOLEAN", _scalar(value, "boolean").cast("long"))
+        .when(kind(value).isin("DECIMAL", "DOUBLE", "FLOAT"), _scalar(value, "double").try_cast("long"))
     )
 
 
 def experiments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Rows of ``{"experiments": [...]}``; entries without a readable id are dropped, an absent id is 0."""
-    item = F.col("_item")
-    id_value = F.try_variant_get(item, "$.id", "variant")
+    names = (
+        "id name state username resourcePool parentId progress startTime endTime description config numTrials"
+    ).split()
+    rows = (
+        _items(payloads, "experiments", payload)
+        .select(_members(F.col("_item"), *names).alias("_e"))
+        .where(F.col("_e").isNotNull())
+        .select("_e.*")
+    )
 
     def text_or(member: str, default: str) -> Column:
-        found = F.try_variant_get(item, f"$.{member}", "variant")
-        return F.when(found.isNull(), F.lit(default)).otherwise(F.try_variant_get(item, f"$.{member}", "string"))
+        return F.when(F.col(member).isNull(), F.lit(default)).otherwise(_scalar(F.col(member), "string"))
 
-    rows = _items(payloads, "experiments", payload).where(kind(item) == "OBJECT")
     return rows.select(
-        F.when(id_value.isNull(), F.lit(0)).otherwise(_whole_number(id_value)).cast("long").alias("id"),
+        F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(_whole_number(F.col("id"))).alias("id"),
         text_or("name", "").alias("name"),
-        normalize_state(F.try_variant_get(item, "$.state", "string")).alias("state"),
+        normalize_state(_scalar(F.col("state"), "string")).alias("state"),
         text_or("username", "").alias("owner"),
-        F.try_variant_get(item, "$.resourcePool", "string").alias("resource_pool"),
-        F.try_variant_get(item, "$.parentId", "long").alias("parent_id"),
-        F.try_variant_get(item, "$.progress", "double").alias("progress"),
-        parse_ts(_text(item, "startTime")).alias("started_at"),
-        parse_ts(_text(item, "endTime")).alias("ended_at"),
-        F.try_variant_get(item, "$.description", "string").alias("description"),
-        F.to_json(F.try_variant_get(item, "$.config", "variant")).alias("config"),
-        F.try_variant_get(item, "$.numTrials", "int").alias("num_trials"),
+        _scalar(F.col("resourcePool"), "string").alias("resource_pool"),
+        _scalar(F.col("parentId"), "long").alias("parent_id"),
+        _scalar(F.col("progress"), "double").alias("progress"),
+        # a stamp that is no text does not look like one either
+        parse_ts(_scalar(F.col("startTime"), "string")).alias("started_at"),
+        parse_ts(_scalar(F.col("endTime"), "string")).alias("ended_at"),
+        _scalar(F.col("description"), "string").alias("description"),
+        F.to_json(F.col("config")).alias("config"),
+        _scalar(F.col("numTrials"), "int").alias("num_trials"),
     ).where(F.col("id").isNotNull())
 
 
@@ -81,13 +92,12 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
 
 def _truth(value: Column) -> Column:
     """Whether a JSON value counts as true: zero, null and empty ones do not."""
-    text = F.try_variant_get(value, "$", "string")
     return (
         F.when(F.is_variant_null(value), F.lit(False))
-        .when(kind(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-        .when(kind(value) == "STRING", F.length(text) > 0)
+        .when(kind(value) == "BOOLEAN", _scalar(value, "boolean"))
+        .when(kind(value) == "STRING", F.length(_scalar(value, "string")) > 0)
         .when(kind(value).isin("OBJECT", "ARRAY"), ~F.to_json(value).isin("{}", "[]"))
-        .otherwise(F.try_variant_get(value, "$", "double") != 0)
+        .otherwise(_scalar(value, "double") != 0)
     )
 
 
@@ -98,36 +108,38 @@ def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     list, or the bare value. ``container_id`` comes from a container object's
     id or a bare string. An absent ``enabled`` is true, a null one false.
     """
-    agents = _items(payloads, "agents", payload).where(kind(F.col("_item")) == "OBJECT").select("_item")
-    agent = F.col("_item")
-    agent_slots = F.try_variant_get(agent, "$.slots", "variant")
-    pools = F.try_variant_get(agent, "$.resourcePools", "variant")
-    pool = F.when(kind(pools) == "ARRAY", F.try_variant_get(pools, "$[0]", "string")).otherwise(
-        F.try_variant_get(pools, "$", "string")
+    agents = _items(payloads, "agents", payload).select(
+        _members(F.col("_item"), "id", "label", "resourcePools", "slots").alias("_a")
     )
-    described = agents.select(
-        F.coalesce(F.try_variant_get(agent, "$.id", "string"), F.lit("None")).alias("agent_id"),
-        F.try_variant_get(agent, "$.label", "string").alias("agent_label"),
+    listed = _scalar(F.col("_a.resourcePools"), "array<variant>")
+    pool = F.when(listed.isNotNull(), _scalar(F.get(listed, F.lit(0)), "string")).otherwise(
+        _scalar(F.col("_a.resourcePools"), "string")
+    )
+    described = agents.where(F.col("_a").isNotNull()).select(
+        F.coalesce(_scalar(F.col("_a.id"), "string"), F.lit("None")).alias("agent_id"),
+        _scalar(F.col("_a.label"), "string").alias("agent_label"),
         pool.alias("resource_pool"),
-        # as a map or an array both give their values to one explode
-        F.when(kind(agent_slots) == "OBJECT", F.map_values(F.try_variant_get(agent_slots, "$", "map<string, variant>")))
-        .when(kind(agent_slots) == "ARRAY", F.try_variant_get(agent_slots, "$", "array<variant>"))
-        .alias("_slots"),
+        # an object's values or an array's items; a scalar is neither
+        F.explode(
+            F.coalesce(
+                F.map_values(_scalar(F.col("_a.slots"), "map<string, variant>")),
+                _scalar(F.col("_a.slots"), "array<variant>"),
+            )
+        ).alias("_slot"),
     )
-    slot = F.col("_slot")
-    container = F.try_variant_get(slot, "$.container", "variant")
-    enabled = F.try_variant_get(slot, "$.enabled", "variant")
+    container, enabled = F.col("_s.container"), F.col("_s.enabled")
+    held = _members(container, "id")
     return (
-        described.withColumn("_slot", F.explode("_slots"))
-        .where(kind(slot) == "OBJECT")
+        described.withColumn("_s", _members(F.col("_slot"), "id", "device", "enabled", "container"))
+        .where(F.col("_s").isNotNull())
         .select(
-            F.coalesce(F.try_variant_get(slot, "$.id", "string"), F.lit("None")).alias("slot_id"),
+            F.coalesce(_scalar(F.col("_s.id"), "string"), F.lit("None")).alias("slot_id"),
             "agent_id",
             "agent_label",
-            F.try_variant_get(slot, "$.device", "string").alias("device"),
+            _scalar(F.col("_s.device"), "string").alias("device"),
             F.when(enabled.isNull(), F.lit(True)).otherwise(_truth(enabled)).alias("enabled"),
-            F.when(kind(container) == "OBJECT", F.try_variant_get(container, "$.id", "string"))
-            .when(kind(container) == "STRING", F.try_variant_get(container, "$", "string"))
+            F.when(held.isNotNull(), _scalar(held["id"], "string"))
+            .when(kind(container) == "STRING", _scalar(container, "string"))
             .alias("container_id"),
             "resource_pool",
         )
@@ -140,11 +152,11 @@ def read_slots(spark: SparkSession, path: str) -> DataFrame:
 
 def pools(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """``position, name, description`` of ``{"resourcePools": [...]}``; an absent name is empty."""
-    item = F.col("_item")
+    item = _members(F.col("_item"), "name", "description")
     return _items(payloads, "resourcePools", payload).select(
         F.col("_n").alias("position"),
-        F.coalesce(F.try_variant_get(item, "$.name", "string"), F.lit("")).alias("name"),
-        F.try_variant_get(item, "$.description", "string").alias("description"),
+        F.coalesce(_scalar(item["name"], "string"), F.lit("")).alias("name"),
+        _scalar(item["description"], "string").alias("description"),
     )
 
 
