@@ -39,8 +39,11 @@ def normalize_state(raw: Column) -> Column:
 
 def parse_ts(text: Column) -> Column:
     """ISO-8601 text to timestamp; empty or malformed text gives null."""
-    whole_hour = F.regexp_replace(text, r"^(.{10}[T ]\d{2})(Z|[+-]\d{2}:\d{2})?$", "$1:00$2")
-    return F.when(text.rlike(ISO_STAMP), F.try_to_timestamp(whole_hour))
+    # Spark wants seconds where there is a zone
+    zone = r"(Z|[+-]\d{2}:\d{2})?$"
+    with_minutes = F.regexp_replace(text, r"^(.{10}[T ]\d{2})" + zone, "$1:00$2")
+    with_seconds = F.regexp_replace(with_minutes, r"^(.{10}[T ]\d{2}:\d{2})" + zone, "$1:00$2")
+    return F.when(text.rlike(ISO_STAMP), F.try_to_timestamp(with_seconds))
 
 
 def iso_ts(stamp: Column) -> Column:

@@ -75,6 +75,10 @@ def future(steps: int) -> Column:
     return F.concat(seen, F.array_repeat(F.get(FRAME, length - 1), missing))
 
 
+def needs_window(features: Sequence[str]) -> bool:
+    return bool({"state_hist", "cmd_hist", "state_delta"} & set(features))
+
+
 def derive(
     samples: DataFrame,
     spec: RolloutSpec = RolloutSpec(),
@@ -97,11 +101,9 @@ def derive(
         action = [arrays.trim_action(whole, spec.horizon_steps, spec.action_dim).alias("action")]
     trimmed = samples.select(*columns, *action, state)
 
-    looks_back = bool({"state_hist", "cmd_hist"} & set(features))
-    looks_ahead = "state_delta" in features
-    back = spec.cond_steps - 1 if looks_back else 0
-    ahead = spec.horizon_steps if looks_ahead else 0
-    if looks_back or looks_ahead:
+    back = spec.cond_steps - 1 if {"state_hist", "cmd_hist"} & set(features) else 0
+    ahead = spec.horizon_steps if "state_delta" in features else 0
+    if needs_window(features):
         trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, in_order=in_order)
 
     def commands(frames: Column) -> Column:

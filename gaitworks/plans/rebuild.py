@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitworks.operators import checks
-from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive
+from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive, needs_window
 from gaitworks.operators.indexing import cap_samples, file_ranges
 from gaitworks.sources import datasets, recordings
 from gaitworks.spec import RolloutSpec
@@ -82,6 +82,7 @@ def rebuild_from_recordings(
     derived = derive(samples, spec, features, block_rows)
     counted = recordings.files_table(profiled, state)
     meta = {"schema": "derived_shards", **spec.meta()}
+    # rows without a window come as read, which is in runs of files just as well
     return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level, part_rows=None)
 
 
@@ -113,6 +114,7 @@ def rebuild_from_dataset(
         F.col("out_offset").alias("file_offset"),
     )
     meta = {"schema": "derived_dataset", "source_samples": total, "source_dataset": source, **spec.meta()}
+    # without a window nothing puts the rows in order on the way
     return datasets.write_consolidated(
-        derived, files, path, meta, compression=compression, level=level, in_order=True
+        derived, files, path, meta, compression=compression, level=level, in_order=needs_window(features)
     )

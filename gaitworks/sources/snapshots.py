@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaitworks.functions.text import normalize_state, parse_ts, path_name, path_stem
 from gaitworks.operators.indexing import sample_index
 from gaitworks.operators.logs import kind
+from gaitworks.sources import storage
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -219,13 +220,28 @@ def job_configs(texts: DataFrame, path: str = "path", text: str = "text") -> Dat
 
 
 def read_job_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """The ``*.yaml`` and ``*.yml`` files of a folder (not below it), in path order."""
-    texts = (
-        spark.read.option("pathGlobFilter", "*.{yaml,yml}")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    )
-    return job_configs(texts).orderBy("path")
+    """The ``*.yaml`` and ``*.yml`` files of a folder (not below it), in path order.
+
+    Read in tasks; Spark's text source gives no row for an empty file.
+    """
+
+    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in batch["folder"].to_pylist():
+                paths = [path for path in storage.list_dir(place) if path.endswith((".yaml", ".yml"))]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    def load(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["path"].to_pylist():
+                system, inner = storage.resolve(path)
+                with system.open_input_stream(inner, compression=None) as stream:
+                    content = stream.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"path": [path], "text": [content]})
+
+    listed = spark.createDataFrame([(folder,)], "folder string").mapInArrow(expand, "path string")
+    spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+    return job_configs(spread.mapInArrow(load, "path string, text string")).orderBy("path")
 
 
 def dry_run_submissions(configs: DataFrame) -> DataFrame:
