@@ -8,6 +8,7 @@ shuffle on (file, block) and one sort serve every feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from gaitworks.functions import arrays
 from gaitworks.spec import RolloutSpec
 
 BLOCK_ROWS = 4096
+# of shuffled input per task; the output is about four times as wide
+PARTITION_BYTES = 128 << 20
 FEATURES = ("cmd", "state_hist", "cmd_hist", "state_delta", "recovery_flag")
 FRAME, PLACE, BLOCK = "_frame", "_place", "_block"
 
@@ -28,13 +31,17 @@ def with_frame(
     value: str = "state",
     block_rows: int = BLOCK_ROWS,
     in_order: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Adds the values of rows t-back..t+ahead (as far as the file goes) and row t's place among them.
 
     Needs dense ``sample_idx`` from 0 within ``file_idx`` and no null value.
     Copies carry only the keys and the value, so wide columns such as actions
-    are shuffled once. ``in_order`` has that shuffle go by range, which leaves
-    the rows in file and sample order over all partitions.
+    are shuffled once. That shuffle is always by file and block: input that is
+    partitioned by file alone would satisfy the window too, but would leave a
+    huge file to one task. ``in_order`` has the shuffle go by range, which
+    leaves the rows in file and sample order over all partitions. Without
+    ``partitions`` the session's number is taken, and coalesced at run time.
     """
     index = F.col("sample_idx")
     home = F.floor(index / block_rows)
@@ -45,8 +52,9 @@ def with_frame(
     keys = ("file_idx", "sample_idx", value)
     rest = [F.when(at_home, F.col(name)).alias(name) for name in samples.columns if name not in keys]
     lean = spread.select(*keys, BLOCK, *rest)
-    if in_order:
-        lean = lean.repartitionByRange("file_idx", BLOCK)
+    spread_by = [F.col("file_idx"), F.col(BLOCK)]
+    number = [] if partitions is None else [partitions]
+    lean = lean.repartitionByRange(*number, *spread_by) if in_order else lean.repartition(*number, *spread_by)
     within = Window.partitionBy("file_idx", BLOCK).orderBy("sample_idx")
     framed = lean.select(
         "*",
@@ -75,6 +83,13 @@ def future(steps: int) -> Column:
     return F.concat(seen, F.array_repeat(F.get(FRAME, length - 1), missing))
 
 
+def window_partitions(rows: int, spec: RolloutSpec, cores: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Partitions for the windows over so many samples: by bytes, but no fewer than cores where there are blocks."""
+    row_bytes = 4 * (spec.state_dim + spec.horizon_steps * spec.action_dim)
+    by_size = math.ceil(rows * row_bytes / PARTITION_BYTES)
+    return max(1, by_size, min(cores, math.ceil(rows / block_rows)))
+
+
 def needs_window(features: Sequence[str]) -> bool:
     return bool({"state_hist", "cmd_hist", "state_delta"} & set(features))
 
@@ -85,6 +100,7 @@ def derive(
     features: Sequence[str] = FEATURES,
     block_rows: int = BLOCK_ROWS,
     in_order: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The chosen features beside the trimmed state (and action, where there is one).
 
@@ -104,7 +120,7 @@ def derive(
     back = spec.cond_steps - 1 if {"state_hist", "cmd_hist"} & set(features) else 0
     ahead = spec.horizon_steps if "state_delta" in features else 0
     if needs_window(features):
-        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, in_order=in_order)
+        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, in_order=in_order, partitions=partitions)
 
     def commands(frames: Column) -> Column:
         return F.transform(frames, lambda row: arrays.command(row, spec.cmd_dim))

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaitworks.session import broadcast_if_small, materialized
+from gaitworks.operators.joins import join_lookup
+from gaitworks.session import materialized
 
 BLOCK_ROWS = 1 << 20
 OFFSET_BLOCK = 1 << 16
@@ -196,9 +197,9 @@ def cap_files(files: DataFrame, max_files: int | None) -> DataFrame:
 
 def attach_offset(samples: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``global_row``, the position over all files."""
-    places = broadcast_if_small(files.select("file_idx", "file_offset"))
+    places = files.select("file_idx", "file_offset")
     return (
-        samples.join(places, "file_idx")
+        join_lookup(samples, places, ["file_idx"], F.col("sample_idx"))
         .withColumn("global_row", F.col("file_offset") + F.col("sample_idx"))
         .drop("file_offset")
     )
@@ -215,7 +216,8 @@ def cap_samples(samples: DataFrame, files: DataFrame, max_samples: int | None) -
     kept = files.where(F.col("file_offset") < max_samples).select(
         "file_idx", (F.lit(max_samples) - F.col("file_offset")).alias("_rows")
     )
-    return samples.join(broadcast_if_small(kept), "file_idx").where(F.col("sample_idx") < F.col("_rows")).drop("_rows")
+    joined = join_lookup(samples, kept, ["file_idx"], F.col("sample_idx"))
+    return joined.where(F.col("sample_idx") < F.col("_rows")).drop("_rows")
 
 
 def locate_samples(
@@ -238,9 +240,9 @@ def locate_samples(
         F.explode(F.sequence(F.floor(F.col("file_offset") / bucket), F.floor((F.col("_end") - 1) / bucket))),
     )
     inside = (F.col(row) >= F.col("file_offset")) & (F.col(row) < F.col("_end"))
+    looked_up = rows.withColumn("_bucket", F.floor(F.col(row) / bucket))
     return (
-        rows.withColumn("_bucket", F.floor(F.col(row) / bucket))
-        .join(broadcast_if_small(spans), "_bucket")
+        join_lookup(looked_up, spans, ["_bucket"], F.struct(*rows.columns))
         .where(inside)
         .withColumn("sample_idx", F.col(row) - F.col("file_offset"))
         .select(*rows.columns, "file_idx", "sample_idx")

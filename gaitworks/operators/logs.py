@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitworks.session import broadcast_if_small
+from gaitworks.operators.joins import join_lookup
 
 DEFAULT_ENTRIES = 100
 
@@ -36,10 +36,9 @@ def trial_entries(lines: DataFrame) -> DataFrame:
         .groupBy("trial_id")
         .agg(F.min("line_no").alias("_stop"))
     )
+    results = members.where(F.col("result").isNotNull()).select("trial_id", "line_no", "result")
     return (
-        members.where(F.col("result").isNotNull())
-        .select("trial_id", "line_no", "result")
-        .join(broadcast_if_small(errors), "trial_id", "left")
+        join_lookup(results, errors, ["trial_id"], F.col("line_no"), "left")
         .where(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
         .drop("_stop")
     )
@@ -104,5 +103,7 @@ def first_trial_logs(
 ) -> DataFrame:
     """``experiment_id, trial_id, text``: each experiment's log is that of its first trial."""
     first = first_trials(trials)
-    wanted = entries.join(first.select("trial_id").distinct(), "trial_id", "left_semi")
+    wanted = join_lookup(
+        entries, first.select("trial_id").distinct(), ["trial_id"], F.col("line_no"), "left_semi"
+    )
     return first.join(log_text(wanted, limit, end), "trial_id", "left").select("experiment_id", "trial_id", "text")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitworks.operators import checks
-from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive, needs_window
+from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive, needs_window, window_partitions
 from gaitworks.operators.indexing import cap_samples, file_ranges
 from gaitworks.sources import datasets, recordings
 from gaitworks.spec import RolloutSpec
@@ -55,6 +55,11 @@ def consolidate(
     )
 
 
+def _partitions(files: DataFrame, spec: RolloutSpec, block_rows: int) -> int:
+    rows = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
+    return window_partitions(rows, spec, files.sparkSession.sparkContext.defaultParallelism, block_rows)
+
+
 def rebuild_from_recordings(
     files: DataFrame,
     path: str,
@@ -79,8 +84,9 @@ def rebuild_from_recordings(
     trim = {state: (spec.state_dim,), action: (spec.horizon_steps, spec.action_dim)}
     samples = recordings.read_recordings(profiled, [state, action], trim)
     samples = samples.withColumnsRenamed({state: "state", action: "action"})
-    derived = derive(samples, spec, features, block_rows)
     counted = recordings.files_table(profiled, state)
+    partitions = _partitions(counted, spec, block_rows)
+    derived = derive(samples, spec, features, block_rows, partitions=partitions)
     meta = {"schema": "derived_shards", **spec.meta()}
     # rows without a window come as read, which is in runs of files just as well
     return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level, part_rows=None)
@@ -108,7 +114,8 @@ def rebuild_from_dataset(
     if kept.isEmpty():
         raise ValueError("no samples are left after the cap")
     samples = cap_samples(read.samples.select("file_idx", "sample_idx", "state", "action"), read.files, max_samples)
-    derived = derive(samples, spec, features, block_rows, in_order=True)
+    partitions = _partitions(kept, spec, block_rows)
+    derived = derive(samples, spec, features, block_rows, in_order=True, partitions=partitions)
     files = kept.select(
         "file_idx", *[name for name in ("name", "path") if name in read.files.columns], "num_samples",
         F.col("out_offset").alias("file_offset"),

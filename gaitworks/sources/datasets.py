@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from gaitworks.functions.text import path_stem
 from gaitworks.operators.checks import raise_if_any, reconcile
 from gaitworks.operators.indexing import attach_offset, with_offsets
+from gaitworks.operators.joins import join_lookup
 from gaitworks.sources import storage
 
 SAMPLES, FILES, META = "samples", "files", "dataset_meta"
 PART_ROWS = 65_536
+MAX_PARTS = 100_000
 
 # Parquet codecs for the compression names.
 CODECS = {"none": "uncompressed", "lzf": "snappy", "gzip": "gzip"}
@@ -68,24 +71,44 @@ def write_consolidated(
     level: int | None = None,
     verify: bool = True,
     in_order: bool = False,
+    part_rows: int = PART_ROWS,
 ) -> Dataset:
     """All files in path order in one dataset.
 
-    Rows are range-partitioned by file and position, so that a file of any
-    size spreads over as many parts as it needs, and readers skip by footer
-    statistics. ``in_order`` says that the rows come so already, as the reader
+    Each part gets the same number of rows by their place over all files, so
+    that a file of any size spreads over as many parts as it needs, and
+    readers skip by footer statistics. The place comes from the offsets in
+    ``files``, which spares the second pass that sampling for ranges costs.
+    ``in_order`` says that the rows come so already, as the reader
     of recordings and ``derive(in_order=True)`` give them; they are then
     written without a shuffle. Row counts are compared with ``files`` after
     the write.
     """
     spark = samples.sparkSession
     _prepare(path, overwrite)
+    if "file_offset" not in files.columns:
+        files = with_offsets(files)
     if not in_order:
-        samples = samples.repartitionByRange("file_idx", "sample_idx").sortWithinPartitions("file_idx", "sample_idx")
+        samples = _in_parts(samples, files, part_rows)
     samples.write.mode("overwrite").options(**compression_options(compression, level)).parquet(f"{path}/{SAMPLES}")
     return _finish(spark, files, path, meta or {}, verify)
 
 
+def _in_parts(samples: DataFrame, files: DataFrame, part_rows: int) -> DataFrame:
+    """Rows in global order, cut into parts of equal length."""
+    total = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
+    parts = max(1, min(MAX_PARTS, math.ceil(total / part_rows)))
+    share = max(1, math.ceil(total / parts))
+    # a row of a file that is not listed goes to the first part, for the verification to find
+    placed = join_lookup(samples, files.select("file_idx", "file_offset"), ["file_idx"], F.col("sample_idx"), "left")
+    part = F.floor((F.col("file_offset") + F.col("sample_idx")) / share).cast("int")
+    return (
+        placed.repartitionById(parts, part)
+        .sortWithinPartitions("file_idx", "sample_idx")
+        .select(*samples.columns)
+    )
+
+
 def _finish(spark: SparkSession, files: DataFrame, path: str, meta: dict, verify: bool) -> Dataset:
     """Side tables after the samples. The meta table goes last: a folder that has it is whole."""
     if "file_offset" not in files.columns:

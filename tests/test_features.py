@@ -1,11 +1,13 @@
 """Windows, norms and flags on hand-made and random rows, against NumPy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaitworks.functions import arrays
-from gaitworks.operators import features, indexing
+from gaitworks.operators import features, indexing, joins
 from gaitworks.operators.features import derive
 from gaitworks.spec import RolloutSpec
 
@@ -66,6 +68,22 @@ def test_wide_columns_are_not_copied_with_neighbours(spark):
     assert framed.where("action is null").isEmpty() and framed.count() == 40
 
 
+def test_input_partitioned_by_file_is_spread_by_block(spark):
+    rows = samples_of(spark, {0: np.ones((40, 4), np.float32)}).repartition("file_idx")
+    plan = derive(rows, RolloutSpec(state_dim=4, cmd_dim=2))._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(file_idx#\d+L, _block", plan)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_large_lookups_are_salted(spark, how):
+    large = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("key"), "id")
+    lookup = spark.range(0, 60, 2).select(F.col("id").alias("key"), *([] if how == "left_semi" else [(F.col("id") * 10).alias("x")]))
+    broadcast = joins.join_lookup(large, lookup, ["key"], F.col("id"), how)
+    salted = joins.join_lookup(large, lookup, ["key"], F.col("id"), how, max_rows=3)
+    assert broadcast.exceptAll(salted).isEmpty() and salted.exceptAll(broadcast).isEmpty()
+    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_unknown_feature(spark):
     with pytest.raises(ValueError, match="speed"):
         derive(samples_of(spark, {0: np.ones((1, 64))}), features=["speed"])
