@@ -242,6 +242,42 @@ def dataset_meta(spark, folder):
     return materialized_dataset(spark, folder).meta.where(F.col("key") != "source_dataset")
 
 
+@query("B6_write_mode", f"WITH {RECORDINGS} SELECT file_idx, num_samples AS found, true AS refused FROM files")
+def write_mode(spark, folder):
+    """A second copy to one place is refused, and with overwrite replaces the first."""
+    source = sharded(spark, folder).path
+    target = scratch_path(spark, "twice")
+    datasets.materialize(spark, source, target)
+    try:
+        datasets.materialize(spark, source, target)
+        refused = False
+    except FileExistsError:
+        refused = True
+    replaced = datasets.materialize(spark, source, target, overwrite=True)
+    counts = replaced.samples.groupBy("file_idx").agg(F.count("*").alias("found"))
+    return counts.withColumn("refused", F.lit(refused))
+
+
+@query(
+    "B7_compression",
+    f"""WITH {RECORDINGS}
+SELECT codec, file_idx, sample_idx, CAST(state[1] AS DOUBLE) AS first, CAST(state[64] AS DOUBLE) AS last
+FROM recordings, (SELECT unnest(['none', 'lzf', 'gzip']) AS codec)""",
+)
+def compression(spark, folder):
+    """The same samples written with each codec and read back."""
+    dataset = consolidated(spark, folder)
+    states = dataset.samples.select("file_idx", "sample_idx", "state")
+    read = None
+    for codec in ("none", "lzf", "gzip"):
+        path = scratch_path(spark, codec)
+        copy = datasets.write_consolidated(states, dataset.files, path, compression=codec, level=1)
+        rows = copy.samples.withColumn("codec", F.lit(codec))
+        read = rows if read is None else read.unionByName(rows)
+    value = [F.get("state", F.lit(i)).cast("double").alias(name) for i, name in ((0, "first"), (63, "last"))]
+    return read.select("codec", "file_idx", "sample_idx", *value)
+
+
 @query(
     "C1_require_fields",
     f"WITH {RECORDINGS} SELECT file_idx, 'env' AS field FROM files WHERE label % 2 = 1",

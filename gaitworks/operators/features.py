@@ -18,8 +18,10 @@ from gaitworks.functions import arrays
 from gaitworks.spec import RolloutSpec
 
 BLOCK_ROWS = 4096
-# of shuffled input per task; the output is about four times as wide
-PARTITION_BYTES = 128 << 20
+# of shuffled input per task on large data; the sort spills beyond memory
+PARTITION_BYTES = 512 << 20
+# tasks per core on small data, so that uneven hashing of blocks evens out
+TASKS_PER_CORE = 4
 FEATURES = ("cmd", "state_hist", "cmd_hist", "state_delta", "recovery_flag")
 FRAME, PLACE, BLOCK = "_frame", "_place", "_block"
 
@@ -35,7 +37,8 @@ def with_frame(
 ) -> DataFrame:
     """Adds the values of rows t-back..t+ahead (as far as the file goes) and row t's place among them.
 
-    Needs dense ``sample_idx`` from 0 within ``file_idx`` and no null value.
+    Needs dense ``sample_idx`` from 0 within ``file_idx``; a null value, which
+    a list of rows would silently skip, is an error.
     Copies carry only the keys and the value, so wide columns such as actions
     are shuffled once. That shuffle is always by file and block: input that is
     partitioned by file alone would satisfy the window too, but would leave a
@@ -51,7 +54,8 @@ def with_frame(
     at_home = F.col(BLOCK) == home
     keys = ("file_idx", "sample_idx", value)
     rest = [F.when(at_home, F.col(name)).alias(name) for name in samples.columns if name not in keys]
-    lean = spread.select(*keys, BLOCK, *rest)
+    present = F.coalesce(value, F.raise_error(F.lit(f"null {value}"))).alias(value)
+    lean = spread.select("file_idx", "sample_idx", present, BLOCK, *rest)
     spread_by = [F.col("file_idx"), F.col(BLOCK)]
     number = [] if partitions is None else [partitions]
     lean = lean.repartitionByRange(*number, *spread_by) if in_order else lean.repartition(*number, *spread_by)
@@ -84,10 +88,10 @@ def future(steps: int) -> Column:
 
 
 def window_partitions(rows: int, spec: RolloutSpec, cores: int, block_rows: int = BLOCK_ROWS) -> int:
-    """Partitions for the windows over so many samples: by bytes, but no fewer than cores where there are blocks."""
+    """Partitions for the windows over so many samples: by bytes, or on small data by cores and blocks."""
     row_bytes = 4 * (spec.state_dim + spec.horizon_steps * spec.action_dim)
     by_size = math.ceil(rows * row_bytes / PARTITION_BYTES)
-    return max(1, by_size, min(cores, math.ceil(rows / block_rows)))
+    return max(1, by_size, min(TASKS_PER_CORE * cores, math.ceil(rows / block_rows)))
 
 
 def needs_window(features: Sequence[str]) -> bool:
@@ -101,10 +105,12 @@ def derive(
     block_rows: int = BLOCK_ROWS,
     in_order: bool = False,
     partitions: int | None = None,
+    trimmed_action: bool = False,
 ) -> DataFrame:
     """The chosen features beside the trimmed state (and action, where there is one).
 
-    A feature that needs no window causes no shuffle.
+    A feature that needs no window causes no shuffle. ``trimmed_action`` says
+    that the reader has cut the action already.
     """
     unknown = [name for name in features if name not in FEATURES]
     if unknown:
@@ -114,7 +120,9 @@ def derive(
     action = []
     if "action" in samples.columns:
         whole = arrays.to_float32("action", 2)
-        action = [arrays.trim_action(whole, spec.horizon_steps, spec.action_dim).alias("action")]
+        if not trimmed_action:
+            whole = arrays.trim_action(whole, spec.horizon_steps, spec.action_dim)
+        action = [whole.alias("action")]
     trimmed = samples.select(*columns, *action, state)
 
     back = spec.cond_steps - 1 if {"state_hist", "cmd_hist"} & set(features) else 0

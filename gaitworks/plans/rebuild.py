@@ -86,7 +86,7 @@ def rebuild_from_recordings(
     samples = samples.withColumnsRenamed({state: "state", action: "action"})
     counted = recordings.files_table(profiled, state)
     partitions = _partitions(counted, spec, block_rows)
-    derived = derive(samples, spec, features, block_rows, partitions=partitions)
+    derived = derive(samples, spec, features, block_rows, partitions=partitions, trimmed_action=True)
     meta = {"schema": "derived_shards", **spec.meta()}
     # rows without a window come as read, which is in runs of files just as well
     return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level, part_rows=None)

@@ -84,6 +84,12 @@ def test_large_lookups_are_salted(spark, how):
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_null_state_is_an_error(spark):
+    rows = spark.createDataFrame([(0, 0, [1.0]), (0, 1, None)], "file_idx long, sample_idx long, state array<float>")
+    with pytest.raises(Exception, match="null state"):
+        derive(rows, RolloutSpec(state_dim=1, cmd_dim=1)).collect()
+
+
 def test_unknown_feature(spark):
     with pytest.raises(ValueError, match="speed"):
         derive(samples_of(spark, {0: np.ones((1, 64))}), features=["speed"])
