@@ -146,7 +146,7 @@ FROM (SELECT *, unnest(range(64)) AS d FROM recordings)"""
 @query("A2_read_rollouts", ELEMENTS)
 def read_rollouts(spark, folder):
     """In splits of a few rows, so that one file is read by several tasks."""
-    return as_vector_rows(recordings.read_recordings(profiled(spark, folder), ["state"], split_bytes=2048), "state")
+    return as_vector_rows(recordings.read_recordings(profiled(spark, folder), ["state"], split_bytes=4096), "state")
 
 
 @query(

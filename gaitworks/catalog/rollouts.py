@@ -354,7 +354,7 @@ def rollout_features(spark, folder):
             F.get("cmd", F.lit(57) - k).cast("double").alias("cmd_value"),
         )
 
-    steps = F.array(*[cell(F.lit(k)) for k in range(SPEC.horizon_steps)])
+    steps = F.transform(F.sequence(F.lit(0), F.lit(SPEC.horizon_steps - 1)), cell)
     flag = F.col("recovery_flag").cast("double").alias("recovery_flag")
     return rows.select("file_idx", "sample_idx", flag, F.inline(steps))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from gaitworks.functions.text import normalize_state, parse_ts, path_name, path_stem
 from gaitworks.operators.indexing import sample_index
 from gaitworks.operators.logs import kind
+from gaitworks.session import materialized
 from gaitworks.sources import storage
 
 
@@ -169,7 +170,8 @@ def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
     """``trial_id, line_no, line`` of NDJSON files, one per trial, named by the trial.
 
     Large files are read in splits; a line's place is its split's start and
-    its order within the split.
+    its order within the split. The lines are checkpointed, since another scan
+    may split the files in another way.
     """
     lines = spark.read.text(path).select(
         path_stem(F.col("_metadata.file_path")).alias("trial_id"),
@@ -177,7 +179,7 @@ def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("line"),
     )
-    return sample_index(lines, ["trial_id"], ["_from", "_seq"], name="line_no").select("trial_id", "line_no", "line")
+    return sample_index(materialized(lines), ["trial_id"], ["_from", "_seq"], name="line_no").select("trial_id", "line_no", "line")
 
 
 CONFIG_SCHEMA = "workspace string, project string, readable boolean"
