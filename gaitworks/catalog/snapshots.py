@@ -439,6 +439,23 @@ def experiment_report(spark, folder):
     return ops.experiment_report(experiments(spark, folder))
 
 
+@query(
+    "K9_submission_report_line",
+    """SELECT CAST(doc_id AS VARCHAR) AS config, CASE WHEN quality = 1 THEN '[OK] ' ELSE '[FAIL] ' END || doc_id
+         || CASE WHEN quality = 1 THEN ' -> ' || doc_id * 2 ELSE '' END
+         || CASE WHEN toxic = 1 THEN chr(10) || '    refused' ELSE '' END AS line FROM labels""",
+)
+def submission_report(spark, folder):
+    good = F.col("quality") == 1
+    sent = table(spark, folder, "labels").select(
+        F.col("doc_id").cast("string").alias("config"),
+        F.when(good, F.lit("True")).otherwise(F.lit("False")).alias("success"),
+        F.when(good, (F.col("doc_id") * 2).cast("string")).alias("experiment_id"),
+        F.when(F.col("toxic") == 1, F.lit("refused")).alias("error"),
+    )
+    return ops.submission_report(sent)
+
+
 KINDS = """lines AS (
   SELECT CAST(conv_id AS VARCHAR) AS trial_id, conv_id, turn AS line_no, text,
     CASE WHEN (conv_id + turn) % 17 = 0 THEN 'error' WHEN (conv_id + turn) % 13 = 0 THEN 'broken'

@@ -81,16 +81,33 @@ def missing_projects(job_configs: DataFrame, projects: DataFrame) -> DataFrame:
     return named.join(projects.select("workspace", "project"), ["workspace", "project"], "left_anti")
 
 
-def experiment_report(experiments: DataFrame) -> DataFrame:
+def experiment_report(experiments: DataFrame, show_description: bool = False) -> DataFrame:
+    """``id, line``; a description, where asked for and present, follows on an indented line."""
     line = experiment_report_line(F.col("id"), F.col("state"), F.col("owner"), F.col("name"))
+    if show_description:
+        line = F.concat(line, _indented("description"))
     return experiments.select("id", line.alias("line"))
 
 
+def _indented(column: str) -> Column:
+    return F.when(F.length(column) > 0, F.concat(F.lit("\n    "), column)).otherwise(F.lit(""))
+
+
+def succeeded() -> Column:
+    return F.coalesce(F.col("success").isin("True", "dry-run"), F.lit(False))
+
+
+def submission_report(submissions: DataFrame) -> DataFrame:
+    """``config, line``: the outcome, the new id and, indented, the error."""
+    status = F.when(succeeded(), F.lit("[OK] ")).otherwise(F.lit("[FAIL] "))
+    number = F.when(F.length("experiment_id") > 0, F.concat(F.lit(" -> "), "experiment_id")).otherwise(F.lit(""))
+    return submissions.select("config", F.concat(status, "config", number, _indented("error")).alias("line"))
+
+
 def submission_summary(submissions: DataFrame) -> DataFrame:
     """Total, succeeded (``True`` or ``dry-run``) and failed submissions."""
-    good = F.coalesce(F.col("success").isin("True", "dry-run"), F.lit(False))
     return submissions.agg(
         F.count("*").alias("total"),
-        F.count_if(good).alias("succeeded"),
-        F.count_if(~good).alias("failed"),
+        F.count_if(succeeded()).alias("succeeded"),
+        F.count_if(~succeeded()).alias("failed"),
     )

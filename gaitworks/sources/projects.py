@@ -59,6 +59,6 @@ def project_manifest(spark: SparkSession, root: str, tasks: int | None = None) -
                     continue
                 yield pa.RecordBatch.from_pydict({"path": [path], "content": [content]})
 
-    listed = walk(spark, [root]).where(is_packaged(F.col("path")))
+    listed = walk(spark, [storage.absolute(root)]).where(is_packaged(F.col("path")))
     spread = listed.repartition(tasks or spark.sparkContext.defaultParallelism, "path")
     return manifest(spread.mapInArrow(load, "path string, content binary"))

@@ -48,9 +48,9 @@ def list_recordings(
 
     The folder is not searched below its first level. Indices are dense, in path order.
     """
-    wanted = [("dir", folder)] if folder else []
-    wanted += [("glob", pattern)] if pattern else []
-    wanted += [("file", path) for path in files]
+    wanted = [("dir", storage.absolute(folder))] if folder else []
+    wanted += [("glob", storage.absolute(pattern))] if pattern else []
+    wanted += [("file", storage.absolute(path)) for path in files]
     if not wanted:
         raise ValueError("give a folder, a pattern or files")
 
@@ -62,8 +62,8 @@ def list_recordings(
                 elif kind == "glob":
                     found = storage.list_glob(value)
                 else:
-                    found = [storage.prefix_of(value) + storage.resolve(value)[1]]
-                yield from _text_batches("path", found)
+                    found = [value]
+                yield from _text_batches("path", map(storage.canonical, found))
 
     sources = spark.createDataFrame(wanted, "kind string, value string").repartition("kind", "value")
     paths = sources.mapInArrow(expand, "path string").distinct()

@@ -166,6 +166,29 @@ def read_pools(spark: SparkSession, path: str) -> DataFrame:
     return pools(read_payloads(spark, path))
 
 
+def named_items(payloads: DataFrame, member: str, payload: str = "payload") -> DataFrame:
+    """``position, id, name`` of a list of named things, such as ``workspaces`` or ``projects``.
+
+    Other columns of the payloads stay beside them.
+    """
+    kept = [name for name in payloads.columns if name != payload]
+    item = _members(F.col("_item"), "id", "name")
+    return _items(payloads, member, payload).select(
+        *kept,
+        F.col("_n").alias("position"),
+        _scalar(item["id"], "long").alias("id"),
+        _scalar(item["name"], "string").alias("name"),
+    )
+
+
+def trials(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """``experiment_id, trial_id, position`` of ``{"trials": [...]}``, one payload per ``experiment_id``."""
+    item = _members(F.col("_item"), "id")
+    return _items(payloads, "trials", payload).select(
+        "experiment_id", _scalar(item["id"], "string").alias("trial_id"), F.col("_n").alias("position")
+    )
+
+
 def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
     """``trial_id, line_no, line`` of NDJSON files, one per trial, named by the trial.
 
@@ -241,7 +264,7 @@ def read_job_configs(spark: SparkSession, folder: str) -> DataFrame:
                     content = stream.read().decode("utf-8", "replace")
                 yield pa.RecordBatch.from_pydict({"path": [path], "text": [content]})
 
-    listed = spark.createDataFrame([(folder,)], "folder string").mapInArrow(expand, "path string")
+    listed = spark.createDataFrame([(storage.absolute(folder),)], "folder string").mapInArrow(expand, "path string")
     spread = listed.repartition(spark.sparkContext.defaultParallelism, "path")
     return job_configs(spread.mapInArrow(load, "path string, text string")).orderBy("path")
 

@@ -24,6 +24,18 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
+def absolute(path: str) -> str:
+    """A relative local path as seen from the driver; URIs stay as they are."""
+    if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:/", path):
+        return path
+    return os.path.abspath(os.path.expanduser(path))
+
+
+def canonical(path: str) -> str:
+    """One spelling per file: links of local files are followed."""
+    return prefix_of(path) + resolve(path)[1]
+
+
 def prefix_of(path: str) -> str:
     """What turns an inner path back into a full one: empty for local files."""
     match = re.match(r"^([A-Za-z][A-Za-z0-9+.-]*):(//[^/]*)", path)

@@ -78,7 +78,7 @@ def assert_derived(samples, names, root, spec, limits=None):
 NAMES = ["a.npz", "b.npz", "c.npz", "d.npz", "e.npz", "f.npz"]
 
 
-def test_listing(spark, folder):
+def test_listing(spark, folder, monkeypatch):
     listed = recordings.list_recordings(spark, folder=str(folder)).orderBy("file_idx").collect()
     assert [row["name"] for row in listed] == NAMES
     assert [row["file_idx"] for row in listed] == list(range(6))
@@ -93,6 +93,9 @@ def test_listing(spark, folder):
     assert recordings.list_recordings(spark, folder=str(folder), max_files=0).count() == 6
     with pytest.raises(FileNotFoundError):
         recordings.list_recordings(spark, folder=str(folder / "nowhere"))
+    monkeypatch.chdir(folder.parent)
+    relative = recordings.list_recordings(spark, pattern=f"{folder.name}/a*.npz", files=[f"{folder.name}/a.npz"])
+    assert [row["path"] for row in relative.collect()] == [str(folder / "a.npz")]
 
 
 @pytest.mark.parametrize("split_bytes", [128 << 20, 1 << 15, 1])

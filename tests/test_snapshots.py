@@ -176,6 +176,22 @@ def test_deep_page(spark, monkeypatch):
     assert [row["id"] for row in ops.page(table, limit=4, offset=30).collect()] == [30, 31, 32, 33]
 
 
+def test_named_items_and_trials(spark):
+    named = snapshots.named_items(payload(spark, {"workspaces": [{"id": 3, "name": "w"}, 5, {"name": "v"}]}, "x"), "workspaces")
+    assert [tuple(row) for row in named.orderBy("position").collect()] == [(0, 3, "w"), (1, None, None), (2, None, "v")]
+    documents = [(1, json.dumps({"trials": [{"id": 12}, {"id": 11}]})), (2, json.dumps({"trials": []}))]
+    trials = snapshots.trials(spark.createDataFrame(documents, "experiment_id int, payload string"))
+    assert [tuple(row) for row in logs.first_trials(trials).collect()] == [(1, "12")]
+
+
+def test_reports(spark):
+    table = spark.createDataFrame([(1, "a", "ERROR", "me", "long"), (2, "b", "ERROR", "me", "")], "id long, name string, state string, owner string, description string")
+    lines = [row["line"] for row in ops.experiment_report(table, show_description=True).orderBy("id").collect()]
+    assert lines == [f"{1:6d} {'ERROR':15} {'me':15} a\n    long", f"{2:6d} {'ERROR':15} {'me':15} b"]
+    sent = spark.createDataFrame([("c.yaml", "True", "7", None), ("d.yaml", "False", None, "no")], "config string, success string, experiment_id string, error string")
+    assert [row["line"] for row in ops.submission_report(sent).orderBy("config").collect()] == ["[OK] c.yaml -> 7", "[FAIL] d.yaml\n    no"]
+
+
 def test_projects_by_name(spark):
     workspaces = spark.createDataFrame([("w", 0, 5), ("w", 1, 6), ("v", 2, 7)], "name string, position int, id int")
     table = spark.createDataFrame(
