@@ -208,15 +208,17 @@ def attach_offset(samples: DataFrame, files: DataFrame) -> DataFrame:
 def cap_samples(samples: DataFrame, files: DataFrame, max_samples: int | None) -> DataFrame:
     """The first rows over all files; to be applied before windows, since it moves the end of a file.
 
-    Files wholly beyond the cap are dropped from the joined side, so that a
-    dataset partitioned by file skips them.
+    Offsets grow with the file index, so the files in reach are known by their
+    last index; that plain filter reaches the scan, which skips the rest.
     """
     if max_samples is None or max_samples <= 0:
         return samples
     kept = files.where(F.col("file_offset") < max_samples).select(
         "file_idx", (F.lit(max_samples) - F.col("file_offset")).alias("_rows")
     )
-    joined = join_lookup(samples, kept, ["file_idx"], F.col("sample_idx"))
+    last = kept.agg(F.coalesce(F.max("file_idx"), F.lit(-1))).first()[0]
+    near = samples.where((F.col("file_idx") <= last) & (F.col("sample_idx") < max_samples))
+    joined = join_lookup(near, kept, ["file_idx"], F.col("sample_idx"))
     return joined.where(F.col("sample_idx") < F.col("_rows")).drop("_rows")
 
 

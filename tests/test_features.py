@@ -192,7 +192,7 @@ def test_offsets_ranges_and_lookup(spark, block):
         assert places == wanted
 
 
-def test_cap_comes_before_the_window(spark):
+def test_cap_comes_before_the_window(spark, tmp_path):
     rng = np.random.default_rng(2)
     files = {0: rng.normal(size=(4, 2)), 1: rng.normal(size=(6, 2)), 2: rng.normal(size=(3, 2))}
     rows = samples_of(spark, files)
@@ -203,4 +203,9 @@ def test_cap_comes_before_the_window(spark):
     assert [(row["file_idx"], row["sample_idx"]) for row in found] == [(0, t) for t in range(4)] + [(1, t) for t in range(3)]
     assert not np.any(np.array(found[-1]["state_delta"]))
     assert indexing.cap_samples(rows, table, 0).count() == 13
+    assert indexing.cap_samples(rows, table, 1).count() == 1 and indexing.cap_samples(rows, table, 99).count() == 13
+    rows.write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    plan = indexing.cap_samples(stored, table, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(file_idx,1)" in plan
     assert indexing.cap_files(table, 2).count() == 2 and indexing.cap_files(table, None).count() == 3
