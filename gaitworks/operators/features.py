@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaitworks.functions import arrays
+from gaitworks.operators.joins import join_lookup
 from gaitworks.spec import RolloutSpec
 
 BLOCK_ROWS = 4096
@@ -23,7 +24,7 @@ PARTITION_BYTES = 512 << 20
 # tasks per core on small data, so that uneven hashing of blocks evens out
 TASKS_PER_CORE = 4
 FEATURES = ("cmd", "state_hist", "cmd_hist", "state_delta", "recovery_flag")
-FRAME, PLACE, BLOCK = "_frame", "_place", "_block"
+FRAME, PLACE, BLOCK, RUN = "_frame", "_place", "_block", "_run"
 
 
 def with_frame(
@@ -32,7 +33,7 @@ def with_frame(
     ahead: int,
     value: str = "state",
     block_rows: int = BLOCK_ROWS,
-    in_order: bool = False,
+    offsets: DataFrame | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
     """Adds the values of rows t-back..t+ahead (as far as the file goes) and row t's place among them.
@@ -42,9 +43,12 @@ def with_frame(
     Copies carry only the keys and the value, so wide columns such as actions
     are shuffled once. That shuffle is always by file and block: input that is
     partitioned by file alone would satisfy the window too, but would leave a
-    huge file to one task. ``in_order`` has the shuffle go by range, which
-    leaves the rows in file and sample order over all partitions. Without
-    ``partitions`` the session's number is taken, and coalesced at run time.
+    huge file to one task. Without ``partitions`` the session's number is
+    taken, and coalesced at run time.
+
+    With ``offsets`` (``file_idx, file_offset, num_samples``) the rows come in
+    file and sample order over all partitions: each partition gets a run of
+    blocks by their place over all files, which needs no sampling pass.
     """
     index = F.col("sample_idx")
     home = F.floor(index / block_rows)
@@ -56,10 +60,14 @@ def with_frame(
     rest = [F.when(at_home, F.col(name)).alias(name) for name in samples.columns if name not in keys]
     present = F.coalesce(value, F.raise_error(F.lit(f"null {value}"))).alias(value)
     lean = spread.select("file_idx", "sample_idx", present, BLOCK, *rest)
-    spread_by = [F.col("file_idx"), F.col(BLOCK)]
-    number = [] if partitions is None else [partitions]
-    lean = lean.repartitionByRange(*number, *spread_by) if in_order else lean.repartition(*number, *spread_by)
-    within = Window.partitionBy("file_idx", BLOCK).orderBy("sample_idx")
+    blocks = ["file_idx", BLOCK]
+    if offsets is None:
+        lean = lean.repartition(*([] if partitions is None else [partitions]), *blocks)
+    else:
+        lean = _in_runs(lean, offsets, partitions, block_rows)
+        # the run leads the keys, so that its partitioning and order are the window's own
+        blocks = [RUN, *blocks]
+    within = Window.partitionBy(*blocks).orderBy("sample_idx")
     framed = lean.select(
         "*",
         F.collect_list(value).over(within.rowsBetween(-back, ahead)).alias(FRAME),
@@ -72,6 +80,17 @@ def with_frame(
     )
 
 
+def _in_runs(lean: DataFrame, offsets: DataFrame, partitions: int | None, block_rows: int) -> DataFrame:
+    """Rows dealt to partitions by the place of their block over all files."""
+    total = offsets.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
+    number = partitions or int(lean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(1, math.ceil(total / number))
+    placed = join_lookup(lean, offsets.select("file_idx", "file_offset"), ["file_idx"], F.col("sample_idx"))
+    run = F.floor((F.col("file_offset") + F.col(BLOCK) * block_rows) / share)
+    # copies behind a file's end may point beyond the last run; they are dropped after the window
+    return placed.withColumn(RUN, F.least(run, F.lit(number - 1)).cast("int")).repartitionById(number, RUN)
+
+
 def history(steps: int) -> Column:
     """Rows t-steps+1..t, oldest first; before the start the file's first row repeats."""
     seen = F.slice(FRAME, 1, F.col(PLACE) + 1)
@@ -103,13 +122,13 @@ def derive(
     spec: RolloutSpec = RolloutSpec(),
     features: Sequence[str] = FEATURES,
     block_rows: int = BLOCK_ROWS,
-    in_order: bool = False,
+    offsets: DataFrame | None = None,
     partitions: int | None = None,
     trimmed_action: bool = False,
 ) -> DataFrame:
     """The chosen features beside the trimmed state (and action, where there is one).
 
-    A feature that needs no window causes no shuffle. ``trimmed_action`` says
+    A feature that needs no window causes no shuffle; ``offsets`` puts the rows in order (see ``with_frame``). ``trimmed_action`` says
     that the reader has cut the action already.
     """
     unknown = [name for name in features if name not in FEATURES]
@@ -128,7 +147,7 @@ def derive(
     back = spec.cond_steps - 1 if {"state_hist", "cmd_hist"} & set(features) else 0
     ahead = spec.horizon_steps if "state_delta" in features else 0
     if needs_window(features):
-        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, in_order=in_order, partitions=partitions)
+        trimmed = with_frame(trimmed, back, ahead, block_rows=block_rows, offsets=offsets, partitions=partitions)
 
     def commands(frames: Column) -> Column:
         return F.transform(frames, lambda row: arrays.command(row, spec.cmd_dim))

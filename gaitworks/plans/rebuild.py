@@ -105,8 +105,9 @@ def rebuild_from_dataset(
 ) -> datasets.Dataset:
     """A consolidated dataset to a derived one; the cap counts rows over all files and comes first.
 
-    The one shuffle of the samples goes by range of file and block, so that
-    the derived rows, several times as wide, are written in order without another.
+    The one shuffle of the samples deals blocks to partitions by their place
+    over all files, so that the derived rows, several times as wide, are
+    written in order without another.
     """
     read = datasets.read_dataset(spark, source)
     total = read.files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
@@ -114,12 +115,12 @@ def rebuild_from_dataset(
     if kept.isEmpty():
         raise ValueError("no samples are left after the cap")
     samples = cap_samples(read.samples.select("file_idx", "sample_idx", "state", "action"), read.files, max_samples)
-    partitions = _partitions(kept, spec, block_rows)
-    derived = derive(samples, spec, features, block_rows, in_order=True, partitions=partitions)
     files = kept.select(
         "file_idx", *[name for name in ("name", "path") if name in read.files.columns], "num_samples",
         F.col("out_offset").alias("file_offset"),
     )
+    partitions = _partitions(files, spec, block_rows)
+    derived = derive(samples, spec, features, block_rows, offsets=files, partitions=partitions)
     meta = {"schema": "derived_dataset", "source_samples": total, "source_dataset": source, **spec.meta()}
     # without a window nothing puts the rows in order on the way
     return datasets.write_consolidated(

@@ -81,7 +81,7 @@ def write_consolidated(
     readers skip by footer statistics. The place comes from the offsets in
     ``files``, which spares the second pass that sampling for ranges costs.
     ``in_order`` says that the rows come so already, as the reader
-    of recordings and ``derive(in_order=True)`` give them; they are then
+    of recordings and ``derive`` with offsets give them; they are then
     written without a shuffle. Row counts are compared with ``files`` after
     the write.
     """

@@ -36,16 +36,22 @@ def test_windows_against_numpy(spark, block_rows, cond, horizon):
         np.testing.assert_array_equal(np.array(row["state_delta"], np.float32), state[ahead] - state[t])
 
 
-def test_range_layout_is_in_order_and_equal(spark):
+@pytest.mark.parametrize("partitions", [None, 1, 5, 40])
+def test_layout_by_offsets_is_in_order_and_equal(spark, partitions):
     rng = np.random.default_rng(5)
     files = {i: rng.normal(size=(n, 4)).astype(np.float32) for i, n in enumerate((9, 300, 2))}
     spec = RolloutSpec(state_dim=4, cmd_dim=2)
     rows = samples_of(spark, files)
-    hashed, ranged = derive(rows, spec, block_rows=16), derive(rows, spec, block_rows=16, in_order=True)
+    table = indexing.with_offsets(indexing.file_counts(rows))
+    hashed = derive(rows, spec, block_rows=16)
+    ranged = derive(rows, spec, block_rows=16, offsets=table, partitions=partitions)
     assert hashed.exceptAll(ranged).isEmpty() and ranged.exceptAll(hashed).isEmpty()
     placed = ranged.select("file_idx", "sample_idx", "state_hist", F.monotonically_increasing_id().alias("at"))
     order = [(row["file_idx"], row["sample_idx"]) for row in sorted(placed.collect(), key=lambda row: row["at"])]
     assert order == sorted(order)
+    if partitions == 5:
+        sizes = ranged.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) == 5 and max(row["count"] for row in sizes) <= 63 + 2 * 16
 
 
 def exchanges(df):
@@ -58,7 +64,11 @@ def test_one_scan_one_shuffle_one_window(spark, tmp_path):
     samples_of(spark, files).write.parquet(str(tmp_path / "s"))
     read = spark.read.parquet(str(tmp_path / "s"))
     assert exchanges(derive(read)) == (1, 1, 1)
-    assert exchanges(derive(read, in_order=True)) == (1, 1, 1)
+    table = spark.createDataFrame([(0, 0, 5)], "file_idx long, file_offset long, num_samples long")
+    plan = derive(read, offsets=table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("FileScan") == 1
+    # besides the shuffle of the samples there is only the broadcast of the offsets
+    assert plan.count("+- Exchange ") == 1 and plan.count("BroadcastExchange") == 1
     assert exchanges(derive(read, features=["cmd", "recovery_flag"])) == (0, 0, 1)
 
 
