@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaitworks.session import scratch_path, shared_dir, ship_package
 
 #: A side is broadcast only when its stored Parquet files are no larger than this; else both sides are shuffled.
-BROADCAST_BYTES = 24 << 20
+BROADCAST_BYTES = 12 << 20
 #: Texts are worked on in slices of about so many bytes, so that NumPy's temporaries stay small.
 SLICE_BYTES = 1 << 20
 

@@ -37,10 +37,12 @@ from gaitworks.llm.common import (
     word_hashes,
 )
 
-RUN_SCHEMA = "k1 long, k2 long, anchor long, digest long, start long, windows long"
+RUN_SCHEMA = "k1 long, k2 long, anchor long, digest long, start long, windows long, place long"
 #: The sliding minimum keeps a place in the low bits of a hash, so a pass has at most so many symbols.
 _PLACE_BITS = 24
 _PASS = 1 << 22
+#: A span is one integer: the start, and in the low bits the number of windows (at most one anchor's, or a shard's fragment).
+_SPAN_BITS = 20
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +63,14 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of all texts in a slice: text, start in it, number of windows, anchor and digest of each run."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """Of all texts in a slice, for each run: text, start in it, number of windows, the anchor's place, anchor and digest."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if len(offsets) == 2 and len(hashes) > _PASS + window:
         found = []
         for at in range(0, len(hashes) - window + 1, _PASS):
             part = hashes[at : at + _PASS + window - 1]
-            text, start, count, anchor, digest = window_runs(part, np.array([0, len(part)]), window, gram)
-            found.append((text, start + at, count, anchor, digest))
+            text, start, *others = window_runs(part, np.array([0, len(part)]), window, gram)
+            found.append((text, start + at, *others))
         return tuple(np.concatenate(x) for x in zip(*found))
     if len(hashes) < window:
         return none
@@ -87,7 +89,7 @@ def window_runs(hashes: np.ndarray, offsets: np.ndarray, window: int, gram: int)
     count = np.diff(np.append(cut, len(starts)))
     extra = (at - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + count.astype(np.uint64)
     digest = mix(span_hashes(sums, first, first + count - 1 + window) + mix(extra))
-    return owner[first], first - offsets[:-1][owner[first]], count, grams[at], digest
+    return owner[first], first - offsets[:-1][owner[first]], count, at - first, grams[at], digest
 
 
 def scan_runs(docs: DataFrame, text: str, window: int, gram: int, kind: str) -> DataFrame:
@@ -98,9 +100,9 @@ def scan_runs(docs: DataFrame, text: str, window: int, gram: int, kind: str) ->
         for batch in batches:
             for part in slices(batch, 0):
                 data, offsets = string_bytes(part.column(0))
-                owner, start, count, anchor, digest = window_runs(*symbols(data, offsets, kind), window, gram)
+                owner, start, count, place, anchor, digest = window_runs(*symbols(data, offsets, kind), window, gram)
                 keys = [part.column(i).to_numpy()[owner] for i in (1, 2)]
-                columns = [*keys, anchor, digest, start, count]
+                columns = [*keys, anchor, digest, start, count, place]
                 yield pa.RecordBatch.from_arrays([long_array(x) for x in columns], names=names)
 
     k1, k2 = text_keys(quoted(text))
@@ -111,11 +113,12 @@ def shared_runs(runs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Runs whose anchor occurs more than once, and their classes: equal runs collapsed to one, with their number.
 
     The count of anchors is summed before it travels, and a frequent anchor's
-    runs are rows of a semi join, which adaptive execution splits.
+    runs are rows of a semi join, which adaptive execution splits: it can do so
+    only where both sides come straight from a shuffle, so the anchors are stored.
     """
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    anchors = stored(runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), f"{label}-anchors")
     shared = stored(runs.join(anchors, "anchor", "left_semi"), f"{label}-shared")
-    one = F.min(F.struct("k1", "k2", "start", "windows"))
+    one = F.min(F.struct("k1", "k2", "start", "windows", "place"))
     classes = shared.groupBy("anchor", "digest").agg(F.count("*").alias("n"), one.alias("one"))
     return shared, stored(classes.select("anchor", "digest", "n", "one.*"), f"{label}-classes")
 
@@ -126,9 +129,9 @@ def whole_spans(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return shared.join(many, ["anchor", "digest"], "left_semi").select("k1", "k2", "start", "windows")
 
 
-def open_classes(classes: DataFrame) -> DataFrame:
-    """Classes of anchors that have several: where texts branch, so that single windows must be compared."""
-    several = classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+def open_classes(classes: DataFrame, label: str) -> DataFrame:
+    """Classes of anchors that have several (``m``): where texts branch, so that single windows must be compared."""
+    several = stored(classes.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1"), f"{label}-branching")
     return classes.join(several, "anchor")
 
 
@@ -146,7 +149,8 @@ def with_text(docs: DataFrame, text: str, classes: DataFrame, label: str) -> Dat
 
 def with_spans(docs: DataFrame, text: str, spans: DataFrame, label: str) -> tuple[DataFrame, str]:
     """All rows, with the spans of their text in a new last column (null if none) whose name is returned."""
-    listed = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
+    span = F.shiftleft("start", _SPAN_BITS).bitwiseOR(F.col("windows"))
+    listed = spans.select("k1", "k2", span.alias("span")).distinct().groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
     names = [free_name(docs.columns, name) for name in ("k1", "k2", "spans")]
     side = checked(stored(listed.toDF(*names), f"{label}-spans"))
     k1, k2 = text_keys(quoted(text))
@@ -155,11 +159,12 @@ def with_spans(docs: DataFrame, text: str, spans: DataFrame, label: str) -> tupl
     return joined.select(*[quoted(c) for c in docs.columns], names[2]), names[2]
 
 
-def covered(spans: list[dict] | None, window: int) -> list[tuple[int, int]]:
-    """The maximal covered stretches, in order, from starts of windows."""
+def covered(spans: list[int] | None, window: int) -> list[tuple[int, int]]:
+    """The maximal covered stretches, in order, from starts of windows and their numbers in one integer."""
     merged: list[tuple[int, int]] = []
-    for start, windows in sorted((s["start"], s["windows"]) for s in spans or ()):
-        end = start + windows - 1 + window
+    for span in sorted(spans or ()):
+        start = span >> _SPAN_BITS
+        end = start + (span & ((1 << _SPAN_BITS) - 1)) - 1 + window
         if merged and start <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
         else:

@@ -72,12 +72,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35, gram:
     label = "substring"
     found = stored(R.scan_runs(docs, text, window, gram, "words"), f"{label}-runs")
     shared, classes = R.shared_runs(found, label)
-    texts = R.with_text(docs, text, R.open_classes(classes).drop("m"), label)
+    texts = R.with_text(docs, text, R.open_classes(classes, label).drop("m", "place"), label)
     edges = stored(texts.mapInArrow(_edges(window), EDGE_SCHEMA), f"{label}-edges")
     # a path's edge may come more than once, from rows of equal text: least and greatest place tell that apart
     code = F.xxhash64("path", "place")
     sums = edges.groupBy("anchor", "edge").agg(F.max("many").alias("many"), F.min(code).alias("a"), F.max(code).alias("b"))
-    repeated = sums.filter("many or a <> b").select("anchor", "edge")
+    repeated = stored(sums.filter("many or a <> b").select("anchor", "edge"), f"{label}-repeated")
     single = edges.filter("not many").join(repeated, ["anchor", "edge"], "left_semi")
     return R.whole_spans(shared, classes).unionByName(single.select("k1", "k2", "start", F.lit(1).cast("long").alias("windows")))
 
