@@ -205,6 +205,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([heat])], names=["weights", "heat"])
 
     learned = features.repartition(1).sortWithinPartitions("mark", "lang").mapInArrow(learn, "weights binary, heat double").first()
+    if learned is None:  # no chosen text has a letter
+        return Model(languages, idf, np.zeros((SIZE, len(languages))), 1.0)
     weights = np.frombuffer(learned["weights"], np.float32).reshape(SIZE, len(languages)).astype(np.float64)
     return Model(languages, idf, weights, learned["heat"])
 
