@@ -215,20 +215,51 @@ def union_view(spark, folder):
     return as_matrix_rows(datasets.union_view(sharded(spark, folder)), "state_hist", ("global_row",))
 
 
-@query(
-    "B4_materialize",
-    f"""WITH {RECORDINGS}, pairs AS (
+DELTAS = f"""WITH {RECORDINGS}, pairs AS (
   SELECT file_idx, sample_idx, state AS base, s AS step, least(sample_idx + s + 1, n - 1) AS at
   FROM (SELECT *, unnest(range(16)) AS s FROM recordings))
 SELECT file_idx, sample_idx, CAST(step AS BIGINT) AS step, CAST(d AS BIGINT) AS dim,
        CAST(state[d + 1] - base[d + 1] AS DOUBLE) AS value
 FROM (SELECT p.file_idx, p.sample_idx, p.step, p.base, q.state, unnest(range(64)) AS d
-      FROM pairs p JOIN recordings q ON q.file_idx = p.file_idx AND q.sample_idx = p.at)""",
-)
+      FROM pairs p JOIN recordings q ON q.file_idx = p.file_idx AND q.sample_idx = p.at)"""
+
+
+@query("B2_write_shards_cells", DELTAS)
+def write_shards_cells(spark, folder):
+    return as_matrix_rows(sharded(spark, folder).samples, "state_delta")
+
+
+@query("B4_materialize", DELTAS)
 def materialize(spark, folder):
     return as_matrix_rows(materialized_dataset(spark, folder).samples, "state_delta")
 
 
+def _bare(spark: SparkSession, folder: str) -> tuple[datasets.Dataset, str]:
+    """A dataset of files and meta alone; its files table records where the shards are."""
+    source = sharded(spark, folder)
+    target = scratch_path(spark, "bare")
+    source.files.write.parquet(f"{target}/{datasets.FILES}")
+    source.meta.write.parquet(f"{target}/{datasets.META}")
+    return source, target
+
+
+@query("B4_materialize_recorded", DELTAS)
+def materialize_recorded(spark, folder):
+    """The shards are not below the dataset, but where its files table says."""
+    _, bare = _bare(spark, folder)
+    return as_matrix_rows(datasets.materialize(spark, bare, scratch_path(spark, "recorded")).samples, "state_delta")
+
+
+@query("B4_materialize_shard_dir", DELTAS)
+def materialize_shard_dir(spark, folder):
+    """The shards are in a folder that is given."""
+    source, bare = _bare(spark, folder)
+    made = datasets.materialize(
+        spark, bare, scratch_path(spark, "given"), shard_dir=f"{source.path}/{datasets.SAMPLES}", part_rows=50
+    )
+    return as_matrix_rows(made.samples, "state_delta")
+
+
 @query(
     "B5_dataset_meta",
     """SELECT key, value FROM (VALUES ('cond_steps', '3'), ('horizon_steps', '16'), ('state_dim', '64'),
@@ -239,7 +270,7 @@ UNION ALL SELECT 'source_files', CAST(sum(f) AS VARCHAR)
 FROM (SELECT CAST(ceil(count(*) / 32.0) AS BIGINT) AS f FROM embeddings GROUP BY label)""",
 )
 def dataset_meta(spark, folder):
-    return materialized_dataset(spark, folder).meta.where(F.col("key") != "source_dataset")
+    return materialized_dataset(spark, folder).meta.where(~F.col("key").isin("source_dataset", "source_shard_dir"))
 
 
 @query("B6_write_mode", f"WITH {RECORDINGS} SELECT file_idx, num_samples AS found, true AS refused FROM files")
@@ -278,6 +309,24 @@ def compression(spark, folder):
     return read.select("codec", "file_idx", "sample_idx", *value)
 
 
+@query(
+    "B7_compression_cells",
+    f"""WITH {RECORDINGS}
+SELECT codec, file_idx, sample_idx, CAST(d AS BIGINT) AS dim, CAST(state[d + 1] AS DOUBLE) AS value
+FROM (SELECT *, unnest(range(64)) AS d FROM recordings), (SELECT unnest(['none', 'lzf', 'gzip']) AS codec)""",
+)
+def compression_cells(spark, folder):
+    dataset = consolidated(spark, folder)
+    states = dataset.samples.select("file_idx", "sample_idx", "state")
+    read = None
+    for codec in ("none", "lzf", "gzip"):
+        path = scratch_path(spark, codec)
+        copy = datasets.write_consolidated(states, dataset.files, path, compression=codec, level=1)
+        rows = copy.samples.withColumn("codec", F.lit(codec))
+        read = rows if read is None else read.unionByName(rows)
+    return as_vector_rows(read, "state", ("codec", "file_idx", "sample_idx"))
+
+
 @query(
     "C1_require_fields",
     f"WITH {RECORDINGS} SELECT file_idx, 'env' AS field FROM files WHERE label % 2 = 1",

@@ -252,6 +252,22 @@ def file_ranges(spark, folder):
     return indexing.file_ranges(files.drop("num_samples"), total, CAP)
 
 
+@query(
+    "E6_file_ranges_gaps",
+    f"""WITH {FILES}, kept AS (SELECT * FROM files WHERE file_idx % 3 <> 1)
+SELECT file_idx, CAST(file_offset AS BIGINT) AS start, CAST(file_offset + num_samples AS BIGINT) AS "end",
+       CAST(num_samples AS BIGINT) AS num_samples,
+       CAST(coalesce(sum(num_samples) OVER (ORDER BY file_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            AS BIGINT) AS out_offset
+FROM kept WHERE num_samples > 0""",
+)
+def file_ranges_gaps(spark, folder):
+    """A third of the indices is absent; ends come from the declared counts."""
+    files = event_files(spark, folder)
+    total = indexing.total_samples(files).first()[0]
+    return indexing.file_ranges(files.where(F.col("file_idx") % 3 != 1), total)
+
+
 @query(
     "F1_cap_samples",
     f"""WITH {FILES}, {EVENTS}, kept AS (

@@ -29,7 +29,13 @@ def by_state(
 
 
 def page(df: DataFrame, order: Sequence[str] = ("id",), limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows offset..offset+limit in the given order."""
+    """Rows offset..offset+limit in the given order.
+
+    All other columns that can be ordered break ties, so that pages do not
+    overlap and both ways of finding a page give the same rows.
+    """
+    ties = [field.name for field in df.schema if field.name not in order and field.dataType.typeName() not in ("map", "variant")]
+    order = [*order, *ties]
     if offset + limit <= DEEPEST_TOP_K:
         return df.orderBy(*order).offset(offset).limit(limit)
     place = F.col("_place")

@@ -51,9 +51,9 @@ def with_frame(
     blocks by their place over all files, which needs no sampling pass.
     """
     index = F.col("sample_idx")
-    home = F.floor(index / block_rows)
-    first = F.floor(F.greatest(index - ahead, F.lit(0)) / block_rows)
-    last = F.floor((index + back) / block_rows)
+    home = F.call_function("div", index, F.lit(block_rows))
+    first = F.call_function("div", F.greatest(index - ahead, F.lit(0)), F.lit(block_rows))
+    last = F.call_function("div", index + back, F.lit(block_rows))
     spread = samples.withColumn(BLOCK, F.explode(F.sequence(first, last)))
     at_home = F.col(BLOCK) == home
     keys = ("file_idx", "sample_idx", value)
@@ -86,7 +86,7 @@ def _in_runs(lean: DataFrame, offsets: DataFrame, partitions: int | None, block_
     number = partitions or int(lean.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = max(1, math.ceil(total / number))
     placed = join_lookup(lean, offsets.select("file_idx", "file_offset"), ["file_idx"], F.col("sample_idx"))
-    run = F.floor((F.col("file_offset") + F.col(BLOCK) * block_rows) / share)
+    run = F.call_function("div", F.col("file_offset") + F.col(BLOCK) * block_rows, F.lit(share))
     # copies behind a file's end may point beyond the last run; they are dropped after the window
     return placed.withColumn(RUN, F.least(run, F.lit(number - 1)).cast("int")).repartitionById(number, RUN)
 

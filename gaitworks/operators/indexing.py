@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaitworks.operators.joins import join_lookup
-from gaitworks.session import materialized
+from gaitworks.operators.joins import BROADCAST_BYTES, join_lookup, join_stored
+from gaitworks.session import materialized, stored, stored_bytes
 
 BLOCK_ROWS = 1 << 20
 OFFSET_BLOCK = 1 << 16
@@ -46,10 +46,8 @@ def sample_index(
     ranges, and a range that is still too heavy is cut again, so that no task
     numbers more than ``block_rows`` rows however the rows are spread over
     files (only rows that agree in all order columns stay together). The
-    tables of heavy ranges and of range starts are broadcast: a heavy range
-    has over ``block_rows`` rows and is cut into at most
-    ``2 * rows / block_rows + 1`` parts, so both have at most a few entries per
-    ``block_rows`` input rows.
+    tables of heavy ranges and of range starts have a few entries per
+    ``block_rows`` input rows; they are stored, and broadcast if their size allows.
     """
     files, order = list(files), list(order)
     keys = [_as_long(df, column) for column in order]
@@ -67,11 +65,11 @@ def sample_index(
             .agg(F.count("*").alias("_n"), *bounds)
             .where((F.col("_n") > block_rows) & spread)
         )
+        heavy = stored(heavy, "heavy-ranges")
         if heavy.isEmpty():
             break
-        heavy = materialized(heavy)
         if split_files is None:
-            split_files = F.broadcast(heavy.select(*files).withColumn("_split", F.lit(True)))
+            split_files = _sized(stored(heavy.select(*files).withColumn("_split", F.lit(True)), "split-files"))
         parts = 2.0 * F.col("_n") / block_rows
         cut = None
         for i, key in enumerate(keys):
@@ -80,7 +78,7 @@ def sample_index(
             position = F.floor((key - low - F.pmod(key - low, width)) / width)
             cut = F.when(high > low, position) if cut is None else cut.when(high > low, position)
         block = f"_block{level}"
-        rows = _join_null_safe(rows, F.broadcast(heavy), files + blocks, "left")
+        rows = _join_null_safe(rows, _sized(heavy), files + blocks, "left")
         rows = rows.withColumn(block, F.coalesce(cut, F.lit(0).cast("long")))
         rows = rows.select(*df.columns, *blocks, block)
         blocks.append(block)
@@ -95,10 +93,15 @@ def sample_index(
     )
     earlier = Window.partitionBy(*files).orderBy(*blocks).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*files, *blocks, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    placed = _join_null_safe(numbered, F.broadcast(starts), files + blocks, "left")
+    placed = _join_null_safe(numbered, _sized(stored(starts, "range-starts")), files + blocks, "left")
     return placed.withColumn(name, F.col(name) + F.coalesce("_start", F.lit(0))).select(*df.columns, name)
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small."""
+    return F.broadcast(table) if stored_bytes(table) <= BROADCAST_BYTES else table
+
+
 def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi join in which null keys match; the right side's key columns are dropped."""
     renamed = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
@@ -147,7 +150,7 @@ def with_offsets(
     Files are summed in blocks of consecutive indices; the single-task window
     only sees one row per block.
     """
-    blocked = files.withColumn("_blk", F.floor(F.col(order) / block))
+    blocked = files.withColumn("_blk", F.call_function("div", F.col(order), F.lit(block)))
     within = Window.partitionBy("_blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     totals = blocked.groupBy("_blk").agg(F.sum(value).alias("_total"))
@@ -172,14 +175,17 @@ def total_samples(files: DataFrame) -> DataFrame:
 def file_ranges(files: DataFrame, total: int, cap: int | None = None) -> DataFrame:
     """``[start, end)`` of each file from the offsets alone, cut at the cap, and its rebased offset.
 
-    ``files`` has dense ``file_idx`` and ``file_offset``; a file ends where the
-    next one starts, which is an equi join on the index.
+    ``files`` has ``file_idx``, with or without gaps, and ``file_offset``. With
+    a ``num_samples`` column a file ends so many rows after its start; without,
+    where the next file in order starts.
     """
     limit = total if cap is None or cap <= 0 else min(cap, total)
-    following = files.select((F.col("file_idx") - 1).alias("file_idx"), F.col("file_offset").alias("_next"))
+    if "num_samples" in files.columns:
+        ended = files.withColumn("_next", F.col("file_offset") + F.col("num_samples")).drop("num_samples")
+    else:
+        ended = _with_next(files, "file_offset")
     ranges = (
-        files.join(following, "file_idx", "left")
-        .withColumnRenamed("file_offset", "start")
+        ended.withColumnRenamed("file_offset", "start")
         .withColumn("end", F.least(F.coalesce("_next", F.lit(total)), F.lit(limit)).cast("long"))
         .drop("_next")
         .where(F.col("end") > F.col("start"))
@@ -188,6 +194,19 @@ def file_ranges(files: DataFrame, total: int, cap: int | None = None) -> DataFra
     return with_offsets(ranges, name="out_offset")
 
 
+def _with_next(files: DataFrame, value: str, order: str = "file_idx", block: int = OFFSET_BLOCK) -> DataFrame:
+    """Adds ``_next``, the value of the next file in order, null for the last one.
+
+    Looked for within blocks of indices first; the single-task window only sees
+    one row per block.
+    """
+    blocked = files.withColumn("_blk", F.call_function("div", F.col(order), F.lit(block)))
+    firsts = blocked.groupBy("_blk").agg(F.min_by(value, order).alias("_first"))
+    after = firsts.select("_blk", F.lead("_first").over(Window.orderBy("_blk")).alias("_after"))
+    inner = F.lead(value).over(Window.partitionBy("_blk").orderBy(order))
+    return blocked.withColumn("_in", inner).join(after, "_blk").select(*files.columns, F.coalesce("_in", "_after").alias("_next"))
+
+
 def cap_files(files: DataFrame, max_files: int | None) -> DataFrame:
     """The first files in path order; none or a number below 1 keeps all."""
     if max_files is None or max_files <= 0:
@@ -216,12 +235,17 @@ def cap_samples(samples: DataFrame, files: DataFrame, max_samples: int | None) -
     kept = files.where(F.col("file_offset") < max_samples).select(
         "file_idx", (F.lit(max_samples) - F.col("file_offset")).alias("_rows")
     )
+    kept = stored(kept, "files-in-reach")
     last = kept.agg(F.coalesce(F.max("file_idx"), F.lit(-1))).first()[0]
     near = samples.where((F.col("file_idx") <= last) & (F.col("sample_idx") < max_samples))
-    joined = join_lookup(near, kept, ["file_idx"], F.col("sample_idx"))
+    joined = join_stored(near, kept, ["file_idx"], F.col("sample_idx"))
     return joined.where(F.col("sample_idx") < F.col("_rows")).drop("_rows")
 
 
+def _bucket(place: Column, bucket: int) -> Column:
+    return F.call_function("div", place.cast("long"), F.lit(bucket).cast("long"))
+
+
 def locate_samples(
     rows: DataFrame, files: DataFrame, row: str = "global_row", bucket: int | None = None
 ) -> DataFrame:
@@ -232,17 +256,17 @@ def locate_samples(
     average; and as every entry covers at least one row, a bucket never has
     more entries than rows.
     """
-    filled = files.where(F.col("num_samples") > 0)
+    filled = stored(files.where(F.col("num_samples") > 0).select("file_idx", "file_offset", "num_samples"), "filled-files")
     if bucket is None:
         bucket = filled.agg(F.coalesce(F.ceil(F.avg("num_samples")), F.lit(1))).first()[0]
     spans = filled.select(
         "file_idx", "file_offset", (F.col("file_offset") + F.col("num_samples")).alias("_end")
     ).withColumn(
         "_bucket",
-        F.explode(F.sequence(F.floor(F.col("file_offset") / bucket), F.floor((F.col("_end") - 1) / bucket))),
+        F.explode(F.sequence(_bucket(F.col("file_offset"), bucket), _bucket(F.col("_end") - 1, bucket))),
     )
     inside = (F.col(row) >= F.col("file_offset")) & (F.col(row) < F.col("_end"))
-    looked_up = rows.withColumn("_bucket", F.floor(F.col(row) / bucket))
+    looked_up = rows.withColumn("_bucket", _bucket(F.col(row), bucket))
     return (
         join_lookup(looked_up, spans, ["_bucket"], F.struct(*rows.columns))
         .where(inside)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+from gaitworks.session import stored, stored_bytes
+
+BROADCAST_BYTES = 8 << 20
 SALTS = 64
 
 
@@ -17,19 +19,32 @@ def join_lookup(
     keys: Sequence[str],
     spread: Column,
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join with a narrow lookup side, broadcast only after counting it.
+    """Join with a narrow lookup side, broadcast only if it is known to be small.
 
-    The count stops at ``max_rows + 1`` rows; the lookup sides here have a few
-    short columns, so the bound is some tens of megabytes. A larger lookup is
-    repeated once per salt and the large side's rows are dealt to the salts by
-    ``spread``, so that a key which holds a third of all rows is joined by
-    many tasks, and no later window takes over a partitioning by the bare key.
+    The lookup side is computed once, into the shared folder, and the size of
+    its files decides. A larger lookup is repeated once per salt and the large
+    side's rows are dealt to the salts by ``spread``, so that a key which holds
+    a third of all rows is joined by many tasks, and no later window takes over
+    a partitioning by the bare key.
     """
+    return join_stored(large, stored(lookup, "lookup"), keys, spread, how, max_bytes, salts)
+
+
+def join_stored(
+    large: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    spread: Column,
+    how: str = "inner",
+    max_bytes: int = BROADCAST_BYTES,
+    salts: int = SALTS,
+) -> DataFrame:
+    """``join_lookup`` with a lookup side that is stored already."""
     keys = list(keys)
-    if lookup.limit(max_rows + 1).count() <= max_rows:
+    if stored_bytes(lookup) <= max_bytes:
         return large.join(F.broadcast(lookup), keys, how)
     dealt = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))

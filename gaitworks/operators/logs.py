@@ -2,41 +2,66 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaitworks.functions.values import ABSENT, VALUE, VALUE_TYPE, value_of
 from gaitworks.operators.joins import join_lookup
+from gaitworks.session import stored
 
 DEFAULT_ENTRIES = 100
-
-
-def _member(value: Column | str, path: str) -> Column:
-    return F.try_variant_get(value, path, "variant")
-
-
-def kind(value: Column | str) -> Column:
-    """The JSON kind of a variant by its first letters: OBJECT, ARRAY, STRING and so on."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+#: Spark's own limit for cutting groups before a shuffle; lines counted together beyond it.
+MAP_SIDE, LINE_BLOCK = 1000, 10_000
+
+
+_ENTRY = f"struct<message: {VALUE}, nested: {VALUE}, log: {VALUE}>"
+
+
+def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    entry = pa.struct([(name, VALUE_TYPE) for name in ("message", "nested", "log")])
+    for batch in batches:
+        rows, results, failed = [], [], []
+        for row, line in enumerate(batch.column(2).to_pylist()):
+            # most lines that are skipped are blank
+            if not line or line.isspace():
+                continue
+            try:
+                found = json.loads(line)
+            except (ValueError, RecursionError):
+                continue
+            if not isinstance(found, dict) or ("result" not in found and "error" not in found):
+                continue
+            result = found.get("result", ABSENT)
+            held = result if isinstance(result, dict) else {}
+            message = held.get("message", ABSENT)
+            nested = message.get("message", ABSENT) if isinstance(message, dict) else ABSENT
+            rows.append(row)
+            failed.append(result is ABSENT)
+            results.append(None if result is ABSENT else {
+                "message": value_of(message), "nested": value_of(nested), "log": value_of(held.get("log", ABSENT)),
+            })
+        taken = pa.array(rows, pa.int64())
+        columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(results, entry), pa.array(failed, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["trial_id", "line_no", "result", "failed"])
 
 
 def trial_entries(lines: DataFrame) -> DataFrame:
     """``trial_id, line_no, result`` of the lines that hold a result, up to a trial's first error line.
 
-    Blank, malformed and non-object lines are skipped; a line with both a
-    result and an error counts as a result. The first error is a minimum per
-    trial, so that no trial has to be walked through in one task.
+    Lines are read as Python's decoder reads them: ``NaN`` is a number, and of
+    a repeated member the last one counts. Blank, malformed and non-object
+    lines are skipped; a line with both a result and an error counts as a
+    result. Each line is parsed once, into a stored table. The first error is
+    a minimum per trial, so that no trial has to be walked through in one task.
     """
-    parsed = lines.select("trial_id", "line_no", F.try_parse_json("line").alias("_v"))
-    # only an object has members, so other JSON drops out here
-    members = parsed.select(
-        "trial_id", "line_no", _member("_v", "$.result").alias("result"), _member("_v", "$.error").alias("_error")
-    )
-    errors = (
-        members.where(F.col("result").isNull() & F.col("_error").isNotNull())
-        .groupBy("trial_id")
-        .agg(F.min("line_no").alias("_stop"))
-    )
-    results = members.where(F.col("result").isNotNull()).select("trial_id", "line_no", "result")
+    schema = f"trial_id {lines.schema['trial_id'].dataType.simpleString()}, line_no long, result {_ENTRY}, failed boolean"
+    parsed = stored(lines.select("trial_id", F.col("line_no").cast("long"), "line").mapInArrow(_parse, schema), "log-lines")
+    errors = parsed.where("failed").groupBy("trial_id").agg(F.min("line_no").alias("_stop"))
+    results = parsed.where(~F.col("failed")).select("trial_id", "line_no", "result")
     return (
         join_lookup(results, errors, ["trial_id"], F.col("line_no"), "left")
         .where(F.col("_stop").isNull() | (F.col("line_no") < F.col("_stop")))
@@ -44,41 +69,42 @@ def trial_entries(lines: DataFrame) -> DataFrame:
     )
 
 
-def _as_text(value: Column) -> Column:
-    """A JSON value as text: strings as they are, literals capitalised, containers as JSON."""
-    return (
-        F.when(F.is_variant_null(value), F.lit("None"))
-        .when(kind(value) == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
-        .when(kind(value).isin("OBJECT", "ARRAY"), F.to_json(value))
-        .otherwise(F.try_variant_get(value, "$", "string"))
-    )
-
-
 def log_message(entry: Column | str) -> Column:
     """The message of an entry; null when it has none.
 
     ``message`` as text, or the ``message`` inside it; ``log`` only where there
-    is no ``message`` at all.
+    is no ``message`` at all. What is no text comes as Python writes it.
     """
     entry = F.col(entry) if isinstance(entry, str) else entry
-    message, nested, log = _member(entry, "$.message"), _member(entry, "$.message.message"), _member(entry, "$.log")
-    from_message = F.when(kind(message) == "STRING", F.try_variant_get(message, "$", "string")).when(
-        (kind(message) == "OBJECT") & nested.isNotNull(), _as_text(nested)
-    )
-    return F.when(message.isNotNull(), from_message).otherwise(F.when(log.isNotNull(), _as_text(log)))
+    message, nested, log = entry["message"], entry["nested"], entry["log"]
+    from_message = F.when(message["kind"] == "string", message["text"]).when(message["kind"] == "object", nested["text"])
+    return F.when(message.isNotNull(), from_message).otherwise(log["text"])
 
 
 def log_tail(entries: DataFrame, limit: int = DEFAULT_ENTRIES, end: str = "last") -> DataFrame:
     """The first or last ``limit`` entries of each trial.
 
-    Spark cuts each trial on the map side first, so a long trial does not
-    travel whole.
+    Up to ``MAP_SIDE`` entries Spark cuts each trial on the map side, so a long
+    trial does not travel whole. A higher limit is found by counting: blocks of
+    line numbers are counted, whole blocks are kept or dropped by the running
+    sum of the counts, and only the one block in which the limit falls is ranked.
     """
     if end not in ("first", "last"):
         raise ValueError(f"end must be first or last, not {end!r}")
-    order = F.col("line_no").desc() if end == "last" else F.col("line_no")
-    ranked = Window.partitionBy("trial_id").orderBy(order)
-    return entries.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= limit).drop("_rank")
+    place = -F.col("line_no") if end == "last" else F.col("line_no")
+    if limit <= MAP_SIDE:
+        ranked = Window.partitionBy("trial_id").orderBy(place)
+        return entries.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= limit).drop("_rank")
+    block = F.call_function("div", place, F.lit(LINE_BLOCK))
+    counts = entries.groupBy("trial_id", block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("trial_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < limit)
+    placed = entries.withColumn("_block", block)
+    kept = join_lookup(placed, sums, ["trial_id", "_block"], F.col("line_no"))
+    whole = kept.where(F.col("_before") + F.col("_n") <= limit).select(*entries.columns)
+    inside = Window.partitionBy("trial_id", "_block").orderBy(place)
+    cut = kept.where(F.col("_before") + F.col("_n") > limit).withColumn("_rank", F.row_number().over(inside))
+    return whole.unionByName(cut.where(F.col("_before") + F.col("_rank") <= limit).select(*entries.columns))
 
 
 def log_text(entries: DataFrame, limit: int = DEFAULT_ENTRIES, end: str = "first") -> DataFrame:

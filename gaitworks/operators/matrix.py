@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE = 128
+#: Parts that the left tiles of one range of k are dealt to; the right tiles go to each.
+PARTS = 16
 
 
 def _tiles(cells: DataFrame, row: str, column: str, side: str, tile: int) -> DataFrame:
@@ -19,8 +21,8 @@ def _tiles(cells: DataFrame, row: str, column: str, side: str, tile: int) -> Dat
     not travel row by row.
     """
     placed = cells.select(
-        F.floor(F.col(row) / tile).alias(f"{side}_row"),
-        F.floor(F.col(column) / tile).alias(f"{side}_col"),
+        F.call_function("div", F.col(row) - F.pmod(F.col(row), F.lit(tile)), F.lit(tile)).alias(f"{side}_row"),
+        F.call_function("div", F.col(column) - F.pmod(F.col(column), F.lit(tile)), F.lit(tile)).alias(f"{side}_col"),
         (F.pmod(F.col(row), F.lit(tile)) * tile + F.pmod(F.col(column), F.lit(tile))).cast("int").alias("_at"),
         F.col("v").cast("double").alias("_v"),
     )
@@ -37,7 +39,8 @@ def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataF
 
     Tiles that share a range of k are joined and multiplied with NumPy, and
     the partial cells are summed before the last shuffle. The join thus
-    handles pairs of tiles, not pairs of cells.
+    handles pairs of tiles, not pairs of cells; a range of k with many tiles,
+    as all are where the inner dimension is small, is joined by many tasks.
     """
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,9 +52,12 @@ def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataF
                 a, b = np.zeros(tile * tile), np.zeros(tile * tile)
                 a[l_at], b[r_at] = l_v, r_v
                 product = (a.reshape(tile, tile) @ b.reshape(tile, tile)).reshape(-1)
-                filled_a, filled_b = np.zeros(tile * tile), np.zeros(tile * tile)
-                filled_a[l_at], filled_b[r_at] = 1, 1
-                met = np.flatnonzero(filled_a.reshape(tile, tile) @ filled_b.reshape(tile, tile))
+                if len(l_at) == len(r_at) == tile * tile:
+                    met = np.arange(tile * tile)
+                else:
+                    filled_a, filled_b = np.zeros(tile * tile), np.zeros(tile * tile)
+                    filled_a[l_at], filled_b[r_at] = 1, 1
+                    met = np.flatnonzero(filled_a.reshape(tile, tile) @ filled_b.reshape(tile, tile))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(top * tile + met // tile, pa.int64()),
@@ -63,7 +69,10 @@ def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataF
 
     lefts = _tiles(left, "i", "k", "l", tile)
     rights = _tiles(right, "k", "j", "r", tile)
-    pairs = lefts.join(rights, lefts["l_col"] == rights["r_row"]).select("l_row", "r_col", "l_at", "l_v", "r_at", "r_v")
+    lefts = lefts.withColumn("l_part", F.pmod(F.xxhash64("l_row"), F.lit(PARTS)))
+    rights = rights.withColumn("r_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    same = (lefts["l_col"] == rights["r_row"]) & (lefts["l_part"] == rights["r_part"])
+    pairs = lefts.join(rights, same).select("l_row", "r_col", "l_at", "l_v", "r_at", "r_v")
     partial = pairs.mapInArrow(multiply, "i long, j long, v double")
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaitworks.operators import checks
 from gaitworks.operators.features import BLOCK_ROWS, FEATURES, derive, needs_window, window_partitions
-from gaitworks.operators.indexing import cap_samples, file_ranges
+from gaitworks.operators.indexing import cap_samples, file_ranges, with_offsets
 from gaitworks.sources import datasets, recordings
 from gaitworks.spec import RolloutSpec
 
@@ -74,9 +74,9 @@ def rebuild_from_recordings(
 ) -> datasets.Dataset:
     """Recordings to a derived dataset, one shard folder per recording.
 
-    Fields are trimmed in the decoder. The one shuffle brings each block of a
-    recording together for the windows, and the blocks are written as they
-    lie, so a shard folder has at most one part per block.
+    Fields are trimmed in the decoder. The one shuffle deals blocks to
+    partitions by their place over all files, so a task holds neighbouring
+    blocks, and a shard folder has one part per task that holds some of its rows.
     """
     profiled = recordings.profile(files)
     checks.raise_if_any(checks.require_fields(profiled, [state, action]), "missing fields", ["file_idx", "field"])
@@ -84,9 +84,9 @@ def rebuild_from_recordings(
     trim = {state: (spec.state_dim,), action: (spec.horizon_steps, spec.action_dim)}
     samples = recordings.read_recordings(profiled, [state, action], trim)
     samples = samples.withColumnsRenamed({state: "state", action: "action"})
-    counted = recordings.files_table(profiled, state)
+    counted = with_offsets(recordings.files_table(profiled, state))
     partitions = _partitions(counted, spec, block_rows)
-    derived = derive(samples, spec, features, block_rows, partitions=partitions, trimmed_action=True)
+    derived = derive(samples, spec, features, block_rows, offsets=counted, partitions=partitions, trimmed_action=True)
     meta = {"schema": "derived_shards", **spec.meta()}
     # rows without a window come as read, which is in runs of files just as well
     return datasets.write_shards(derived, counted, path, meta, overwrite, compression, level, part_rows=None)
@@ -111,7 +111,7 @@ def rebuild_from_dataset(
     """
     read = datasets.read_dataset(spark, source)
     total = read.files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
-    kept = file_ranges(read.files.drop("num_samples"), total, max_samples)
+    kept = file_ranges(read.files, total, max_samples)
     if kept.isEmpty():
         raise ValueError("no samples are left after the cap")
     samples = cap_samples(read.samples.select("file_idx", "sample_idx", "state", "action"), read.files, max_samples)

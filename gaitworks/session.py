@@ -73,3 +73,24 @@ def materialized(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, label: str = "table") -> DataFrame:
+    """Write a table to the shared folder as Parquet and read it back.
+
+    It is computed once, cut off from its lineage, and its size is known.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of the files of a table that ``stored`` returned; no job is run for it."""
+    spark, total = df.sparkSession, 0
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        total += system.getContentSummary(place).getLength()
+    return total

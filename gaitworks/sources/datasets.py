@@ -6,24 +6,35 @@ import math
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.parquet as parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaitworks.functions.text import path_stem
 from gaitworks.operators.checks import raise_if_any, reconcile
 from gaitworks.operators.indexing import attach_offset, with_offsets
 from gaitworks.operators.joins import join_lookup
+from gaitworks.session import stored
 from gaitworks.sources import storage
 
 SAMPLES, FILES, META = "samples", "files", "dataset_meta"
 PART_ROWS = 16_384
-MAX_PARTS = 100_000
 
 # Parquet codecs for the compression names.
 CODECS = {"none": "uncompressed", "lzf": "snappy", "gzip": "gzip"}
 # The zlib level names by number.
 ZLIB_LEVELS = (
-    "NO_COMPRESSION BEST_SPEED TWO THREE FOUR FIVE SIX SEVEN EIGHT BEST_COMPRESSION".split()
+    "NO_COMPRESSION",
+    "BEST_SPEED",
+    "TWO",
+    "THREE",
+    "FOUR",
+    "FIVE",
+    "SIX",
+    "SEVEN",
+    "EIGHT",
+    "BEST_COMPRESSION",
 )
 
 
@@ -57,9 +68,12 @@ def meta_table(spark: SparkSession, values: dict[str, object]) -> DataFrame:
     return spark.createDataFrame(rows, "key string, value string").coalesce(1)
 
 
-def _prepare(path: str, overwrite: bool) -> None:
+def _prepare(spark: SparkSession, path: str, overwrite: bool) -> None:
+    """From here until the meta table is written again, the folder is no dataset."""
     if not overwrite and storage.exists(path):
         raise FileExistsError(f"output exists: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{META}")
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def write_consolidated(
@@ -86,7 +100,7 @@ def write_consolidated(
     the write.
     """
     spark = samples.sparkSession
-    _prepare(path, overwrite)
+    _prepare(spark, path, overwrite)
     if "file_offset" not in files.columns:
         files = with_offsets(files)
     if not in_order:
@@ -98,11 +112,10 @@ def write_consolidated(
 def _in_parts(samples: DataFrame, files: DataFrame, part_rows: int) -> DataFrame:
     """Rows in global order, cut into parts of equal length."""
     total = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
-    parts = max(1, min(MAX_PARTS, math.ceil(total / part_rows)))
-    share = max(1, math.ceil(total / parts))
+    parts = max(1, math.ceil(total / part_rows))
     # a row of a file that is not listed goes to the first part, for the verification to find
     placed = join_lookup(samples, files.select("file_idx", "file_offset"), ["file_idx"], F.col("sample_idx"), "left")
-    part = F.floor((F.col("file_offset") + F.col("sample_idx")) / share).cast("int")
+    part = F.call_function("div", F.col("file_offset") + F.col("sample_idx"), F.lit(part_rows)).cast("int")
     return (
         placed.repartitionById(parts, part)
         .sortWithinPartitions("file_idx", "sample_idx")
@@ -143,9 +156,9 @@ def write_shards(
     rows are written as they lie, for input that is in runs already.
     """
     spark = samples.sparkSession
-    _prepare(path, overwrite)
+    _prepare(spark, path, overwrite)
     if part_rows:
-        run = F.floor(F.col("sample_idx") / part_rows)
+        run = F.call_function("div", F.col("sample_idx"), F.lit(part_rows))
         samples = samples.repartition("file_idx", run).sortWithinPartitions("file_idx", "sample_idx")
     (
         samples.write.mode("overwrite")
@@ -158,7 +171,12 @@ def write_shards(
 
 
 def read_dataset(spark: SparkSession, path: str, required: tuple[str, ...] = ("action", "state")) -> Dataset:
-    """Open a dataset; it must have the required fields and the files table's names and offsets."""
+    """Open a dataset; it must have the required fields and the files table's names and offsets.
+
+    A folder without its meta table was not written to the end, and is refused.
+    """
+    if not storage.exists(f"{path}/{META}/_SUCCESS"):
+        raise FileNotFoundError(f"no whole dataset at {path}: it has no {META}")
     samples = spark.read.parquet(f"{path}/{SAMPLES}").withColumn("file_idx", F.col("file_idx").cast("long"))
     files = spark.read.parquet(f"{path}/{FILES}")
     meta = spark.read.parquet(f"{path}/{META}")
@@ -194,7 +212,8 @@ def present_paths(paths: DataFrame, column: str = "path") -> DataFrame:
             found = pa.array([path is not None and storage.exists(path) for path in batch[column].to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "present"])
 
-    return paths.mapInArrow(look, schema)
+    tasks = paths.sparkSession.sparkContext.defaultParallelism * 4
+    return paths.repartition(tasks, column).mapInArrow(look, schema)
 
 
 def choose_shards(candidates: DataFrame) -> DataFrame:
@@ -243,16 +262,86 @@ def materialize(
     overwrite: bool = False,
     compression: str = "gzip",
     level: int | None = 1,
+    shard_dir: str | None = None,
+    part_rows: int = PART_ROWS,
 ) -> Dataset:
-    """Copy a sharded dataset to one compact dataset; counts are verified and meta is carried over."""
+    """Copy a sharded dataset to one compact dataset; counts are verified and meta is carried over.
+
+    The shards are read from ``shard_dir`` (the dataset's own folder if none is
+    given) if all of them are there, else from the places the files table
+    recorded. They are read part by part in the order of their samples and
+    written as read, without a shuffle of the samples.
+    """
     if not overwrite and storage.exists(target):
         raise FileExistsError(f"output exists: {target}")
-    shards = read_dataset(spark, source, required=())
-    resolve_shards(shards.files, f"{source}/{SAMPLES}")
-    meta = {key: value for key, value in shards.meta_dict().items() if key != "vds"}
-    meta |= {"materialized_from_vds": True, "source_dataset": source}
+    files = spark.read.parquet(f"{source}/{FILES}")
+    recorded = {row["key"]: row["value"] for row in spark.read.parquet(f"{source}/{META}").collect()}
+    folder = shard_dir or f"{source}/{SAMPLES}"
+    places = resolve_shards(files, folder).join(files.select("file_idx", "file_offset"), "file_idx")
+    samples = read_in_order(places, part_rows)
+    meta = {key: value for key, value in recorded.items() if key != "vds"}
+    meta |= {"materialized_from_vds": True, "source_dataset": source, "source_shard_dir": folder}
     return write_consolidated(
-        shards.samples, shards.files, target, meta, overwrite, compression=compression, level=level
+        samples, files.drop("shard_path"), target, meta, overwrite, compression=compression, level=level, in_order=True
+    )
+
+
+def read_in_order(places: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """The samples of shard folders (``file_idx, path, file_offset``), in the order of files and samples.
+
+    Footers are read first: a row group holds consecutive samples, and its
+    least index is its place. Row groups are dealt to tasks by place, in runs of
+    about ``part_rows`` samples, and each task reads its own.
+    """
+    spark = places.sparkSession
+    first = places.orderBy("file_idx").select("path").first()
+    if first is None:
+        raise ValueError("there are no shards")
+    whole = spark.read.parquet(first["path"]).schema
+    inner = [name for name in whole.names if name != "file_idx"]
+    schema = T.StructType([T.StructField("file_idx", T.LongType()), *[field for field in whole if field.name != "file_idx"]])
+
+    def groups(batches):
+        for batch in batches:
+            for file_idx, path, offset in zip(*[batch[name].to_pylist() for name in ("file_idx", "path", "file_offset")]):
+                for part in storage.list_dir(path):
+                    if not part.endswith(".parquet"):
+                        continue
+                    system, place = storage.resolve(part)
+                    with system.open_input_file(place) as raw:
+                        footer = parquet.ParquetFile(raw).metadata
+                    at = [footer.schema.column(i).path for i in range(footer.num_columns)].index("sample_idx")
+                    facts = [footer.row_group(i) for i in range(footer.num_row_groups)]
+                    found = [(i, group.column(at).statistics.min, group.num_rows) for i, group in enumerate(facts) if group.num_rows]
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "file_idx": pa.array([file_idx] * len(found), pa.int64()),
+                            "part": pa.array([part] * len(found), pa.string()),
+                            "row_group": pa.array([i for i, _, _ in found], pa.int32()),
+                            "place": pa.array([offset + start for _, start, _ in found], pa.int64()),
+                            "rows": pa.array([rows for _, _, rows in found], pa.int64()),
+                        }
+                    )
+
+    def read(batches):
+        for batch in batches:
+            for file_idx, part, group in zip(*[batch[name].to_pylist() for name in ("file_idx", "part", "row_group")]):
+                system, place = storage.resolve(part)
+                with system.open_input_file(place) as raw:
+                    for found in parquet.ParquetFile(raw).iter_batches(256, row_groups=[group], columns=inner):
+                        index = pa.array([file_idx] * found.num_rows, pa.int64())
+                        yield pa.RecordBatch.from_arrays([index, *[found[name] for name in inner]], ["file_idx", *inner])
+
+    tasks = spark.sparkContext.defaultParallelism * 4
+    listed = places.select("file_idx", "path", "file_offset").repartition(tasks, "file_idx")
+    found = stored(listed.mapInArrow(groups, "file_idx long, part string, row_group int, place long, rows long"), "row-groups")
+    facts = found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("place"), F.lit(0)).alias("last")).first()
+    parts = max(1, math.ceil(facts["rows"] / part_rows))
+    share = facts["last"] // parts + 1
+    return (
+        found.repartitionById(parts, F.call_function("div", F.col("place"), F.lit(share)).cast("int"))
+        .sortWithinPartitions("place")
+        .mapInArrow(read, schema)
     )
 
 

@@ -27,7 +27,6 @@ from gaitworks.sources import storage
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
 # tasks of a read: enough for large clusters, few enough for one shuffle
-MAX_TASKS = 100_000
 # what opening a split costs, in bytes read
 OPEN_COST = 1 << 20
 
@@ -226,7 +225,7 @@ def read_recordings(
     # each task gets a run of splits of about equal cost, in file and sample order
     cores = profiled.sparkSession.sparkContext.defaultParallelism
     pieces = math.ceil(facts["cost"] / split_bytes)
-    tasks = max(1, min(MAX_TASKS, facts["splits"], max(pieces, cores)))
+    tasks = max(1, min(facts["splits"], max(pieces, cores)))
     share = max(1, math.ceil(facts["cost"] / tasks))
     placed = with_offsets(measured.where(F.col("_n") > 0), value="_cost", name="_at")
     splits = (

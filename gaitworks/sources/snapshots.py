@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitworks.functions.text import normalize_state, parse_ts, path_name, path_stem
+from gaitworks.functions.values import ABSENT, VALUE, as_double, as_long, as_string, is_true, json_text, value_of
 from gaitworks.operators.indexing import sample_index
-from gaitworks.operators.logs import kind
-from gaitworks.session import materialized
 from gaitworks.sources import storage
+from gaitworks.sources.payloads import decoded
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -26,65 +26,54 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _items(payloads: DataFrame, member: str, payload: str = "payload") -> DataFrame:
-    """Explodes an array member; ``_n`` is its place. A payload without such an array gives nothing."""
-    array = F.try_variant_get(F.try_parse_json(payload), f"$.{member}", "array<variant>")
-    return payloads.select("*", F.posexplode(array).alias("_n", "_item"))
+# The members of an experiment.
+EXPERIMENT_MEMBERS = (
+    "id",
+    "name",
+    "state",
+    "username",
+    "resourcePool",
+    "parentId",
+    "progress",
+    "startTime",
+    "endTime",
+    "description",
+    "config",
+    "numTrials",
+)
 
 
-def _members(item: Column, *names: str) -> Column:
-    """The named members of an object, each as a variant; null for anything else.
-
-    One walk through the object; an absent member is null, a JSON null is a variant.
-    """
-    fields = ", ".join(f"`{name}` variant" for name in names)
-    return F.try_variant_get(item, "$", f"struct<{fields}>")
-
-
-def _scalar(value: Column, type_: str) -> Column:
-    return F.try_variant_get(value, "$", type_)
-
-
-def _whole_number(value: Column) -> Column:
-    """A JSON value as integer: numbers are cut, text must be an integer, true is 1; else null."""
-    text = _scalar(value, "string")
-    return (
-        F.when(kind(value) == "BIGINT", _scalar(value, "long"))
-        .when(kind(value) == "STRING", F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(text).try_cast("long")))
-        .when(kind(value) == "BOOLEAN", _scalar(value, "boolean").cast("long"))
-        .when(kind(value).isin("DECIMAL", "DOUBLE", "FLOAT"), _scalar(value, "double").try_cast("long"))
-    )
+def _values(names: Iterable[str]) -> str:
+    return ", ".join(f"`{name}` {VALUE}" for name in names)
 
 
 def experiments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Rows of ``{"experiments": [...]}``; entries without a readable id are dropped, an absent id is 0."""
-    names = (
-        "id name state username resourcePool parentId progress startTime endTime description config numTrials"
-    ).split()
-    rows = (
-        _items(payloads, "experiments", payload)
-        .select(_members(F.col("_item"), *names).alias("_e"))
-        .where(F.col("_e").isNotNull())
-        .select("_e.*")
-    )
+
+    def rows(at: int, item: object) -> Iterator[tuple]:
+        if isinstance(item, dict):
+            config = json_text(item["config"]) if "config" in item else None
+            yield (*[value_of(item.get(name, ABSENT)) for name in EXPERIMENT_MEMBERS], config)
+
+    found = decoded(payloads.select(payload), "experiments", rows, _values(EXPERIMENT_MEMBERS) + ", _config string", payload)
 
     def text_or(member: str, default: str) -> Column:
-        return F.when(F.col(member).isNull(), F.lit(default)).otherwise(_scalar(F.col(member), "string"))
+        return F.when(F.col(member).isNull(), F.lit(default)).otherwise(as_string(F.col(member)))
 
-    return rows.select(
-        F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(_whole_number(F.col("id"))).alias("id"),
+    # a stamp that is no text does not look like one either
+    return found.select(
+        F.when(F.col("id").isNull(), F.lit(0).cast("long")).otherwise(as_long(F.col("id"))).alias("id"),
         text_or("name", "").alias("name"),
-        normalize_state(_scalar(F.col("state"), "string")).alias("state"),
+        normalize_state(as_string(F.col("state"))).alias("state"),
         text_or("username", "").alias("owner"),
-        _scalar(F.col("resourcePool"), "string").alias("resource_pool"),
-        _scalar(F.col("parentId"), "long").alias("parent_id"),
-        _scalar(F.col("progress"), "double").alias("progress"),
-        # a stamp that is no text does not look like one either
-        parse_ts(_scalar(F.col("startTime"), "string")).alias("started_at"),
-        parse_ts(_scalar(F.col("endTime"), "string")).alias("ended_at"),
-        _scalar(F.col("description"), "string").alias("description"),
-        F.to_json(F.col("config")).alias("config"),
-        _scalar(F.col("numTrials"), "int").alias("num_trials"),
+        as_string(F.col("resourcePool")).alias("resource_pool"),
+        as_long(F.col("parentId")).alias("parent_id"),
+        as_double(F.col("progress")).alias("progress"),
+        parse_ts(as_string(F.col("startTime"))).alias("started_at"),
+        parse_ts(as_string(F.col("endTime"))).alias("ended_at"),
+        as_string(F.col("description")).alias("description"),
+        F.col("_config").alias("config"),
+        as_long(F.col("numTrials")).try_cast("int").alias("num_trials"),
     ).where(F.col("id").isNotNull())
 
 
@@ -92,17 +81,6 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     return experiments(read_payloads(spark, path))
 
 
-def _truth(value: Column) -> Column:
-    """Whether a JSON value counts as true: zero, null and empty ones do not."""
-    return (
-        F.when(F.is_variant_null(value), F.lit(False))
-        .when(kind(value) == "BOOLEAN", _scalar(value, "boolean"))
-        .when(kind(value) == "STRING", F.length(_scalar(value, "string")) > 0)
-        .when(kind(value).isin("OBJECT", "ARRAY"), ~F.to_json(value).isin("{}", "[]"))
-        .otherwise(_scalar(value, "double") != 0)
-    )
-
-
 def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per slot of ``{"agents": [...]}``.
 
@@ -110,41 +88,28 @@ def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     list, or the bare value. ``container_id`` comes from a container object's
     id or a bare string. An absent ``enabled`` is true, a null one false.
     """
-    agents = _items(payloads, "agents", payload).select(
-        _members(F.col("_item"), "id", "label", "resourcePools", "slots").alias("_a")
-    )
-    listed = _scalar(F.col("_a.resourcePools"), "array<variant>")
-    pool = F.when(listed.isNotNull(), _scalar(F.get(listed, F.lit(0)), "string")).otherwise(
-        _scalar(F.col("_a.resourcePools"), "string")
-    )
-    described = agents.where(F.col("_a").isNotNull()).select(
-        F.coalesce(_scalar(F.col("_a.id"), "string"), F.lit("None")).alias("agent_id"),
-        _scalar(F.col("_a.label"), "string").alias("agent_label"),
-        pool.alias("resource_pool"),
-        # an object's values or an array's items; a scalar is neither
-        F.explode(
-            F.coalesce(
-                F.map_values(_scalar(F.col("_a.slots"), "map<string, variant>")),
-                _scalar(F.col("_a.slots"), "array<variant>"),
-            )
-        ).alias("_slot"),
-    )
-    container, enabled = F.col("_s.container"), F.col("_s.enabled")
-    held = _members(container, "id")
-    return (
-        described.withColumn("_s", _members(F.col("_slot"), "id", "device", "enabled", "container"))
-        .where(F.col("_s").isNotNull())
-        .select(
-            F.coalesce(_scalar(F.col("_s.id"), "string"), F.lit("None")).alias("slot_id"),
-            "agent_id",
-            "agent_label",
-            _scalar(F.col("_s.device"), "string").alias("device"),
-            F.when(enabled.isNull(), F.lit(True)).otherwise(_truth(enabled)).alias("enabled"),
-            F.when(held.isNotNull(), _scalar(held["id"], "string"))
-            .when(kind(container) == "STRING", _scalar(container, "string"))
-            .alias("container_id"),
-            "resource_pool",
-        )
+
+    def rows(at: int, agent: object) -> Iterator[tuple]:
+        if not isinstance(agent, dict):
+            return
+        pools_, held = agent.get("resourcePools", ABSENT), agent.get("slots")
+        pool = (pools_[0] if pools_ else ABSENT) if isinstance(pools_, list) else pools_
+        shared = [value_of(agent.get("id", ABSENT)), value_of(agent.get("label", ABSENT)), value_of(pool)]
+        for slot in held.values() if isinstance(held, dict) else held if isinstance(held, list) else ():
+            if isinstance(slot, dict):
+                box = slot.get("container")
+                container = box.get("id", ABSENT) if isinstance(box, dict) else box if isinstance(box, str) else ABSENT
+                yield (*shared, *[value_of(slot.get(name, ABSENT)) for name in ("id", "device", "enabled")], value_of(container))
+
+    found = decoded(payloads.select(payload), "agents", rows, _values(("agent", "label", "pool", "id", "device", "enabled", "held")), payload)
+    return found.select(
+        F.coalesce(as_string(F.col("id")), F.lit("None")).alias("slot_id"),
+        F.coalesce(as_string(F.col("agent")), F.lit("None")).alias("agent_id"),
+        as_string(F.col("label")).alias("agent_label"),
+        as_string(F.col("device")).alias("device"),
+        F.when(F.col("enabled").isNull(), F.lit(True)).otherwise(is_true(F.col("enabled"))).alias("enabled"),
+        as_string(F.col("held")).alias("container_id"),
+        as_string(F.col("pool")).alias("resource_pool"),
     )
 
 
@@ -154,14 +119,23 @@ def read_slots(spark: SparkSession, path: str) -> DataFrame:
 
 def pools(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """``position, name, description`` of ``{"resourcePools": [...]}``; an absent name is empty."""
-    item = _members(F.col("_item"), "name", "description")
-    return _items(payloads, "resourcePools", payload).select(
-        F.col("_n").alias("position"),
-        F.coalesce(_scalar(item["name"], "string"), F.lit("")).alias("name"),
-        _scalar(item["description"], "string").alias("description"),
+    return _listed(payloads.select(payload), "resourcePools", ("name", "description"), payload).select(
+        "position",
+        F.coalesce(as_string(F.col("name")), F.lit("")).alias("name"),
+        as_string(F.col("description")).alias("description"),
     )
 
 
+def _listed(payloads: DataFrame, member: str, names: tuple[str, ...], payload: str) -> DataFrame:
+    """Every item of a list with its ``position``; the members of one that is no object are absent."""
+
+    def rows(at: int, item: object) -> Iterator[tuple]:
+        held = item if isinstance(item, dict) else {}
+        yield (at, *[value_of(held.get(name, ABSENT)) for name in names])
+
+    return decoded(payloads, member, rows, f"position int, {_values(names)}", payload)
+
+
 def read_pools(spark: SparkSession, path: str) -> DataFrame:
     return pools(read_payloads(spark, path))
 
@@ -172,20 +146,15 @@ def named_items(payloads: DataFrame, member: str, payload: str = "payload") -> D
     Other columns of the payloads stay beside them.
     """
     kept = [name for name in payloads.columns if name != payload]
-    item = _members(F.col("_item"), "id", "name")
-    return _items(payloads, member, payload).select(
-        *kept,
-        F.col("_n").alias("position"),
-        _scalar(item["id"], "long").alias("id"),
-        _scalar(item["name"], "string").alias("name"),
+    return _listed(payloads, member, ("id", "name"), payload).select(
+        *kept, "position", as_long(F.col("id")).alias("id"), as_string(F.col("name")).alias("name")
     )
 
 
 def trials(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """``experiment_id, trial_id, position`` of ``{"trials": [...]}``, one payload per ``experiment_id``."""
-    item = _members(F.col("_item"), "id")
-    return _items(payloads, "trials", payload).select(
-        "experiment_id", _scalar(item["id"], "string").alias("trial_id"), F.col("_n").alias("position")
+    return _listed(payloads.select("experiment_id", payload), "trials", ("id",), payload).select(
+        "experiment_id", as_string(F.col("id")).alias("trial_id"), "position"
     )
 
 
@@ -193,8 +162,7 @@ def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
     """``trial_id, line_no, line`` of NDJSON files, one per trial, named by the trial.
 
     Large files are read in splits; a line's place is its split's start and
-    its order within the split. The lines are checkpointed, since another scan
-    may split the files in another way.
+    its order within the split.
     """
     lines = spark.read.text(path).select(
         path_stem(F.col("_metadata.file_path")).alias("trial_id"),
@@ -202,7 +170,7 @@ def read_trial_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_seq"),
         F.col("value").alias("line"),
     )
-    return sample_index(materialized(lines), ["trial_id"], ["_from", "_seq"], name="line_no").select("trial_id", "line_no", "line")
+    return sample_index(lines, ["trial_id"], ["_from", "_seq"], name="line_no").select("trial_id", "line_no", "line")
 
 
 CONFIG_SCHEMA = "workspace string, project string, readable boolean"
@@ -230,7 +198,7 @@ def job_configs(texts: DataFrame, path: str = "path", text: str = "text") -> Dat
                     workspaces.append(workspace)
                     projects.append(str(project) if project else None)
                     readable.append(True)
-                except (yaml.YAMLError, AttributeError):
+                except Exception:  # noqa: BLE001 - a bad date or too deep a nesting is no reason to fail the others
                     workspaces.append(None)
                     projects.append(None)
                     readable.append(False)

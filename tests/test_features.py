@@ -66,7 +66,8 @@ def test_one_scan_one_shuffle_one_window(spark, tmp_path):
     assert exchanges(derive(read)) == (1, 1, 1)
     table = spark.createDataFrame([(0, 0, 5)], "file_idx long, file_offset long, num_samples long")
     plan = derive(read, offsets=table)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Window [") == 1 and plan.count("FileScan") == 1
+    # the samples are scanned once, and so is the stored table of offsets
+    assert plan.count("Window [") == 1 and plan.count("FileScan") == 2 and plan.count("state:array") == 1
     # besides the shuffle of the samples there is only the broadcast of the offsets
     assert plan.count("+- Exchange ") == 1 and plan.count("BroadcastExchange") == 1
     assert exchanges(derive(read, features=["cmd", "recovery_flag"])) == (0, 0, 1)
@@ -89,7 +90,7 @@ def test_large_lookups_are_salted(spark, how):
     large = spark.range(900).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("key"), "id")
     lookup = spark.range(0, 60, 2).select(F.col("id").alias("key"), *([] if how == "left_semi" else [(F.col("id") * 10).alias("x")]))
     broadcast = joins.join_lookup(large, lookup, ["key"], F.col("id"), how)
-    salted = joins.join_lookup(large, lookup, ["key"], F.col("id"), how, max_rows=3)
+    salted = joins.join_lookup(large, lookup, ["key"], F.col("id"), how, max_bytes=0)
     assert broadcast.exceptAll(salted).isEmpty() and salted.exceptAll(broadcast).isEmpty()
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
 
@@ -192,6 +193,11 @@ def test_offsets_ranges_and_lookup(spark, block):
     assert ranges(9) == [(0, 0, 4, 0), (2, 4, 7, 4), (3, 7, 9, 7)]
     assert ranges(4) == [(0, 0, 4, 0)] and ranges(0) == ranges(None)
 
+    gaps = spark.createDataFrame([(0, 0, 5), (2, 5, 4), (70_000, 9, 3)], "file_idx long, file_offset long, num_samples long")
+    for given in (gaps, gaps.drop("num_samples")):
+        found = indexing.file_ranges(given, 12).orderBy("file_idx").collect()
+        assert [(row["start"], row["end"], row["out_offset"]) for row in found] == [(0, 5, 0), (5, 9, 5), (9, 12, 9)]
+
     rows = spark.createDataFrame([(i,) for i in [*range(-1, 19), 3, 3]], "global_row long")
     for size in (None, block):
         found = indexing.locate_samples(rows, placed, bucket=size)

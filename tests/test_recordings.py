@@ -143,6 +143,60 @@ def test_rebuild_from_recordings(spark, folder, tmp_path, block_rows):
     datasets.materialize(spark, str(tmp_path / "out"), str(tmp_path / "one"), overwrite=True)
 
 
+def test_shards_are_read_where_they_are(spark, folder, tmp_path):
+    spec = RolloutSpec(joint_threshold=5.5)
+    files = recordings.list_recordings(spark, folder=str(folder))
+    built = rebuild.rebuild_from_recordings(files, str(tmp_path / "out"), spec)
+    # a dataset of files and meta alone, whose files table still tells where the shards are
+    bare = tmp_path / "bare"
+    built.files.write.parquet(str(bare / "files"))
+    built.meta.write.parquet(str(bare / "dataset_meta"))
+    copied = datasets.materialize(spark, str(bare), str(tmp_path / "one"), part_rows=7)
+    assert_derived(copied.samples, NAMES, folder, spec)
+    assert copied.meta_dict()["source_shard_dir"] == f"{bare}/samples"
+    # shards elsewhere, and no record of them
+    moved = tmp_path / "elsewhere"
+    (tmp_path / "out" / "samples").rename(moved)
+    with pytest.raises(FileNotFoundError, match="missing examples: .*file_idx=0.*file_idx=1.*file_idx=2"):
+        datasets.materialize(spark, str(bare), str(tmp_path / "two"))
+    again = datasets.materialize(spark, str(bare), str(tmp_path / "two"), shard_dir=str(moved))
+    assert_derived(again.samples, NAMES, folder, spec)
+    assert again.meta_dict()["source_shard_dir"] == str(moved)
+    placed = datasets.resolve_shards(built.files, str(moved)).join(built.files.select("file_idx", "file_offset"), "file_idx")
+    plan = datasets.read_in_order(placed, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "row_group" in plan.split("Exchange")[1]
+    read = datasets.read_in_order(placed, 7).select("file_idx", "sample_idx", F.monotonically_increasing_id().alias("m"))
+    order = [(row["file_idx"], row["sample_idx"]) for row in read.orderBy("m").collect()]
+    assert order == sorted(order) and len(order) == 62
+
+
+def test_a_failed_overwrite_leaves_no_dataset(spark, tmp_path):
+    path = str(tmp_path / "d")
+    files = spark.createDataFrame([(0, "a", 3)], "file_idx long, name string, num_samples long")
+    samples = spark.range(3).select(F.lit(0).cast("long").alias("file_idx"), F.col("id").alias("sample_idx"))
+    datasets.write_consolidated(samples, files, path)
+    assert datasets.read_dataset(spark, path, required=()).samples.count() == 3
+    with pytest.raises(ValueError):
+        datasets.write_consolidated(samples.where("sample_idx < 2"), files, path)
+    with pytest.raises(FileNotFoundError, match="no whole dataset"):
+        datasets.read_dataset(spark, path, required=())
+    datasets.write_consolidated(samples, files, path)
+    assert datasets.read_dataset(spark, path, required=()).samples.count() == 3
+
+
+def test_rebuild_of_a_rebuild_with_an_empty_recording(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    (tmp_path / "npz").mkdir()
+    for name, n in (("a", 5), ("b", 0), ("c", 4), ("d", 3)):
+        np.savez(tmp_path / "npz" / f"{name}.npz", **recording(rng, n))
+    rebuild.consolidate(recordings.list_recordings(spark, folder=str(tmp_path / "npz")), str(tmp_path / "all"), optional=["action"])
+    rebuild.rebuild_from_dataset(spark, str(tmp_path / "all"), str(tmp_path / "one"))
+    again = rebuild.rebuild_from_dataset(spark, str(tmp_path / "one"), str(tmp_path / "two"))
+    rows = [(row["file_idx"], row["file_offset"], row["num_samples"]) for row in again.files.orderBy("file_idx").collect()]
+    assert rows == [(0, 0, 5), (2, 5, 4), (3, 9, 3)]
+    assert again.samples.count() == 12
+
+
 def test_narrow_state_and_other_windows(spark, folder, tmp_path):
     spec = RolloutSpec(cond_steps=1, horizon_steps=2, state_dim=60, cmd_dim=10, joint_threshold=5.0, lin_threshold=1.0)
     files = recordings.list_recordings(spark, folder=str(folder))

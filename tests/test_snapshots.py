@@ -91,7 +91,35 @@ def test_experiments(spark, tmp_path):
     assert micros == int(datetime(2024, 1, 1, 23, tzinfo=timezone.utc).timestamp() * 1e6)
     assert rows[5]["name"] is None and rows[12]["name"] == "" and rows[12]["state"] == "UNSPECIFIED"
     assert rows[5]["started_at"] is None and rows[5]["ended_at"] is None
-    assert snapshots.experiments(payload(spark, "nope", [1], {"experiments": {"id": 1}}, {})).isEmpty()
+    assert snapshots.experiments(payload(spark, [1], {"experiments": {"id": 1}}, {}, "5", '{"experiments": [{"id": 1}], "experiments": 3}')).isEmpty()
+
+
+@pytest.mark.parametrize("text_", ["nope", "{", '{"experiments": [{"id": 1}', '{"experiments": [{"id": 1},]}', '{"a": 1} 2', "", '{"a" 1}', "[1, 2"])
+def test_broken_payloads_are_errors(spark, text_):
+    with pytest.raises(Exception, match="no JSON document"):
+        snapshots.experiments(payload(spark, text_)).collect()
+
+
+def test_payloads_as_python_reads_them(spark):
+    text_ = '{"experiments": [{"id": 9}], "x": {}, "experiments" : [ {"id": 1, "progress": NaN, "id": 2}, {"id": 3, "progress": -Infinity, "name": "NaN, {\\u00e9"} ] }'
+    rows = {row["id"]: row for row in snapshots.experiments(payload(spark, text_)).collect()}
+    assert sorted(rows) == [2, 3] and rows[2]["progress"] != rows[2]["progress"] and rows[3]["progress"] == float("-inf")
+    assert rows[3]["name"] == "NaN, {é"
+
+
+def test_a_payload_of_any_size(spark):
+    """158 MB in one document: every entry is there."""
+    # made in a task, as a row that large does not pass the driver well
+    text_ = F.concat(
+        F.lit('{"experiments": ['),
+        F.array_join(
+            F.transform(F.sequence(F.lit(0), F.lit(399_999)), lambda i: F.concat(F.lit('{"id": '), i, F.lit(', "name": "' + "n" * 340 + '", "state": "ACTIVE"}'))),
+            ", ",
+        ),
+        F.lit("]}"),
+    )
+    found = snapshots.experiments(spark.range(1).select(text_.alias("payload")))
+    assert tuple(found.agg(F.count("*"), F.sum("id"), F.min("state")).first()) == (400_000, 400_000 * 399_999 // 2, "ACTIVE")
 
 
 def test_slots(spark, tmp_path):
@@ -113,7 +141,7 @@ def test_slots(spark, tmp_path):
     assert {name: row["container_id"] for name, row in rows.items()} == {
         "0": "c", "1": None, "2": "c2", "7": None, "None": None, "9": "", "10": None}
     assert rows["7"]["resource_pool"] == "p" and rows["10"]["resource_pool"] is None
-    assert snapshots.slots(payload(spark, {"agents": {"id": 1}}, [], "{")).isEmpty()
+    assert snapshots.slots(payload(spark, {"agents": {"id": 1}}, [])).isEmpty()
 
 
 def pool_table(spark, rows):
@@ -177,7 +205,7 @@ def test_deep_page(spark, monkeypatch):
 
 
 def test_named_items_and_trials(spark):
-    named = snapshots.named_items(payload(spark, {"workspaces": [{"id": 3, "name": "w"}, 5, {"name": "v"}]}, "x"), "workspaces")
+    named = snapshots.named_items(payload(spark, {"workspaces": [{"id": 3, "name": "w"}, 5, {"name": "v"}]}, "5"), "workspaces")
     assert [tuple(row) for row in named.orderBy("position").collect()] == [(0, 3, "w"), (1, None, None), (2, None, "v")]
     documents = [(1, json.dumps({"trials": [{"id": 12}, {"id": 11}]})), (2, json.dumps({"trials": []}))]
     trials = snapshots.trials(spark.createDataFrame(documents, "experiment_id int, payload string"))
@@ -236,6 +264,34 @@ def test_trial_logs(spark, tmp_path):
     assert found == {1: texts["t1"], 2: None}
 
 
+def test_lines_as_python_reads_them(spark):
+    texts = ['{"result": {"message": "loss", "loss": NaN}}', '{"result": {"message": "a", "message": "b"}}', '{"result": {"log": 1.0}}',
+             '{"result": {"log": 1e20}}', '{"result": {"log": Infinity}}', '{"result": {"log": false}}', '{"result": {"log": [1, {"a": null}]}}',
+             '{"result": {"message": {"message": 1.50}}}', '{"result": {"log": 100000000000000000000000}}', '{"result": null}']
+    lines = spark.createDataFrame([("t", i, line) for i, line in enumerate(texts)], "trial_id string, line_no int, line string")
+    found = logs.trial_entries(lines).select("line_no", logs.log_message("result").alias("m")).orderBy("line_no").collect()
+    assert [row["m"] for row in found] == [
+        "loss", "b", "1.0", "1e+20", "inf", "False", '[1,{"a":null}]', "1.5", "100000000000000000000000", None]
+
+
+@pytest.mark.parametrize("end", ["first", "last"])
+def test_long_tails_are_found_by_counting(spark, monkeypatch, end):
+    monkeypatch.setattr(logs, "MAP_SIDE", 5)
+    monkeypatch.setattr(logs, "LINE_BLOCK", 7)
+    rows = [(t, i * 3) for t, n in (("hot", 200), ("short", 4), ("even", 21)) for i in range(n)]
+    entries = spark.createDataFrame(rows, "trial_id string, line_no long")
+    for limit in (6, 21, 50, 1000):
+        found = logs.log_tail(entries, limit, end)
+        got = {}
+        for row in found.collect():
+            got.setdefault(row["trial_id"], []).append(row["line_no"])
+        for t, n in (("hot", 200), ("short", 4), ("even", 21)):
+            whole = [i * 3 for i in range(n)]
+            assert sorted(got[t]) == (whole[:limit] if end == "first" else whole[-limit:])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(trial_id#" in plan and "_block" in plan
+
+
 def test_lines_in_splits(spark, tmp_path):
     (tmp_path / "big.log").write_text("\n".join(f"line {i}" for i in range(3000)))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
@@ -248,13 +304,15 @@ def test_lines_in_splits(spark, tmp_path):
 
 def test_job_configs(spark, tmp_path):
     files = {"a.yaml": "workspace: w\nproject: 7\n", "b.yml": "", "c.yaml": "project: p", "d.yaml": "x: [1", "e.yaml": "- 1\n",
-             "f.yml": "workspace:\nproject: ''", "g.txt": "workspace: no"}
+             "f.yml": "workspace:\nproject: ''", "g.txt": "workspace: no",
+             "h.yaml": "d: 2024-13-45", "i.yaml": "[" * 3000}
     for name, content in files.items():
         (tmp_path / name).write_text(content)
     found = [tuple(row)[1:] for row in snapshots.read_job_configs(spark, str(tmp_path)).collect()]
-    assert found == [("w", "7", True), ("default", None, True), ("default", "p", True), (None, None, False), (None, None, False), ("None", None, True)]
+    assert found == [("w", "7", True), ("default", None, True), ("default", "p", True), (None, None, False), (None, None, False), ("None", None, True),
+                     (None, None, False), (None, None, False)]
     dry = snapshots.dry_run_submissions(snapshots.read_job_configs(spark, str(tmp_path)))
-    assert tuple(ops.submission_summary(dry).first()) == (6, 6, 0)
+    assert tuple(ops.submission_summary(dry).first()) == (8, 8, 0)
 
 
 def test_project_manifest(spark, tmp_path):
