@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from gaitworks.llm.common import (
     BYTE_VALUES,
-    checked,
     free_name,
     long_array,
     mix,
@@ -144,7 +143,7 @@ def with_text(docs: DataFrame, text: str, classes: DataFrame, label: str) -> Dat
     items = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("items"))
     k1, k2 = text_keys(quoted(text))
     texts = docs.select(F.coalesce(quoted(text), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    return texts.join(checked(stored(items, f"{label}-items")), ["k1", "k2"]).select("text", "k1", "k2", "items")
+    return texts.join(stored(items, f"{label}-items"), ["k1", "k2"]).select("text", "k1", "k2", "items")
 
 
 def with_spans(docs: DataFrame, text: str, spans: DataFrame, label: str) -> tuple[DataFrame, str]:
@@ -152,7 +151,7 @@ def with_spans(docs: DataFrame, text: str, spans: DataFrame, label: str) -> tupl
     span = F.shiftleft("start", _SPAN_BITS).bitwiseOR(F.col("windows"))
     listed = spans.select("k1", "k2", span.alias("span")).distinct().groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
     names = [free_name(docs.columns, name) for name in ("k1", "k2", "spans")]
-    side = checked(stored(listed.toDF(*names), f"{label}-spans"))
+    side = stored(listed.toDF(*names), f"{label}-spans")
     k1, k2 = text_keys(quoted(text))
     keyed = docs.select("*", k1.alias(names[0]), k2.alias(names[1]))
     joined = keyed.join(side, names[:2], "left")
