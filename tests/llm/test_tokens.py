@@ -12,9 +12,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from gaitworks.llm import bpe, packing
-from gaitworks.llm.units import Encodings, units
+from gaitworks.llm.units import units
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PLAIN = public_tokenizers.path("byte_bpe_50k.json")
 ODD = "".join(["ab ", "  ", "\n", " \n ", "\n\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "'s", "é", "\u4e2d\u6587", "12", "!?", "\x00", "\U0001f600", "A"])
 
@@ -47,13 +48,14 @@ def test_units_join_to_the_text():
         assert "".join(units(text or "")) == (text or "")
 
 
-def test_the_store_stays_bounded():
-    asked = []
-    known = Encodings(lambda unit: asked.append(unit) or unit.encode(), most=3, longest=4)
-    for unit in ("a", "b", "a", "c", "d", "a", "longer", "longer"):
-        assert known[unit] == unit.encode()
-        assert len(known) <= 3
-    assert asked == ["a", "b", "c", "d", "a", "longer", "longer"]
+def test_the_store_stays_bounded(monkeypatch, tiktoken_encoding):
+    monkeypatch.setattr(bpe, "KEPT", 30)
+    monkeypatch.setattr(bpe, "LONGEST", 6)
+    encoder = bpe.Encoder(_ranks(), public_tokenizers.PATTERN)
+    for text in odd_texts():
+        ids = np.frombuffer(encoder.encode([text or "", "some more words"])[0], np.int32).tolist()
+        assert ids == tiktoken_encoding.encode_ordinary(text or "")
+        assert len(encoder.known) <= 100 and all(len(unit) <= 6 for unit in encoder.known)
 
 
 @settings(max_examples=300, deadline=None)
@@ -66,8 +68,13 @@ def test_merging_equals_the_library(text):
     encoding = _cached.setdefault("encoding", None) or _cached.__setitem__(
         "encoding", tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ) or _cached["encoding"]
-    found = [i for unit in units(text) for piece in regex.findall(public_tokenizers.PATTERN, unit) for i in bpe.merge(piece.encode(), ranks)]
-    assert found == encoding.encode_ordinary(text)
+    pieces = [piece.encode() for unit in units(text) for piece in regex.findall(public_tokenizers.PATTERN, unit)]
+    known = [ranks.get(piece) for piece in pieces]
+    alone = [[rank] if rank is not None else bpe.merge_long(piece, _merges()).tolist() for rank, piece in zip(known, pieces)]
+    assert [i for ids in alone for i in ids] == encoding.encode_ordinary(text)
+    ids, starts = bpe.merge(pieces, _merges())
+    together = [ids[a:b].tolist() if rank is None else [rank] for rank, a, b in zip(known, starts, starts[1:])]
+    assert together == alone
 
 
 _cached: dict = {}
@@ -79,20 +86,45 @@ def _ranks():
     return _cached["ranks"]
 
 
-def test_queue_gives_least_rank_then_least_position():
-    queue, draw = bpe.RankQueue(), random.Random(1)
-    entries = [(draw.choice([0, 1, 63, 64, 4095, 4096, 50000, 300000]), draw.randint(0, 50)) for _ in range(200)]
-    for entry in entries:
-        queue.put(*entry)
-    taken = []
-    while (entry := queue.take()) is not None:
-        taken.append(entry)
-    assert taken == sorted(entries)
+def _merges():
+    if "merges" not in _cached:
+        _cached["merges"] = bpe.Merges(_ranks())
+    return _cached["merges"]
+
+
+def test_merging_by_made_up_ranks():
+    """Ranks in any order, so that a merge can make a pair that comes before the rest of its bucket."""
+    draw = random.Random(8)
+    for _ in range(400):
+        together, wanted = [], []
+        tokens = [bytes([c]) for c in range(256)]
+        while len(tokens) < 265:
+            able = [*tokens[97:100], *tokens[256:]]
+            made = draw.choice(able) + draw.choice(able)
+            if made not in tokens:
+                tokens.append(made)
+        order = tokens[256:]
+        draw.shuffle(order)
+        ranks = {token: rank for rank, token in enumerate(tokens[:256] + order)}
+        for _ in range(6):
+            piece = bytes(draw.choice(b"abc") for _ in range(draw.randint(1, 14)))
+            parts = [piece[i : i + 1] for i in range(len(piece))]
+            while len(parts) > 1:
+                least = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], 999), i))
+                if parts[least] + parts[least + 1] not in ranks:
+                    break
+                parts[least : least + 2] = [parts[least] + parts[least + 1]]
+            together.append(piece)
+            wanted.append([ranks[p] for p in parts])
+        merges = bpe.Merges(ranks)
+        ids, starts = bpe.merge(together, merges)
+        assert [ids[a:b].tolist() for a, b in zip(starts, starts[1:])] == wanted
+        assert [bpe.merge_long(piece, merges).tolist() for piece in together] == wanted
 
 
 def test_a_very_long_pre_token(tiktoken_encoding):
     text = "".join(random.Random(2).choice("abcé") for _ in range(60000))
-    assert bpe.merge(text.encode(), _ranks()) == tiktoken_encoding.encode_ordinary(text)
+    assert bpe.merge_long(text.encode(), _merges()).tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
 def test_encode_and_decode(spark, tiktoken_encoding):
@@ -113,7 +145,7 @@ def test_packing_round_trip(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 100)
     values = odd_texts() + ["the cat"] * 3
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(values)], "doc_id long, text string, start int, sequence_id int")
-    pieces = packing.pack(packing.cut(packing.tokenize(docs, PLAIN), 256), capacity=256)
+    pieces = packing.pack(packing.cut(packing.tokenize(docs, PLAIN, RANKS), 256), capacity=256)
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(values)}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in pieces.collect():
