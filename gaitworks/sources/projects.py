@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaitworks.sources import storage
+from gaitworks.sources import listing, storage
 
 # The folder names left out of a project.
 EXCLUDED = (".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".ipynb_checkpoints", "wandb")
@@ -26,23 +26,14 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """``root, path`` of all files below the roots, walked in tasks.
+    """``root, path`` of all files below the roots, the paths relative to them.
 
     Spark's own listing leaves out names that start with an underscore, such
     as ``__init__.py``.
     """
-
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for root in batch["root"].to_pylist():
-                base = storage.prefix_of(root) + storage.resolve(root)[1].rstrip("/") + "/"
-                relative = [path.removeprefix(base) for path in storage.list_dir(root, recursive=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([root] * len(relative), pa.string()), pa.array(relative, pa.string())], ["root", "path"]
-                )
-
-    given = spark.createDataFrame([(root,) for root in roots], "root string").repartition(len(roots), "root")
-    return given.mapInArrow(expand, "root string, path string")
+    starts = F.create_map(*[F.lit(x) for root in roots for x in (root, len(storage.base_of(root)) + 1)])
+    found = listing.walk(spark, roots)
+    return found.select("root", F.substring("path", F.element_at(starts, F.col("root")), F.length("path")).alias("path"))
 
 
 def project_manifest(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:

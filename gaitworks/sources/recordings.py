@@ -11,6 +11,7 @@ split, read in a stream.
 from __future__ import annotations
 
 import math
+import re
 import zipfile
 from collections.abc import Iterable, Iterator, Sequence
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from gaitworks.functions.text import path_name
 from gaitworks.operators.indexing import cap_files, global_index, with_offsets
 from gaitworks.session import materialized
-from gaitworks.sources import storage
+from gaitworks.sources import listing, storage
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
@@ -47,25 +48,28 @@ def list_recordings(
 
     The folder is not searched below its first level. Indices are dense, in path order.
     """
-    wanted = [("dir", storage.absolute(folder))] if folder else []
-    wanted += [("glob", storage.absolute(pattern))] if pattern else []
-    wanted += [("file", storage.absolute(path)) for path in files]
-    if not wanted:
+    if not (folder or pattern or files):
         raise ValueError("give a folder, a pattern or files")
-
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = spark.createDataFrame([(storage.absolute(path),) for path in files], "path string")
+    if folder:
+        below = listing.walk(spark, [storage.absolute(folder)], deep=False)
+        found = found.unionByName(below.where(F.col("path").endswith(".npz")).select("path"))
+    if pattern:
+        root, wanted, deep = storage.glob_root(storage.absolute(pattern))
+        base = storage.base_of(root)
+
+        def matching(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matches = re.compile(wanted).match
+            for batch in batches:
+                yield from _text_batches("path", (p for p in batch["path"].to_pylist() if matches(p.removeprefix(base))))
+
+        found = found.unionByName(listing.walk(spark, [root], deep).select("path").mapInArrow(matching, "path string"))
+
+    def canonical(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kind, value in zip(batch["kind"].to_pylist(), batch["value"].to_pylist()):
-                if kind == "dir":
-                    found = (path for path in storage.list_dir(value) if path.endswith(".npz"))
-                elif kind == "glob":
-                    found = storage.list_glob(value)
-                else:
-                    found = [value]
-                yield from _text_batches("path", map(storage.canonical, found))
-
-    sources = spark.createDataFrame(wanted, "kind string, value string").repartition("kind", "value")
-    paths = sources.mapInArrow(expand, "path string").distinct()
+            yield from _text_batches("path", map(storage.canonical, batch["path"].to_pylist()))
+
+    paths = found.mapInArrow(canonical, "path string").distinct()
     indexed = global_index(paths, ["path"], "file_idx")
     if indexed.isEmpty():
         raise FileNotFoundError("no recordings found")

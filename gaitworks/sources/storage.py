@@ -55,20 +55,32 @@ def list_dir(path: str, recursive: bool = False) -> Iterator[str]:
             yield prefix + info.path
 
 
-def list_glob(pattern: str) -> Iterator[str]:
-    """Files that match a shell pattern; hidden names only match a literal dot."""
+def list_both(path: str) -> tuple[list[str], list[str]]:
+    """Full paths of the files and of the folders right below a folder; an absent one has none."""
+    system, inner = resolve(path)
+    prefix, files, folders = prefix_of(path), [], []
+    for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if info.type == fs.FileType.File:
+            files.append(prefix + info.path)
+        elif info.type == fs.FileType.Directory:
+            folders.append(prefix + info.path)
+    return files, folders
+
+
+def glob_root(pattern: str) -> tuple[str, str, bool]:
+    """The folder that a shell pattern starts from, a regular expression for paths relative to it, and whether it goes deeper."""
     parts = pattern.split("/")
     fixed = 0
     while fixed < len(parts) - 1 and not glob.has_magic(parts[fixed]):
         fixed += 1
     root = "/".join(parts[:fixed]) or ("/" if pattern.startswith("/") else ".")
     tail = "/".join(parts[fixed:])
-    matches = re.compile(glob.translate(tail, recursive=True, include_hidden=False)).match
-    _, inner = resolve(root)
-    base = prefix_of(root) + inner.rstrip("/") + "/"
-    for path in list_dir(root, recursive="/" in tail):
-        if matches(path.removeprefix(base)):
-            yield path
+    return root, glob.translate(tail, recursive=True, include_hidden=False), "/" in tail
+
+
+def base_of(root: str) -> str:
+    """What the full paths below a folder start with."""
+    return prefix_of(root) + resolve(root)[1].rstrip("/") + "/"
 
 
 def exists(path: str) -> bool:
