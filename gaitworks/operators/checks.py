@@ -81,7 +81,7 @@ def _field_rows(profiled: DataFrame, fields: Sequence[str]) -> DataFrame:
     asked = [
         F.struct(
             F.lit(name).alias("field"),
-            F.when(_shape(name).isNotNull(), F.slice(_shape(name), 2, 64)).alias("tail"),
+            F.when(_shape(name).isNotNull(), F.slice(_shape(name), 2, F.greatest(F.size(_shape(name)) - 1, F.lit(0)))).alias("tail"),
         )
         for name in fields
     ]

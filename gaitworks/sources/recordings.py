@@ -183,7 +183,7 @@ def read_recordings(
     row_bytes = sum(
         (
             F.aggregate(
-                F.slice(F.col(f"_f{i}.shape"), 2, 64), F.lit(4).cast("long"), lambda size, width: size * width
+                F.slice(F.col(f"_f{i}.shape"), 2, F.greatest(F.size(F.col(f"_f{i}.shape")) - 1, F.lit(0))), F.lit(4).cast("long"), lambda size, width: size * width
             )
             for i in range(len(fields))
         ),

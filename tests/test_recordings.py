@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaitworks.operators import checks
+from gaitworks.operators.features import window_partitions
 from gaitworks.plans import rebuild
 from gaitworks.sources import datasets, recordings
 from gaitworks.spec import RolloutSpec
@@ -126,6 +127,9 @@ def test_rebuild_from_recordings(spark, folder, tmp_path, block_rows):
     files = recordings.list_recordings(spark, folder=str(folder))
     built = rebuild.rebuild_from_recordings(files, str(tmp_path / "out"), spec, block_rows=block_rows)
     assert_derived(built.samples, NAMES, folder, spec)
+    # a task holds neighbouring blocks: a part for each task and file it holds, not for each block
+    tasks = window_partitions(62, spec, spark.sparkContext.defaultParallelism, block_rows)
+    assert len(list((tmp_path / "out" / "samples").rglob("*.parquet"))) <= tasks + len(NAMES) - 1
     flags = {row[0] for row in built.samples.select("recovery_flag").distinct().collect()}
     assert flags == {0.0, 1.0}
     offsets = [row["file_offset"] for row in built.files.orderBy("file_idx").collect()]
