@@ -148,14 +148,11 @@ def likely(agree: np.ndarray, above: np.ndarray, below: np.ndarray, n: np.ndarra
         same = np.maximum(1.0 - more - less, 1e-9)
         return above * np.log(np.maximum(more, 1e-9)) + below * np.log(np.maximum(less, 1e-9)) + agree * np.log(same)
 
-    # the likelihood has one peak: a search by golden section for all pairs at once
-    low, high = np.zeros_like(u), limit.copy()
-    ratio = (np.sqrt(5.0) - 1.0) / 2.0
-    for _ in range(24):
-        a, b = high - ratio * (high - low), low + ratio * (high - low)
-        left = score(a) >= score(b)
-        high, low = np.where(left, b, high), np.where(left, low, a)
-    best = (low + high) / 2.0
+    # for a base close to 1 the peak of the likelihood is the lesser root of a quadratic equation
+    square = u * v * (agree + above + below)
+    linear = agree * (u**2 + v**2) + above * v**2 + below * u**2
+    under = np.maximum(linear**2 - 4.0 * square * agree * u * v, 0.0)
+    best = np.clip((linear - np.sqrt(under)) / (2.0 * square), 0.0, limit)
     at = np.minimum(wanted, limit)
     out = (best < wanted) & (2.0 * (score(best) - score(at)) > RULED_OUT)
     return np.where(out | (limit < wanted - 1e-12), -1.0, best)
@@ -163,29 +160,24 @@ def likely(agree: np.ndarray, above: np.ndarray, below: np.ndarray, n: np.ndarra
 
 def candidates(levels: np.ndarray, sizes: np.ndarray, first: np.ndarray, second: np.ndarray, wanted: float):
     """Pairs of a row of ``first`` and one of ``second`` that may be similar enough: rows, rows and estimate, best first."""
-    left, right, best = [], [], []
+    left, right, agree, above = [], [], [], []
     for row in first:
         others = second[second > row] if first is second else second
-        if not len(others):
-            continue
         near = others[np.minimum(sizes[others], sizes[row]) >= wanted * np.maximum(sizes[others], sizes[row]) - 1e-9]
-        if not len(near):
-            continue
-        agree = (levels[near] == levels[row]).sum(1)
-        near, agree = near[agree * 2 >= levels.shape[1]], agree[agree * 2 >= levels.shape[1]]
-        if not len(near):
-            continue
-        above = (levels[near] < levels[row]).sum(1)
-        n = np.full(len(near), float(sizes[row]))
-        estimate = likely(agree, above, levels.shape[1] - agree - above, n, sizes[near].astype(float), wanted)
-        keep = estimate >= 0
-        left.append(np.full(keep.sum(), row))
-        right.append(near[keep])
-        best.append(estimate[keep])
-    if not left:
-        return np.zeros(0, int), np.zeros(0, int)
-    order = np.argsort(-np.concatenate(best), kind="stable")
-    return np.concatenate(left)[order], np.concatenate(right)[order]
+        equal = (levels[near] == levels[row]).sum(1)
+        some = equal * 2 >= levels.shape[1]
+        near = near[some]
+        left.append(np.full(len(near), row))
+        right.append(near)
+        agree.append(equal[some])
+        above.append((levels[near] < levels[row]).sum(1))
+    rows, others, equal, more = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, agree, above))
+    if not len(rows):
+        return rows, others
+    estimate = likely(equal, more, levels.shape[1] - equal - more, sizes[rows].astype(float), sizes[others].astype(float), wanted)
+    keep = np.flatnonzero(estimate >= 0)
+    order = keep[np.argsort(-estimate[keep], kind="stable")]
+    return rows[order], others[order]
 
 
 class Forest:
@@ -237,18 +229,19 @@ def _true_links(percent: int):
         ids, sizes = group["id"].to_numpy(), group["n"].to_numpy()
         levels = _levels(group["sketch"].combine_chunks())
         data, offsets = string_bytes(group["members"].combine_chunks())
-        sets: dict[int, frozenset] = {}
+        sets = np.frombuffer(data.tobytes(), np.uint64)
+        bounds = offsets // 8
 
-        def members(row: int) -> frozenset:
-            if row not in sets:
-                sets[row] = frozenset(np.frombuffer(data[offsets[row] : offsets[row + 1]].tobytes(), np.uint64).tolist())
-            return sets[row]
+        def common_to(x: int, y: int) -> int:
+            """How many values two sorted sets share; the smaller one is looked up in the larger."""
+            small, large = sorted((sets[bounds[i] : bounds[i + 1]] for i in (x, y)), key=len)
+            return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
         forest, found = Forest(len(ids)), []
         for x, y in zip(*candidates(levels, sizes, *_block_rows(group), percent / 100.0)):
             if forest.top(x) == forest.top(y):
                 continue
-            common = len(members(x) & members(y))
+            common = common_to(x, y)
             if 100 * common >= percent * (int(sizes[x]) + int(sizes[y]) - common):
                 forest.join(x, y)
                 found.append((ids[x], ids[y]))

@@ -152,27 +152,31 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int) -> tuple[np.
 def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) -> DataFrame:
     """Every piece with ``sequence_id`` and ``offset``; lengths must be from 1 to ``capacity``.
 
-    Offsets of a sequence are gapless from 0. Groups are dealt by a hash of the
-    whole row, ties of length taken in the order of another, so a task that
-    runs again packs the same way; equal rows are interchangeable. Columns of
-    the input with a result's name are replaced.
+    Offsets of a sequence are gapless from 0. The pieces are stored with a
+    number each; groups are dealt by a hash of the whole row, and ties of
+    length are taken in the order of that hash, so a task that runs again packs
+    the same way. Only numbers and lengths go into the groups; their places are
+    joined back, so wide rows never meet in a group. Columns of the input with
+    a result's name are replaced.
     """
     prepared(pieces.sparkSession)
     pieces = pieces.select(*[quoted(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
-    columns = [quoted(c) for c in pieces.columns]
-    kept = stored(pieces.withColumn(free_name(pieces.columns, "mark"), F.xxhash64(*columns)), "packing-pieces")
+    number, place = free_name(pieces.columns, "number"), [*pieces.columns, "sequence_id", "offset"]
+    numbered = pieces.select("*", F.monotonically_increasing_id().alias(number))
+    mark = F.xxhash64(*[quoted(c) for c in pieces.columns])
+    kept = stored(numbered.withColumn(free_name(numbered.columns, "mark"), mark), "packing-pieces")
     mark = kept.columns[-1]
     groups = max(1, -(-kept.count() // GROUP_PIECES))
-    group = free_name(kept.columns, "group")
-    dealt = kept.withColumn(group, F.pmod(F.xxhash64(mark), F.lit(groups).cast("long")))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    narrow = kept.select(quoted(number).alias("number"), quoted(mark).alias("mark"), quoted(length).cast("long").alias("length"))
+    dealt = narrow.withColumn("group", F.pmod(F.xxhash64("mark"), F.lit(groups).cast("long")))
 
     def work(table: pa.Table) -> pa.Table:
-        lengths = table[length].to_numpy()
-        order = np.lexsort((table[mark].to_numpy(), -lengths))
+        lengths = table["length"].to_numpy()
+        order = np.lexsort((table["number"].to_numpy(), table["mark"].to_numpy(), -lengths))
         sequences, offsets = best_fit(lengths, order, capacity)
-        base = int(table[group][0].as_py()) << 32
-        result = table.drop_columns([mark, group]).append_column("sequence_id", pa.array(sequences + base))
-        return result.append_column("offset", pa.array(offsets))
+        base = int(table["group"][0].as_py()) << 32
+        return pa.table({"number": table["number"], "sequence_id": sequences + base, "offset": offsets})
 
-    return by_group(dealt, [group], work, schema)
+    placed = by_group(dealt, ["group"], work, "number long, sequence_id long, offset long")
+    joined = kept.join(placed.withColumnRenamed("number", number), number)
+    return joined.select(*[quoted(c) for c in place])
