@@ -1,10 +1,13 @@
 """Main text of HTML pages by consensus host paths.
 
-Each page's containers are scored by the text they hold directly in blocks,
-links not counted. A page votes for the generalised tag-class path of its best
-container; votes are summed per host in Spark, and every page of the host is
-extracted again from the containers at the winning path. A page without such a
-container keeps its own best one.
+Each page's containers are scored by the text they hold in blocks, links not
+counted: what they hold directly in full, what inner containers hold by half a
+level. The best one is lifted to the container that holds the rest of the same
+text (see ``_lifted``). A page votes for the generalised tag-class path found;
+votes are summed per host in Spark, and every page of the host is extracted
+again from the containers at the winning path, with the blocks that stand
+directly in the body. A page without such a container keeps its own best one.
+A whole page without a body tag is its own body.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ BLOCKS = frozenset(
     "p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
+#: Text beside an article or the main part is not its own, unless another of them or the main part holds it.
+SEALED = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is no markup.
 RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
@@ -64,6 +69,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
+_BODY = re.compile(r"<body[\s/>]", re.I)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -96,18 +102,27 @@ def _longer(path: str, label: str) -> str:
     return path if len(path) <= 400 else "#" + hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=16).hexdigest()
 
 
+NOT, BESIDE, WANTED = 0, 1, 2
+
+
 class _Element:
-    __slots__ = ("tag", "path", "score", "wanted")
+    __slots__ = ("tag", "path", "inner", "wanted")
+
+    def __init__(self, tag: str, path: str, inner: str | None, wanted: int):
+        self.tag, self.path, self.inner, self.wanted = tag, path, inner, wanted
 
-    def __init__(self, tag: str, path: str, wanted: bool):
-        self.tag, self.path, self.score, self.wanted = tag, path, 0, wanted
 
+def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> tuple[Counter, dict[str, tuple[str | None, str]], list[str]]:
+    """Scores of the container paths, container and tag of each, and the text blocks for ``target``.
 
-def _walk(page: str, target: str | None, best: bool) -> tuple[Counter, list[str]]:
-    """Scores of the container paths, and the text blocks of containers at ``target``."""
+    With ``implied``, what stands in no container stands in a body of path "".
+    """
     scores: Counter = Counter()
-    blocks: list[str] = []
-    stack: list[_Element] = [_Element("", "", False)]
+    tree: dict[str, tuple[str | None, str]] = {"": (None, "body")} if implied else {}
+    blocks: list[tuple[int, str]] = []
+    sealed = False
+    root = (WANTED if target == "" else BESIDE) if implied else NOT
+    stack: list[_Element] = [_Element("", "", "" if implied else None, root)]
     pieces: list[str] = []
     links = 0
     linked = 0
@@ -125,13 +140,12 @@ def _walk(page: str, target: str | None, best: bool) -> tuple[Counter, list[str]
             text = entities.unescape(text)
         text = " ".join(text.split())
         if text:
+            wanted = stack[-1].wanted
             if best:
-                for element in reversed(stack):
-                    if element.tag in CONTAINERS:
-                        scores[element.path] += max(len(text) - 2 * linked, 0)
-                        break
-            elif stack[-1].wanted:
-                blocks.append(text)
+                if stack[-1].inner is not None:
+                    scores[stack[-1].inner] += max(len(text) - 2 * linked, 0)
+            elif wanted == WANTED or (wanted == BESIDE and len(text) > 2 * linked):
+                blocks.append((wanted, text))
         linked = 0
 
     def text(piece: str) -> None:
@@ -226,27 +240,86 @@ def _walk(page: str, target: str | None, best: bool) -> tuple[Counter, list[str]
                 elif stack[place].tag in STOPS:
                     break
         top = stack[-1]
-        path = _longer(top.path, _label(tag, attributes)) if tag in CONTAINERS or tag == "html" else top.path
-        stack.append(_Element(tag, path, top.wanted or (target is not None and tag in CONTAINERS and path == target)))
+        path, inner, wanted = top.path, top.inner, top.wanted
+        if tag in CONTAINERS or tag == "html":
+            path = _longer(path, _label(tag, attributes))
+        if tag in CONTAINERS:
+            tree.setdefault(path, (inner, tag))
+            inner = path
+            if wanted != WANTED:
+                wanted = WANTED if path == target else BESIDE if tag == "body" else NOT
+                if wanted == WANTED and (tag in SEALED or any(e.tag in SEALED for e in stack)):
+                    sealed = True
+        stack.append(_Element(tag, path, inner, wanted))
     flush()
-    return scores, blocks
+    if sealed or all(wanted != WANTED for wanted, _ in blocks):
+        blocks = [b for b in blocks if b[0] == WANTED]
+    return scores, tree, [text for _, text in blocks]
 
 
-def best_path(page: str | None) -> tuple[str, int] | None:
-    """The container path with the most text on this page, and how much."""
-    scores = _walk(page, None, True)[0] if page else None
-    scores = +scores if scores else None
-    return min(scores.items(), key=lambda x: (-x[1], x[0])) if scores else None
+def _lifted(path: str, scores: Counter, totals: Counter, tree: dict[str, tuple[str | None, str]]) -> str:
+    """The container that holds the whole text of which ``path`` holds the largest part.
 
-
-def extract(page: str | None, consensus: str | None) -> str:
-    """The blocks of the containers at the consensus path, else at the page's own best one, joined by line ends."""
+    That is the outermost article, or else the main part, around it; from there,
+    the outermost container that has text of its own or other containers with a
+    quarter as much text in all. The body's own text does not lift to it, as it
+    is taken without what else the body holds.
+    """
+    chain = [path]
+    while (above := tree[chain[-1]][0]) is not None:
+        chain.append(above)
+    for tag in SEALED:
+        if marked := [place for place, p in enumerate(chain) if tree[p][1] == tag]:
+            chain = chain[marked[-1] :]
+            break
+    sealed = tree[chain[0]][1] in SEALED
+    beside: dict[str, list[str]] = {p: [] for p in chain}
+    for p, (above, _) in tree.items():
+        if above in beside:
+            beside[above].append(p)
+    out = chain[0]
+    for below, above in zip(chain, chain[1:]):
+        tag = tree[above][1]
+        free = not sealed or tag == "main"
+        others = sum(totals[p] for p in beside[above] if p != below and (free or tree[p][1] in SEALED))
+        if (others and 4 * others >= totals[below]) or (free and tag != "body" and scores[above]):
+            out = above
+        if tag == "body":
+            break
+    return out
+
+
+def best_path(page: str | None, implied: bool = False) -> tuple[str, int] | None:
+    """The container path with the main text of this page, and how much it holds."""
+    scores, tree, _ = _walk(page, None, True, implied) if page else (Counter(), {}, [])
+    scores = +scores
+    if not scores:
+        return None
+    totals, credit = Counter(scores), Counter(scores)
+    for path in reversed(tree):  # a container comes after the one around it
+        above = tree[path][0]
+        if above is not None:
+            totals[above] += totals[path]
+            if tree[above][1] != "body" or tree[path][1] not in SEALED:
+                credit[above] += credit[path] / 2
+    path = _lifted(min(credit, key=lambda p: (-credit[p], p)), scores, totals, tree)
+    return path, totals[path]
+
+
+def extract(page: str | None, consensus: str | None, implied: bool = False) -> str:
+    """The blocks of the containers at the consensus path, else at the page's own best one, joined by line ends.
+
+    ``implied`` is for whole pages, where the body tag may be left out; a mere
+    fragment without a container has no text.
+    """
     if not page:
         return ""
-    blocks = _walk(page, consensus, False)[1] if consensus is not None else []
+    if consensus == "" and _BODY.search(page):
+        consensus = None
+    blocks = _walk(page, consensus, False, implied)[2] if consensus is not None else []
     if not blocks:
-        own = best_path(page)
-        blocks = _walk(page, own[0], False)[1] if own else []
+        own = best_path(page, implied)
+        blocks = _walk(page, own[0], False, implied)[2] if own else []
     return "\n".join(blocks)
 
 
@@ -254,7 +327,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         votes: Counter = Counter()
         for host, page in zip(batch.column(0), batch.column(1)):
-            found = best_path(page.as_py())
+            found = best_path(page.as_py(), implied=True)
             if found is not None:
                 votes[host.as_py(), found[0]] += 1
         columns = [pa.array([h for h, _ in votes], pa.string()), pa.array([p for _, p in votes], pa.string()), pa.array(list(votes.values()), pa.int64())]
@@ -286,7 +359,7 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page.as_py(), path.as_py()) for page, path in zip(batch.column(0), batch.column(1))]
+            texts = [extract(page.as_py(), path.as_py(), implied=True) for page, path in zip(batch.column(0), batch.column(1))]
             columns = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *columns], names=schema.names)
 

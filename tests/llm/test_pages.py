@@ -115,3 +115,31 @@ def test_hosts_vote_and_pages_follow(spark):
     offers = "\n".join(["offer and text"] * 30)
     assert got == [(0, "", 0), (1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, TEXT, len(TEXT)), (3, TEXT, len(TEXT)), (4, offers, len(offers))]
     assert html.main_text(pages.limit(0)).count() == 0
+
+
+LONG = "Many words of the text that make it the longest part. " * 8
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body><article><h1>Head</h1><p>lead</p><div class=body><p>{}</p></div></article>", "Head\nlead\n{}"),
+        ("<body><article><section id=intro><p>short</p></section><section id=methods><p>{}</p></section></article>", "short\n{}"),
+        ("<body><article><p>before</p><table><tr><td>{}</table><p>after</p></article>", "before\n{}\nafter"),
+        ("<body><div class=a><h1>Head</h1><table><tr><td>{}</table></div><div class=offers>offer</div>", "Head\n{}"),
+        ("<body><h1>Head</h1><a href=x>top</a><div class=text><p>{}</p></div><div class=offers>offer</div>", "Head\n{}"),
+        ("<body><main><h1>Head</h1><article><p>{}</p></article></main><p>tail", "Head\n{}"),
+        ("<body><div class=a>" + "".join(f"<section id=s{c}><p>part {c} of many</p></section>" for c in "abcdef") + "</div><div class=box>some other box</div>", "\n".join(f"part {c} of many" for c in "abcdef")),
+    ],
+)
+def test_the_whole_text_around_the_longest_part(page, text):
+    assert html.extract(page.replace("{}", LONG), None) == text.replace("{}", LONG.strip())
+
+
+def test_pages_without_a_body_tag_have_their_text(spark):
+    bare = "<!DOCTYPE html><title>T</title><h1>Head</h1><nav><a href=x>menu</a></nav><p>First.<p>Second."
+    rows = [(1, "http://bare/1", bare), (2, "http://bare/2", "<html>" + bare), (3, "http://mixed/1", bare), (4, "http://mixed/2", bare)]
+    rows += [(5, "http://mixed/3", PAGE.replace("{}", ARTICLE)), (6, "http://words/", "plain words")]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    whole = "Head\nFirst.\nSecond."
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {1: whole, 2: whole, 3: whole, 4: whole, 5: TEXT, 6: "plain words"}
