@@ -8,6 +8,10 @@ votes are summed per host in Spark, and every page of the host is extracted
 again from the containers at the winning path, with the blocks that stand
 directly in the body. A page without such a container keeps its own best one.
 A whole page without a body tag is its own body.
+
+Boxes beside the text are known by tag, role, and words of class and id. A word
+alone removes no article, main part or container that the consensus path goes
+through, and nothing that holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -50,6 +54,14 @@ SKIPPED_NAMES = re.compile(
     r"pager|search|toolbar|skip-link)(?:$|[\s_-])",
     re.I,
 )
+#: What follows such a word in a name says what the element is about or has near it, not what it is.
+MENTIONS = re.compile(r"(?:^|[_-])(?:has|have|with|without|no|non|not|hides?|cat|category|categories|tags?|tagged|topic|taxonomy)[_-]", re.I)
+#: Readers or advertisers may well write more than the author: such an element stays only if it holds nearly everything, and there is no article.
+OTHERS = re.compile(
+    r"(?:^|[_-])(?:comments?|commentlist|disqus|respond|repl(?:y|ies)|ads?|adverts?|advertis\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr)"
+    r"(?:$|[_-])",
+    re.I,
+)
 #: An element that starts here ends an open one of these first.
 CLOSES = {name: frozenset({"p"}) for name in BLOCKS - {"body", "html", "tr", "td", "th", "tbody", "thead", "tfoot", "caption"}} | {
     "li": frozenset({"li", "p"}),
@@ -85,9 +97,20 @@ def _unwanted(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return True
-    if attributes.get("role", "").strip().lower() in SKIPPED_ROLES:
-        return True
-    return any(name in attributes and SKIPPED_NAMES.search(attributes[name]) for name in ("class", "id"))
+    return attributes.get("role", "").strip().lower() in SKIPPED_ROLES
+
+
+def _widget(tag: str, attributes: dict[str, str]) -> str | None:
+    """The part of a class or id that names the element as a box beside the text."""
+    if not attributes or tag in ("html", "body", *SEALED):
+        return None
+    for names in (attributes.get("class"), attributes.get("id")):
+        if names and SKIPPED_NAMES.search(names):
+            for name in names.split():
+                head = MENTIONS.split(name, maxsplit=1)[0]
+                if SKIPPED_NAMES.search(head):
+                    return head
+    return None
 
 
 def _label(tag: str, attributes: dict[str, str]) -> str:
@@ -106,17 +129,46 @@ NOT, BESIDE, WANTED = 0, 1, 2
 
 
 class _Element:
-    __slots__ = ("tag", "path", "inner", "wanted")
+    __slots__ = ("tag", "path", "inner", "wanted", "widget")
+
+    def __init__(self, tag: str, path: str, inner: str | None, wanted: int, widget: int = -1):
+        self.tag, self.path, self.inner, self.wanted, self.widget = tag, path, inner, wanted, widget
+
 
-    def __init__(self, tag: str, path: str, inner: str | None, wanted: int):
-        self.tag, self.path, self.inner, self.wanted = tag, path, inner, wanted
+Walked = tuple[Counter, dict[str, tuple[str | None, str]], list[str]]
 
 
-def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> tuple[Counter, dict[str, tuple[str | None, str]], list[str]]:
+def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> Walked:
     """Scores of the container paths, container and tag of each, and the text blocks for ``target``.
 
     With ``implied``, what stands in no container stands in a body of path "".
     """
+    found, kept, widest = _pass(page, target, best, implied, frozenset())
+    if widest > kept:  # else no box that a name removed can hold most of the text
+        held: dict[int, list[int]] = {}
+        articles = _pass(page, None, True, implied, None, held)[2]
+        whole = held[-1][0]
+        for n, outer, _ in reversed(held.values()):  # a box comes after the one around it
+            if outer != -1:
+                held[outer][0] += n
+        del held[-1]
+        spared = frozenset(at for at, (n, _, foreign) in held.items() if (20 * n > 19 * whole and not articles if foreign else 2 * n > whole))
+        if spared:
+            found = _pass(page, target, best, implied, spared)[0]
+    return found
+
+
+def _pass(
+    page: str, target: str | None, best: bool, implied: bool, spared: frozenset[int] | None, held: dict[int, list[int]] | None = None
+) -> tuple[Walked, int, int]:
+    """What ``_walk`` returns, the text found, and the length of the longest box removed for its name.
+
+    ``spared`` are the places of the boxes that stay in spite of their names. If
+    it is None all of them stay, and ``held`` gets the text in each but not in
+    inner ones, the place of the next one around it (-1: the page, which has all
+    text) and whether others wrote it; instead of the length, the number of
+    articles and main parts in none of them is returned.
+    """
     scores: Counter = Counter()
     tree: dict[str, tuple[str | None, str]] = {"": (None, "body")} if implied else {}
     blocks: list[tuple[int, str]] = []
@@ -127,11 +179,14 @@ def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> t
     links = 0
     linked = 0
     skip_tag, skip_depth = "", 0
+    kept, widest, widget_at, articles = 0, 0, -1, 0
+    if held is not None:
+        held[-1] = [0, -1, 0]
     lower: str | None = None
     at, size = 0, len(page)
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, kept
         if not pieces:
             return
         text = "".join(pieces)
@@ -140,10 +195,15 @@ def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> t
             text = entities.unescape(text)
         text = " ".join(text.split())
         if text:
-            wanted = stack[-1].wanted
+            wanted, own = stack[-1].wanted, max(len(text) - 2 * linked, 0)
+            kept += own
+            if held is not None:
+                held[-1][0] += own
+                if stack[-1].widget != -1:
+                    held[stack[-1].widget][0] += own
             if best:
                 if stack[-1].inner is not None:
-                    scores[stack[-1].inner] += max(len(text) - 2 * linked, 0)
+                    scores[stack[-1].inner] += own
             elif wanted == WANTED or (wanted == BESIDE and len(text) > 2 * linked):
                 blocks.append((wanted, text))
         linked = 0
@@ -156,6 +216,8 @@ def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> t
                 linked += len(piece.strip())
 
     while at < size:
+        if widget_at >= 0 and not skip_tag:
+            widest, widget_at = max(widest, at - widget_at), -1
         found = _TOKEN.search(page, at)
         if found is None:
             text(page[at:])
@@ -219,7 +281,14 @@ def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> t
                 flush()
             continue
         attributes = _attributes(raw)
-        if _unwanted(tag, attributes):
+        unwanted, widget, begin = _unwanted(tag, attributes), _widget(tag, attributes), at
+        if widget is not None and tag in BLOCKS and not unwanted:
+            through = target and tag in CONTAINERS and f"{target}/".startswith(_longer(stack[-1].path, _label(tag, attributes)) + "/")
+            if spared is not None and begin not in spared and not through:
+                unwanted, widget_at = True, at
+        elif widget is not None:
+            unwanted = True
+        if unwanted:
             if tag in BLOCKS or tag in SKIPPED:
                 flush()
             skip_tag, skip_depth, open_inside = tag, 1, {}
@@ -250,11 +319,17 @@ def _walk(page: str, target: str | None, best: bool, implied: bool = False) -> t
                 wanted = WANTED if path == target else BESIDE if tag == "body" else NOT
                 if wanted == WANTED and (tag in SEALED or any(e.tag in SEALED for e in stack)):
                     sealed = True
-        stack.append(_Element(tag, path, inner, wanted))
+        box = top.widget
+        if held is not None and widget is not None:
+            held[begin], box = [0, box, bool(OTHERS.search(widget))], begin
+        articles += tag in SEALED and box == -1
+        stack.append(_Element(tag, path, inner, wanted, box))
     flush()
+    if widget_at >= 0:
+        widest = max(widest, size - widget_at)
     if sealed or all(wanted != WANTED for wanted, _ in blocks):
         blocks = [b for b in blocks if b[0] == WANTED]
-    return scores, tree, [text for _, text in blocks]
+    return (scores, tree, [text for _, text in blocks]), kept, widest if held is None else articles
 
 
 def _lifted(path: str, scores: Counter, totals: Counter, tree: dict[str, tuple[str | None, str]]) -> str:

@@ -143,3 +143,30 @@ def test_pages_without_a_body_tag_have_their_text(spark):
     found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
     whole = "Head\nFirst.\nSecond."
     assert {r["page_id"]: r["text"] for r in found.collect()} == {1: whole, 2: whole, 3: whole, 4: whole, 5: TEXT, 6: "plain words"}
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        "main class='content has-sidebar'", "div id='page-with-sidebar'", "div class='no-comments'", "article class='post category-social tag-search'",
+        "div class='search-results'", "section id=widget-area", "div class='comments'",
+    ],
+)
+def test_a_word_in_a_name_does_not_remove_the_text(wrapper):
+    tag = wrapper.split()[0]
+    page = f"<body><{wrapper}><h1>Head</h1><p>{LONG}</p><div class=related>more</div></{tag}><div class=sidebar><p>side</p></div></body>"
+    assert html.extract(page, None) == "Head\n" + LONG.strip()
+
+
+def test_a_name_on_the_path_of_the_host_stays(spark):
+    page = "<body><div class='search-results'><h1>Head</h1><p>{}</p></div><div class=sidebar><p>" + "side " * 20 + "</p></div></body>"
+    rows = [(i, "http://h/", page.replace("{}", text)) for i, text in enumerate([LONG, LONG, "short"])]
+    found = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in found.collect()} == {0: "Head\n" + LONG.strip(), 1: "Head\n" + LONG.strip(), 2: "Head\nshort"}
+
+
+@pytest.mark.parametrize("name", ["ad", "comments", "cookie-notice"])
+def test_a_box_longer_than_the_article_goes(name):
+    page = f"<body><div class={name}><p>{LONG}</p></div><article><h1>Head</h1><p>{{}}</p></article></body>"
+    assert html.extract(page.replace("{}", "short"), None) == "Head\nshort"
+    assert html.extract("<body><article></article>" + page.split("<article>")[0][6:], None) == ""
