@@ -29,9 +29,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the words of windows that occur elsewhere; ``n_chars`` follows the text."""
-    found = substring.remove_repeated(docs)
-    changed = {"text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
+    """All documents, without the words of windows that occur elsewhere; white space stays, ``n_chars`` follows the text."""
+    found = substring.remove_repeated(docs, joined_words=False)
+    changed = {"text": F.col("kept"), "n_chars": F.coalesce(F.char_length("kept"), F.lit(0)).cast("long")}
     return found.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

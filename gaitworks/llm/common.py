@@ -157,8 +157,8 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (sums[ends] - sums[starts]) * powers(len(sums))[1][starts]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LONG = 1 << 22
 
 
@@ -172,16 +172,16 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> tu
         while at < len(data):
             end = min(at + _LONG, len(data))
             if end < len(data):
-                gaps = np.flatnonzero(_SPACE[data[at:end]])
+                gaps = np.flatnonzero(SPACE[data[at:end]])
                 more = at + int(gaps[-1]) + 1 if len(gaps) else end
-                while not len(gaps) and more < len(data) and not _SPACE[data[more]]:
+                while not len(gaps) and more < len(data) and not SPACE[data[more]]:
                     more += 1
                 end = more
             found.append(word_hashes(data[at:end], np.array([0, end - at]), fold)[0])
             at = end
         words = np.concatenate(found) if found else np.zeros(0, np.uint64)
         return words, np.array([0, len(words)])
-    inside = ~_SPACE[data]
+    inside = ~SPACE[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     bounds = offsets[:-1][offsets[:-1] < len(data)]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaitworks.llm import runs as R
-from gaitworks.llm.common import long_array, mix, powers, prefix_sums, prepared, quoted, stored, string_bytes
+from gaitworks.llm.common import SPACE, long_array, mix, powers, prefix_sums, prepared, quoted, stored, string_bytes
 
 RESULTS = ("kept", "n_words", "n_removed", "n_spans")
 EDGE_SCHEMA = "anchor long, edge long, path long, place long, many boolean, k1 long, k2 long, start long"
@@ -82,11 +82,23 @@ def repeated_spans(docs: DataFrame, text: str = "text", window: int = 35, gram:
     return R.whole_spans(shared, classes).unionByName(single.select("k1", "k2", "start", F.lit(1).cast("long").alias("windows")))
 
 
-def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8) -> DataFrame:
+def without_words(data: bytes, gaps: list[tuple[int, int]]) -> bytes:
+    """The text without the words of each gap and what is between them; all other white space stays as it is."""
+    inside = np.concatenate([[False], ~SPACE[np.frombuffer(data, np.uint8)], [False]])
+    starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+    stay, at = [], 0
+    for start, end in gaps:
+        stay.append(data[at : starts[start]])
+        at = ends[end - 1]
+    return b"".join([*stay, data[at:]])
+
+
+def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 8, joined_words: bool = True) -> DataFrame:
     """Every row, with ``kept`` (the words that stay, joined by a space), ``n_words``, ``n_removed`` and ``n_spans``.
 
     A word goes if a window that covers it also starts anywhere else, in the
-    same text or another one; windows are judged on the input.
+    same text or another one; windows are judged on the input. Without
+    ``joined_words``, ``kept`` is the text itself, cut as ``without_words`` does.
     """
     prepared(docs.sparkSession)
     spans = repeated_spans(docs, text, window, gram)
@@ -107,7 +119,10 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, gram:
                     stay += words[at:start]
                     at = end
                 stay += words[at:]
-                kept.append(b" ".join(stay).decode())
+                if joined_words:
+                    kept.append(b" ".join(stay).decode())
+                else:
+                    kept.append(without_words(value.as_py().encode(), gaps).decode() if gaps else value.as_py())
                 totals.append(len(words))
                 removed.append(len(words) - len(stay))
                 counts.append(len(gaps))

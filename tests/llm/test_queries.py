@@ -103,3 +103,13 @@ def test_the_pipeline_runs_over_the_given_tables(spark):
     found = corpus_pipeline.run(spark, DATA)
     assert found.columns == ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]
     assert found.count() > 0
+
+
+def test_the_substring_stage_keeps_white_space(spark):
+    shared = " ".join(f"s{i}" for i in range(20)) + "\n\n\t" + "  ".join(f"s{i}" for i in range(20, 40))
+    texts = ["  clean text\n\n    indented,  twice  spaced\r\nÄ end\n", f"\tfirst\n {shared}\n\nlast  word ", f"{shared} \n tail", "", None]
+    docs = spark.createDataFrame([(i, "h", "en", x, 0) for i, x in enumerate(texts)], "doc_id long, url string, lang string, text string, n_chars long")
+    found = corpus_pipeline.substring_dedup(spark, docs, DATA)
+    assert found.columns == docs.columns
+    expected = [texts[0], "\tfirst\n \n\nlast  word ", " \n tail", "", None]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in found.collect()} == {i: (x, len(x or "")) for i, x in enumerate(expected)}
