@@ -15,6 +15,8 @@ from gaitworks.llm.common import stored
 
 #: Documents whose language is less sure than this go, and those without a letter.
 LEAST_SCORE = 0.5
+#: Documents are near copies from this similarity of their sets of shingles, in per cent. The contract of op7 has its own.
+NEAR_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    return minhash.representatives(docs).select(*docs.columns)
+    return minhash.representatives(docs, percent=NEAR_PERCENT).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

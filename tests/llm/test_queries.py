@@ -113,3 +113,16 @@ def test_the_substring_stage_keeps_white_space(spark):
     assert found.columns == docs.columns
     expected = [texts[0], "\tfirst\n \n\nlast  word ", " \n tail", "", None]
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in found.collect()} == {i: (x, len(x or "")) for i, x in enumerate(expected)}
+
+
+def test_the_near_dedup_stage_takes_copies_from_80_per_cent(spark):
+    words = [[f"w{group}x{i}" for i in range(200)] for group in range(3)]
+    rows = []
+    for group, changes in enumerate([4, 5, 1]):
+        copy = [w if (i + 20) % 40 or i // 40 >= changes else "changed" for i, w in enumerate(words[group])]
+        rows += [(2 * group, " ".join(words[group])), (2 * group + 1, " ".join(copy))]
+    docs = spark.createDataFrame([(i, "h", "en", x, len(x)) for i, x in rows], "doc_id long, url string, lang string, text string, n_chars long")
+    sets = [shingles(x.encode().split()) for _, x in rows]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert 0.8 < similar[0] < 0.85 and similar[1] < 0.8 and similar[2] > 0.85
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [0, 2, 3, 4]
