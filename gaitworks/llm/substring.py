@@ -1,13 +1,12 @@
-"""Substring dedup on words, by compaction of a De Bruijn graph.
-
-Nodes are sequences of ``window - 1`` words, edges are windows of ``window``
-words. Only repeated edges matter. Paths of edges between which nothing
-branches are compacted before anything is counted: a run of windows with one
-anchor (see ``runs``) is such a path, and equal paths collapse to one row in a
-Spark aggregate. Paths that occur more than once as a whole are repeated edge
-by edge. Where an anchor has several different paths, the graph branches: only
-there single edges are opened, one representative per path, and joined. The
-source coordinates of the repeated edges give the spans that go.
+"""Substring dedup on words, by runs of windows and their hashes.
+
+The windows of ``window`` words are the edges of a De Bruijn graph, but the
+graph is not compacted by joins: a run of windows with one anchor (see
+``runs``) stands in for a path, and texts may part within it. Equal runs
+collapse to one row in a Spark aggregate on 128 bits of hash; those that occur
+more than once as a whole are repeated window by window. Only where an anchor
+has several different runs, single windows are opened, one representative per
+run, and found again by their hashes. The words themselves are not compared.
 
 Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D. Null text is
 empty. Equal rows are occurrences of their own. Columns of the input that have
