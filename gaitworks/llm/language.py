@@ -24,8 +24,8 @@ BITS, LENGTHS = 15, (1, 2, 3)
 SIZE = 1 << BITS
 #: Labelled rows that the weights are trained and the temperature fitted on, at most (about; over all languages).
 SAMPLE = 4000
-#: Languages learned, the most frequent ones.
-LANGUAGES = 500
+#: Languages that one model can hold: with more labels ``fit`` is an error, as the weights of a language take memory in every task.
+LANGUAGES = 1000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
 _PART = 1 << 18
@@ -163,7 +163,11 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from the texts and labels of all rows that are neither held out nor without a label."""
+    """Learn from the texts and labels of all rows that are neither held out nor without a label.
+
+    Every label is learned; more than ``LANGUAGES`` of them are an error. A table without labels gives a model that
+    answers ``und``.
+    """
     spark = prepared(docs.sparkSession)
     mark = F.xxhash64(quoted(doc_id), quoted(text))
     rows = docs.filter(~held_out(quoted(doc_id)) & quoted(lang).isNotNull())
@@ -179,12 +183,14 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
             seen[feature] = count
     idf = np.log((1.0 + total) / (1.0 + seen)) + 1.0
 
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages among the labels; a model holds weights for each of them in memory")
     languages = sorted(row["lang"] for row in counts)
     if not languages:
         return Model([], idf, np.zeros((SIZE, 0)), 1.0)
     quota = max(SAMPLE // len(languages), 5)
-    share = F.element_at(F.create_map(*[F.lit(x) for row in counts for x in (row["lang"], min(1.0, quota / row["count"]))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for row in sorted(counts) for x in (row["lang"], min(1.0, quota / row["count"]))]), F.col("lang"))
     chosen = rows.filter(F.pmod("mark", F.lit(1 << 30)) / float(1 << 30) < share)
     part = chosen.select("lang", (F.pmod(F.xxhash64("mark"), F.lit(5)) > 0).alias("fit"), "mark", "text")
     features = part.mapInArrow(_sample_features, "lang string, fit boolean, mark long, at binary, counts binary")
@@ -207,7 +213,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     learned = features.repartition(1).sortWithinPartitions("mark", "lang").mapInArrow(learn, "weights binary, heat double").first()
     if learned is None:  # no chosen text has a letter
         return Model(languages, idf, np.zeros((SIZE, len(languages))), 1.0)
-    weights = np.frombuffer(learned["weights"], np.float32).reshape(SIZE, len(languages)).astype(np.float64)
+    weights = np.frombuffer(learned["weights"], np.float32).reshape(SIZE, len(languages))
     return Model(languages, idf, weights, learned["heat"])
 
 

@@ -224,7 +224,7 @@ def _path_totals(paths: DataFrame, root: int) -> DataFrame:
             *[(F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in ("saved", "leaves")],
         )
         above = state.filter("jump IS NOT NULL").select(F.col("conv_id").alias("jump"), F.col("jump").alias("next"))
-        far = grown.filter("jump IS NOT NULL").join(above, "jump").select("conv_id", F.col("next").alias("jump"), "saved", "leaves")
+        far = grown.filter("jump IS NOT NULL").join(above, "jump", "left").select("conv_id", F.col("next").alias("jump"), "saved", "leaves")
         state = grown.filter("jump IS NULL").unionByName(far)
 
 

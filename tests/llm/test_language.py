@@ -72,3 +72,17 @@ def test_temperature_recovers_a_scale():
     share = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
     labels = np.array([draw.choice(3, p=p) for p in share])
     assert abs(language.temperature(logits * 4.0, labels) - 4.0) < 0.5
+
+
+def test_many_languages_are_all_learned(spark, monkeypatch):
+    """Each of 600 labels writes with letters of its own; held-out texts get theirs."""
+    letters = [chr(0x4E00 + i) for i in range(1200)]
+    rows = [(i, " ".join(letters[2 * (i % 600) + (i + j) % 2] * 3 for j in range(12)), f"l{i % 600:03d}") for i in range(600 * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    found = language.identify(docs.filter(language.held_out("doc_id")), model).collect()
+    assert len(found) > 600 and np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.9
+    monkeypatch.setattr(language, "LANGUAGES", 599)
+    with pytest.raises(ValueError, match="more than 599 languages"):
+        language.fit(docs)
