@@ -22,21 +22,30 @@ class ABSENT:
     """Stands for a member that is not there; a class, so that it is the same one in every process."""
 
 
-def value_of(found: object) -> dict[str, str] | None:
+_KINDS = {str: "string", int: "long", float: "double", bool: "boolean", type(None): "null", dict: "object", list: "array"}
+
+
+def kind_of(found: object) -> str:
+    return _KINDS[type(found)]
+
+
+def value_of(found: object) -> tuple[str, str] | None:
     """A decoded JSON value as kind and text; none for an absent one."""
     if found is ABSENT:
         return None
-    if found is None:
-        return {"kind": "null", "text": "None"}
-    if isinstance(found, bool):
-        return {"kind": "boolean", "text": str(found)}
-    if isinstance(found, int):
-        return {"kind": "long", "text": str(found)}
-    if isinstance(found, float):
-        return {"kind": "double", "text": repr(found)}
-    if isinstance(found, str):
-        return {"kind": "string", "text": _clean(found)}
-    return {"kind": "object" if isinstance(found, dict) else "array", "text": json_text(found)}
+    kind = kind_of(found)
+    if kind == "string":
+        return kind, _clean(found)
+    if kind in ("object", "array"):
+        return kind, json_text(found)
+    return kind, repr(found)
+
+
+def value_array(values: list[tuple[str, str] | None]) -> pa.Array:
+    """What ``value_of`` gives, as a column."""
+    kinds = pa.array([None if x is None else x[0] for x in values], pa.string())
+    texts = pa.array([None if x is None else x[1] for x in values], pa.string())
+    return pa.StructArray.from_arrays([kinds, texts], fields=list(VALUE_TYPE), mask=kinds.is_null())
 
 
 def json_text(found: object) -> str:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from types import NoneType
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaitworks.functions.values import ABSENT, VALUE, VALUE_TYPE, value_of
+from gaitworks.functions.values import ABSENT, VALUE, kind_of, value_array, value_of
 from gaitworks.operators.joins import join_lookup
 from gaitworks.session import stored
 
@@ -19,16 +20,15 @@ MAP_SIDE, LINE_BLOCK = 1000, 10_000
 
 
 _ENTRY = f"struct<message: {VALUE}, nested: {VALUE}, log: {VALUE}>"
+_NAMES = ("message", "nested", "log")
+#: Kinds whose text the JVM writes as Python does.
+_PLAIN = ("string", "boolean", "null")
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    entry = pa.struct([(name, VALUE_TYPE) for name in ("message", "nested", "log")])
     for batch in batches:
-        rows, results, failed = [], [], []
+        rows, failed, values = [], [], {name: [] for name in _NAMES}
         for row, line in enumerate(batch.column(2).to_pylist()):
-            # most lines that are skipped are blank
-            if not line or line.isspace():
-                continue
             try:
                 found = json.loads(line)
             except (ValueError, RecursionError):
@@ -41,25 +41,76 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nested = message.get("message", ABSENT) if isinstance(message, dict) else ABSENT
             rows.append(row)
             failed.append(result is ABSENT)
-            results.append(None if result is ABSENT else {
-                "message": value_of(message), "nested": value_of(nested), "log": value_of(held.get("log", ABSENT)),
-            })
+            shown = message is ABSENT or isinstance(message, (str, bool, NoneType))
+            # of another message its kind counts, and what is in it
+            values["message"].append(value_of(message) if shown else (kind_of(message), None))
+            values["nested"].append(value_of(nested))
+            values["log"].append(value_of(held.get("log", ABSENT)))
         taken = pa.array(rows, pa.int64())
-        columns = [batch.column(0).take(taken), batch.column(1).take(taken), pa.array(results, entry), pa.array(failed, pa.bool_())]
+        entry = pa.StructArray.from_arrays([value_array(values[name]) for name in _NAMES], list(_NAMES), mask=pa.array(failed, pa.bool_()))
+        columns = [batch.column(0).take(taken), batch.column(1).take(taken), entry, pa.array(failed, pa.bool_())]
         yield pa.RecordBatch.from_arrays(columns, ["trial_id", "line_no", "result", "failed"])
 
 
+def _kind(value: Column) -> Column:
+    """The kind of a variant, null where there is none."""
+    kind = F.split(F.schema_of_variant(value), "[<(]", 2)[0]
+    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "double", "FLOAT": "double"}
+    return F.when(value.isNotNull(), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), kind), F.lit("number")))
+
+
+def _shown(value: Column, kind: Column) -> Column:
+    """A variant as kind and text, the text as Python writes it; only of the ``_PLAIN`` kinds."""
+    truth = F.when(F.try_variant_get(value, "$", "boolean"), "True").otherwise("False")
+    text = F.when(kind == "string", F.try_variant_get(value, "$", "string")).when(kind == "boolean", truth).when(kind == "null", "None")
+    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), text.alias("text")))
+
+
+def _braces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("}")))
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """``trial_id, line_no, result, failed``, and ``odd``: the line itself where Python must read it.
+
+    That is a line which the engine's parser rejects (``NaN`` and repeated
+    members among them) though it starts as an object, holds half a surrogate
+    pair, or whose text is a number or a container, which Python writes in its
+    own way.
+    """
+    line = F.col("line")
+    names = {"_v": F.try_parse_json(F.when(line.rlike(r"^[ \t\n\r]*\{"), line))}
+    found = lines.select("trial_id", F.col("line_no").cast("long").alias("line_no"), "line").withColumns(names)
+    paths = {"_result": "$.result", "_error": "$.error", "_message": "$.result.message", "_nested": "$.result.message.message", "_log": "$.result.log"}
+    found = found.withColumns({name: F.try_variant_get("_v", path, "variant") for name, path in paths.items()})
+    found = found.withColumns({f"{name}_kind": _kind(F.col(name)) for name in ("_message", "_nested", "_log")})
+    strange = F.col("_v").isNull() & line.rlike(r"^[ \t\n\r]*\{")
+    # the engine's parser stops behind the object: more braces than it has read are of something that follows
+    rest = ~line.rlike(r"\}[ \t\n\r]*$") | (_braces(line) != _braces(F.to_json("_v")))
+    strange |= F.col("_v").isNotNull() & (line.rlike(r"\\u([dD][89a-fA-F]|007[dD])") | rest)
+    for name in ("_nested", "_log"):
+        strange |= ~F.coalesce(F.col(f"{name}_kind"), F.lit("null")).isin(*_PLAIN)
+    entry = F.struct(*[_shown(F.col(f"_{name}"), F.col(f"_{name}_kind")).alias(name) for name in _NAMES])
+    known = F.col("_result").isNotNull()
+    found = found.withColumn("odd", F.when(strange, line)).where(F.col("odd").isNotNull() | known | F.col("_error").isNotNull())
+    plain = F.col("odd").isNull()
+    return found.select("trial_id", "line_no", F.when(plain & known, entry).alias("result"), F.when(plain, ~known).alias("failed"), "odd")
+
+
 def trial_entries(lines: DataFrame) -> DataFrame:
     """``trial_id, line_no, result`` of the lines that hold a result, up to a trial's first error line.
 
     Lines are read as Python's decoder reads them: ``NaN`` is a number, and of
     a repeated member the last one counts. Blank, malformed and non-object
     lines are skipped; a line with both a result and an error counts as a
-    result. Each line is parsed once, into a stored table. The first error is
-    a minimum per trial, so that no trial has to be walked through in one task.
+    result. The engine parses each line once, into a stored table; only the
+    lines it cannot decide go to Python. The first error is a minimum per trial,
+    so that no trial has to be walked through in one task.
     """
     schema = f"trial_id {lines.schema['trial_id'].dataType.simpleString()}, line_no long, result {_ENTRY}, failed boolean"
-    parsed = stored(lines.select("trial_id", F.col("line_no").cast("long"), "line").mapInArrow(_parse, schema), "log-lines")
+    engine = stored(_parsed(lines), "log-lines")
+    python = stored(engine.where("odd IS NOT NULL").select("trial_id", "line_no", "odd").mapInArrow(_parse, schema), "odd-lines")
+    parsed = engine.where("odd IS NULL").drop("odd").unionByName(python)
     errors = parsed.where("failed").groupBy("trial_id").agg(F.min("line_no").alias("_stop"))
     results = parsed.where(~F.col("failed")).select("trial_id", "line_no", "result")
     return (

@@ -6,7 +6,7 @@ JSON document per row, so that payloads may come from any table.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,14 +16,7 @@ from gaitworks.functions.text import normalize_state, parse_ts, path_name, path_
 from gaitworks.functions.values import ABSENT, VALUE, as_double, as_long, as_string, is_true, json_text, value_of
 from gaitworks.operators.indexing import sample_index
 from gaitworks.sources import storage
-from gaitworks.sources.payloads import decoded
-
-
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """``path, payload``: one row per file, each a JSON document."""
-    return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload")
-    )
+from gaitworks.sources.payloads import decoded, decoded_files
 
 
 # The members of an experiment.
@@ -47,16 +40,16 @@ def _values(names: Iterable[str]) -> str:
     return ", ".join(f"`{name}` {VALUE}" for name in names)
 
 
-def experiments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """Rows of ``{"experiments": [...]}``; entries without a readable id are dropped, an absent id is 0."""
+def _experiment(item: object) -> Iterator[tuple]:
+    if isinstance(item, dict):
+        config = json_text(item["config"]) if "config" in item else None
+        yield (*[value_of(item.get(name, ABSENT)) for name in EXPERIMENT_MEMBERS], config)
+
 
-    def rows(at: int, item: object) -> Iterator[tuple]:
-        if isinstance(item, dict):
-            config = json_text(item["config"]) if "config" in item else None
-            yield (*[value_of(item.get(name, ABSENT)) for name in EXPERIMENT_MEMBERS], config)
+_EXPERIMENT = _values(EXPERIMENT_MEMBERS) + ", _config string"
 
-    found = decoded(payloads.select(payload), "experiments", rows, _values(EXPERIMENT_MEMBERS) + ", _config string", payload)
 
+def _experiments(found: DataFrame) -> DataFrame:
     def text_or(member: str, default: str) -> Column:
         return F.when(F.col(member).isNull(), F.lit(default)).otherwise(as_string(F.col(member)))
 
@@ -77,31 +70,33 @@ def experiments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     ).where(F.col("id").isNotNull())
 
 
+def experiments(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Rows of ``{"experiments": [...]}``; entries without a readable id are dropped, an absent id is 0."""
+    return _experiments(decoded(payloads.select(payload), "experiments", _experiment, _EXPERIMENT, payload))
+
+
 def read_experiments(spark: SparkSession, path: str) -> DataFrame:
-    return experiments(read_payloads(spark, path))
+    """``experiments`` of files of any size, each read by many tasks."""
+    return _experiments(decoded_files(spark, path, "experiments", _experiment, _EXPERIMENT))
 
 
-def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per slot of ``{"agents": [...]}``.
+def _slots_of(agent: object) -> Iterator[tuple]:
+    if not isinstance(agent, dict):
+        return
+    pools_, held = agent.get("resourcePools", ABSENT), agent.get("slots")
+    pool = (pools_[0] if pools_ else ABSENT) if isinstance(pools_, list) else pools_
+    shared = [value_of(agent.get("id", ABSENT)), value_of(agent.get("label", ABSENT)), value_of(pool)]
+    for slot in held.values() if isinstance(held, dict) else held if isinstance(held, list) else ():
+        if isinstance(slot, dict):
+            box = slot.get("container")
+            container = box.get("id", ABSENT) if isinstance(box, dict) else box if isinstance(box, str) else ABSENT
+            yield (*shared, *[value_of(slot.get(name, ABSENT)) for name in ("id", "device", "enabled")], value_of(container))
 
-    An agent's slots are an object or an array; its pool is the first of a
-    list, or the bare value. ``container_id`` comes from a container object's
-    id or a bare string. An absent ``enabled`` is true, a null one false.
-    """
 
-    def rows(at: int, agent: object) -> Iterator[tuple]:
-        if not isinstance(agent, dict):
-            return
-        pools_, held = agent.get("resourcePools", ABSENT), agent.get("slots")
-        pool = (pools_[0] if pools_ else ABSENT) if isinstance(pools_, list) else pools_
-        shared = [value_of(agent.get("id", ABSENT)), value_of(agent.get("label", ABSENT)), value_of(pool)]
-        for slot in held.values() if isinstance(held, dict) else held if isinstance(held, list) else ():
-            if isinstance(slot, dict):
-                box = slot.get("container")
-                container = box.get("id", ABSENT) if isinstance(box, dict) else box if isinstance(box, str) else ABSENT
-                yield (*shared, *[value_of(slot.get(name, ABSENT)) for name in ("id", "device", "enabled")], value_of(container))
-
-    found = decoded(payloads.select(payload), "agents", rows, _values(("agent", "label", "pool", "id", "device", "enabled", "held")), payload)
+_SLOT = _values(("agent", "label", "pool", "id", "device", "enabled", "held"))
+
+
+def _slots(found: DataFrame) -> DataFrame:
     return found.select(
         F.coalesce(as_string(F.col("id")), F.lit("None")).alias("slot_id"),
         F.coalesce(as_string(F.col("agent")), F.lit("None")).alias("agent_id"),
@@ -113,31 +108,55 @@ def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     )
 
 
+def slots(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """One row per slot of ``{"agents": [...]}``.
+
+    An agent's slots are an object or an array; its pool is the first of a
+    list, or the bare value. ``container_id`` comes from a container object's
+    id or a bare string. An absent ``enabled`` is true, a null one false.
+    """
+    return _slots(decoded(payloads.select(payload), "agents", _slots_of, _SLOT, payload))
+
+
 def read_slots(spark: SparkSession, path: str) -> DataFrame:
-    return slots(read_payloads(spark, path))
+    """``slots`` of files of any size, each read by many tasks."""
+    return _slots(decoded_files(spark, path, "agents", _slots_of, _SLOT))
 
 
-def pools(payloads: DataFrame, payload: str = "payload") -> DataFrame:
-    """``position, name, description`` of ``{"resourcePools": [...]}``; an absent name is empty."""
-    return _listed(payloads.select(payload), "resourcePools", ("name", "description"), payload).select(
+def _pools(found: DataFrame) -> DataFrame:
+    return found.select(
         "position",
         F.coalesce(as_string(F.col("name")), F.lit("")).alias("name"),
         as_string(F.col("description")).alias("description"),
     )
 
 
-def _listed(payloads: DataFrame, member: str, names: tuple[str, ...], payload: str) -> DataFrame:
-    """Every item of a list with its ``position``; the members of one that is no object are absent."""
+_POOL = ("name", "description")
 
-    def rows(at: int, item: object) -> Iterator[tuple]:
-        held = item if isinstance(item, dict) else {}
-        yield (at, *[value_of(held.get(name, ABSENT)) for name in names])
 
-    return decoded(payloads, member, rows, f"position int, {_values(names)}", payload)
+def pools(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """``position, name, description`` of ``{"resourcePools": [...]}``; an absent name is empty."""
+    return _pools(_listed(payloads.select(payload), "resourcePools", _POOL, payload))
 
 
 def read_pools(spark: SparkSession, path: str) -> DataFrame:
-    return pools(read_payloads(spark, path))
+    """``pools`` of files of any size, each read by many tasks."""
+    return _pools(decoded_files(spark, path, "resourcePools", _members(_POOL), _values(_POOL), positions=True))
+
+
+def _members(names: tuple[str, ...]) -> Callable[[object], Iterator[tuple]]:
+    """A row of some members per item; the members of one that is no object are absent."""
+
+    def rows(item: object) -> Iterator[tuple]:
+        held = item if isinstance(item, dict) else {}
+        yield tuple(value_of(held.get(name, ABSENT)) for name in names)
+
+    return rows
+
+
+def _listed(payloads: DataFrame, member: str, names: tuple[str, ...], payload: str) -> DataFrame:
+    """Every item of a list with its ``position``."""
+    return decoded(payloads, member, _members(names), _values(names), payload)
 
 
 def named_items(payloads: DataFrame, member: str, payload: str = "payload") -> DataFrame:
