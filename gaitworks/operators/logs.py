@@ -21,8 +21,8 @@ MAP_SIDE, LINE_BLOCK = 1000, 10_000
 
 _ENTRY = f"struct<message: {VALUE}, nested: {VALUE}, log: {VALUE}>"
 _NAMES = ("message", "nested", "log")
-#: Kinds whose text the JVM writes as Python does.
-_PLAIN = ("string", "boolean", "null")
+#: Types, as the engine names them, whose text it writes as Python does.
+_PLAIN = ("STRING", "BOOLEAN", "VOID")
 
 
 def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,22 +52,22 @@ def _parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["trial_id", "line_no", "result", "failed"])
 
 
-def _kind(value: Column) -> Column:
-    """The kind of a variant, null where there is none."""
-    kind = F.split(F.schema_of_variant(value), "[<(]", 2)[0]
-    names = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "DOUBLE": "double", "FLOAT": "double"}
-    return F.when(value.isNotNull(), F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), kind), F.lit("number")))
+#: Stands behind each line when the engine parses it; a line that holds it is left to Python.
+_BEHIND = "7046029254386353131"
+#: Where the values of a line are, once it is the first item of an array.
+_PLACES = {"message": "$[0].result.message", "nested": "$[0].result.message.message", "log": "$[0].result.log"}
 
 
-def _shown(value: Column, kind: Column) -> Column:
-    """A variant as kind and text, the text as Python writes it; only of the ``_PLAIN`` kinds."""
-    truth = F.when(F.try_variant_get(value, "$", "boolean"), "True").otherwise("False")
-    text = F.when(kind == "string", F.try_variant_get(value, "$", "string")).when(kind == "boolean", truth).when(kind == "null", "None")
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), text.alias("text")))
+#: SQL that turns a type as the engine names it (of a value of ``_PLACES``) into a kind.
+_KIND = """CASE WHEN {0} IS NULL THEN NULL WHEN {0} = 'STRING' THEN 'string' WHEN {0} = 'BOOLEAN' THEN 'boolean' WHEN {0} = 'VOID' THEN 'null'
+           WHEN startswith({0}, 'OBJECT') THEN 'object' WHEN startswith({0}, 'ARRAY') THEN 'array' ELSE 'number' END"""
 
 
-def _braces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("}")))
+def _shown(name: str) -> str:
+    """SQL for a value as kind and text, the text as Python writes it; only of the ``_PLAIN`` types."""
+    text = f"""CASE _types.{name} WHEN 'STRING' THEN try_variant_get(_v, '{_PLACES[name]}', 'string') WHEN 'VOID' THEN 'None'
+               WHEN 'BOOLEAN' THEN if(try_variant_get(_v, '{_PLACES[name]}', 'boolean'), 'True', 'False') END"""
+    return f"'{name}', CASE WHEN _types.{name} IS NOT NULL THEN named_struct('kind', {_KIND.format(f'_types.{name}')}, 'text', {text}) END"
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
@@ -76,25 +76,28 @@ def _parsed(lines: DataFrame) -> DataFrame:
     That is a line which the engine's parser rejects (``NaN`` and repeated
     members among them) though it starts as an object, holds half a surrogate
     pair, or whose text is a number or a container, which Python writes in its
-    own way.
+    own way. The parser stops behind a value, so a line is parsed as the first
+    item of an array: if something else follows it, so does not the second.
+
+    A generator hands on what is parsed: it keeps the optimizer from merging
+    the steps, which would parse a line once for each use.
     """
-    line = F.col("line")
-    names = {"_v": F.try_parse_json(F.when(line.rlike(r"^[ \t\n\r]*\{"), line))}
-    found = lines.select("trial_id", F.col("line_no").cast("long").alias("line_no"), "line").withColumns(names)
-    paths = {"_result": "$.result", "_error": "$.error", "_message": "$.result.message", "_nested": "$.result.message.message", "_log": "$.result.log"}
-    found = found.withColumns({name: F.try_variant_get("_v", path, "variant") for name, path in paths.items()})
-    found = found.withColumns({f"{name}_kind": _kind(F.col(name)) for name in ("_message", "_nested", "_log")})
-    strange = F.col("_v").isNull() & line.rlike(r"^[ \t\n\r]*\{")
-    # the engine's parser stops behind the object: more braces than it has read are of something that follows
-    rest = ~line.rlike(r"\}[ \t\n\r]*$") | (_braces(line) != _braces(F.to_json("_v")))
-    strange |= F.col("_v").isNotNull() & (line.rlike(r"\\u([dD][89a-fA-F]|007[dD])") | rest)
-    for name in ("_nested", "_log"):
-        strange |= ~F.coalesce(F.col(f"{name}_kind"), F.lit("null")).isin(*_PLAIN)
-    entry = F.struct(*[_shown(F.col(f"_{name}"), F.col(f"_{name}_kind")).alias(name) for name in _NAMES])
-    known = F.col("_result").isNotNull()
-    found = found.withColumn("odd", F.when(strange, line)).where(F.col("odd").isNotNull() | known | F.col("_error").isNotNull())
-    plain = F.col("odd").isNull()
-    return found.select("trial_id", "line_no", F.when(plain & known, entry).alias("result"), F.when(plain, ~known).alias("failed"), "odd")
+    wrapped = f"try_parse_json(concat('[', line, ',{_BEHIND}]'))"
+    clean = rf"NOT contains(line, '{_BEHIND}') AND NOT (contains(line, r'\u') AND rlike(line, r'\\u[dD][89a-fA-F]'))"
+    start = r"startswith(ltrim(' \t\n\r', line), '{')"
+    types = ", ".join(f"'{name}', schema_of_variant(try_variant_get(_v, '{place}', 'variant'))" for name, place in _PLACES.items())
+    found = f"""named_struct('behind', try_variant_get(_v, '$[1]', 'long'), 'known', try_variant_get(_v, '$[0].result', 'variant') IS NOT NULL,
+                'error', try_variant_get(_v, '$[0].error', 'variant') IS NOT NULL, {types})"""
+    hard = " OR ".join(f"coalesce(_types.{name}, 'VOID') NOT IN {_PLAIN}" for name in ("nested", "log"))
+    odd = f"if(_types.behind IS NULL OR _types.behind <> {_BEHIND} OR {hard}, line, NULL)"
+    entry = f"named_struct({', '.join(_shown(name) for name in _PLACES)})"
+    parsed = lines.selectExpr("trial_id", "CAST(line_no AS long) AS line_no", "line").where(start)
+    parsed = parsed.selectExpr("*", f"explode(array(CASE WHEN {clean} THEN {wrapped} END)) AS _v")
+    parsed = parsed.selectExpr("*", f"explode(array({found})) AS _types").withColumn("odd", F.expr(odd))
+    return parsed.where("odd IS NOT NULL OR _types.known OR _types.error").selectExpr(
+        "trial_id", "line_no", f"CASE WHEN odd IS NULL AND _types.known THEN {entry} END AS result",
+        "CASE WHEN odd IS NULL THEN NOT _types.known END AS failed", "odd",
+    )
 
 
 def trial_entries(lines: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from gaitworks.sources import storage
 #: Bytes of a range of a file; what is read first to find a piece's end beyond it (then twice as much).
 RANGE, AHEAD = 16 << 20, 1 << 16
 #: Documents up to so many characters are decoded whole.
-SMALL = 1 << 16
+SMALL = 4 << 20
 #: Rows that leave a task at a time.
 _BATCH = 2000
 
@@ -391,18 +391,20 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x]) if x is not None else pa.array([x], pa.int64()) for x in values], names)
 
 
-def _ranges(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, bool]:
-    """``path, start, end, length`` of the ranges of all files, with the state at each start; and whether a file has several."""
+def _ranges(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, int, bool]:
+    """``path, start, end, length`` of the ranges of all files, with the state at each start; tasks to read them in; whether a file has several."""
     listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    sizes = listed.agg(F.max("length").alias("most"), F.coalesce(F.sum("length"), F.lit(0)).alias("all")).first()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-sizes["all"] // size))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))
     cut = listed.select("path", F.explode(starts).alias("start"), "length")
     cut = cut.select("path", "start", F.least(F.col("start") + size, "length").alias("end"), "length")
     none = [F.lit(False).alias("in_string"), F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("outer")]
     whole = cut.filter(F.col("length") <= size).select("*", *none)
-    parts = stored(cut.filter(F.col("length") > size), "ranges")
-    if parts.isEmpty():
-        return whole, False
-    dealt = parts.repartition("path", "start")
+    if (sizes["most"] or 0) <= size:
+        return whole, tasks, False
+    parts = cut.filter(F.col("length") > size)
+    dealt = parts.repartition(tasks, "path", "start")
     found = dealt.mapInArrow(_scan, "path string, start long, quotes long, depth0 long, depth1 long, first long")
     found = stored(parts.join(found, ["path", "start"]), "range-states")
     # a row per range: a terabyte in one document is 65,536 of them
@@ -414,7 +416,7 @@ def _ranges(spark: SparkSession, path: str, size: int) -> tuple[DataFrame, bool]
     last = (F.col("end") == F.col("length")) & ((F.col("depth") + F.col("_step") != 0) | ((F.col("quotes") + F.col("in_string").cast("int")) % 2 == 1))
     depth = F.when(last, F.raise_error(F.concat(F.lit("a payload is no JSON document: it ends too early; "), "path"))).otherwise(F.col("depth"))
     states = states.select(*cut.columns, "in_string", depth.cast("long").alias("depth"), F.coalesce(outer, F.lit(0)).cast("long").alias("outer"))
-    return whole.unionByName(states), True
+    return whole.unionByName(states), tasks, True
 
 
 def decoded_files(
@@ -462,8 +464,8 @@ def decoded_files(
                 if rows:
                     yield pa.RecordBatch.from_arrays(_arrays(rows, types), out.names)
 
-    ranges, several = _ranges(spark, path, range_bytes)
-    items = ranges.repartition("path", "start").mapInArrow(read, out)
+    ranges, tasks, several = _ranges(spark, path, range_bytes)
+    items = ranges.repartition(tasks, "path", "start").mapInArrow(read, out)
     if several or positions:
         items = stored(items, "items")
     if several:
