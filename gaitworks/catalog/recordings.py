@@ -15,7 +15,7 @@ from gaitworks.functions import text
 from gaitworks.operators import checks, indexing
 from gaitworks.plans import rebuild
 from gaitworks.session import scratch_path
-from gaitworks.sources import datasets, recordings
+from gaitworks.sources import datasets, npz, recordings
 from gaitworks.spec import RolloutSpec
 
 ROWS = 32
@@ -149,6 +149,14 @@ def read_rollouts(spark, folder):
     return as_vector_rows(recordings.read_recordings(profiled(spark, folder), ["state"], split_bytes=4096), "state")
 
 
+@query("A2_read_rollouts_source", ELEMENTS + " WHERE file_idx % 3 = 1 AND sample_idx BETWEEN 3 AND 20")
+def read_rollouts_source(spark, folder):
+    """A scan of the engine's that opens every third file and reads some samples of each."""
+    headers = profiled(spark, folder)
+    third = [row["file_idx"] for row in headers.where("file_idx % 3 = 1").select("file_idx").collect()]
+    return as_vector_rows(npz.open_recordings(headers, ["state"], files=third, samples=(3, 21), split_bytes=4096), "state")
+
+
 @query(
     "A2_read_actions",
     f"""WITH {RECORDINGS}
@@ -215,6 +223,18 @@ def union_view(spark, folder):
     return as_matrix_rows(datasets.union_view(sharded(spark, folder)), "state_hist", ("global_row",))
 
 
+@query(
+    "B3_rows_between",
+    f"""WITH {RECORDINGS}
+SELECT o.file_offset + r.sample_idx AS global_row, CAST(d AS BIGINT) AS dim, CAST(r.state[d + 1] AS DOUBLE) AS value
+FROM (SELECT *, unnest(range(64)) AS d FROM recordings) r JOIN offsets o ON o.file_idx = r.file_idx
+WHERE o.file_offset + r.sample_idx BETWEEN 40 AND 139""",
+)
+def rows_between(spark, folder):
+    """A range of rows over all files; the scan skips the files outside it."""
+    return as_vector_rows(datasets.rows_between(sharded(spark, folder), 40, 140), "state", ("global_row",))
+
+
 DELTAS = f"""WITH {RECORDINGS}, pairs AS (
   SELECT file_idx, sample_idx, state AS base, s AS step, least(sample_idx + s + 1, n - 1) AS at
   FROM (SELECT *, unnest(range(16)) AS s FROM recordings))
@@ -255,7 +275,7 @@ def materialize_shard_dir(spark, folder):
     """The shards are in a folder that is given."""
     source, bare = _bare(spark, folder)
     made = datasets.materialize(
-        spark, bare, scratch_path(spark, "given"), shard_dir=f"{source.path}/{datasets.SAMPLES}", part_rows=50
+        spark, bare, scratch_path(spark, "given"), shard_dir=f"{source.folder}/{datasets.SAMPLES}", part_rows=50
     )
     return as_matrix_rows(made.samples, "state_delta")
 

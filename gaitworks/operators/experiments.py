@@ -5,19 +5,21 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gaitworks.functions.text import experiment_report_line
-from gaitworks.operators.indexing import global_index
 
 # The classes of experiment states.
 FAILED = ("ERROR", "CANCELED", "DELETE_FAILED")
 COMPLETED = ("COMPLETED",)
 ACTIVE = ("ACTIVE", "RUNNING", "STARTING", "PULLING", "QUEUE")
 
-# a page that ends further in is found by position instead of by a top-k heap
-DEEPEST_TOP_K = 1_000_000
+#: Rows among which a page is found by sorting; the rest is only counted.
+SORTED_ROWS = 200_000
+#: Rows that cut the range still looked through, in each round of counting.
+PIVOTS = 32
 
 
 def by_state(
@@ -28,19 +30,84 @@ def by_state(
     return experiments.where(F.col("state").isin(*wanted)) if wanted else experiments
 
 
-def page(df: DataFrame, order: Sequence[str] = ("id",), limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows offset..offset+limit in the given order.
+def page(
+    df: DataFrame,
+    order: Sequence[str] = ("id",),
+    limit: int = 100,
+    offset: int = 0,
+    sorted_rows: int = SORTED_ROWS,
+    pivots: int = PIVOTS,
+) -> DataFrame:
+    """Rows offset..offset+limit in the given order, nulls first.
 
     All other columns that can be ordered break ties, so that pages do not
-    overlap and both ways of finding a page give the same rows.
+    overlap. However deep the page, the table is neither sorted nor copied: rows
+    that are drawn at random cut it into ranges, the ranges are counted, and
+    the one in which the page starts is cut again, until it has at most
+    ``sorted_rows`` rows; so many, and the page, are all that is sorted. The
+    table is read once a round, of which there are a few, so it should give
+    the same rows each time.
     """
-    ties = [field.name for field in df.schema if field.name not in order and field.dataType.typeName() not in ("map", "variant")]
-    order = [*order, *ties]
-    if offset + limit <= DEEPEST_TOP_K:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    place = F.col("_place")
-    numbered = global_index(df, list(order), "_place")
-    return numbered.where((place >= offset) & (place < offset + limit)).drop("_place").orderBy(*order)
+    keys = {f"_key{i}": _sortable(df, name) for i, name in enumerate([*order, *[n for n in df.columns if n not in order]])}
+    keys = {name: key for name, key in keys.items() if key is not None}
+    names = list(keys)
+    keyed = df.select("*", F.struct(*[key.alias(name) for name, key in keys.items()]).alias("_key"))
+    least: Column | None = None  # rows from here on count, all of which lie behind so many others
+    before, rows = 0, keyed.count()
+    inside = keyed
+    while rows > sorted_rows and before + rows > offset:
+        drawn = inside.orderBy(F.rand(before + rows)).limit(pivots).select("_key.*")
+        cuts = [_literal(row, drawn) for row in drawn.distinct().orderBy(*names).collect()]
+        # ranges between pivots have even numbers, the rows equal to a pivot odd ones
+        place: Column | None = None
+        for number, cut in reversed(list(enumerate(cuts))):
+            for holds, value in ((F.col("_key") > cut, 2 * number + 2), (F.col("_key") == cut, 2 * number + 1)):
+                place = F.when(holds, F.lit(value)) if place is None else place.when(holds, F.lit(value))
+        place = place.otherwise(F.lit(0))
+        counts = {row["_place"]: row["count"] for row in inside.groupBy(place.alias("_place")).count().collect()}
+        for number in range(2 * len(cuts) + 1):
+            found = counts.get(number, 0)
+            if before + found > offset:
+                break
+            before += found
+        cut = cuts[(number - 1) // 2] if number else None
+        if number % 2:
+            # equal rows: any of them will do for the page
+            same = keyed.where(F.col("_key") == cut).limit(min(limit, before + found - offset))
+            rest = limit - (before + found - offset)
+            behind = keyed.where(F.col("_key") > cut).orderBy("_key").limit(max(rest, 0))
+            return same.unionByName(behind).orderBy("_key").select(*df.columns)
+        inside = inside if cut is None else inside.where(F.col("_key") > cut)
+        least = least if cut is None else F.col("_key") > cut
+        inside = inside.where(F.col("_key") < cuts[number // 2]) if number // 2 < len(cuts) else inside
+        rows = found
+    if before + rows <= offset:
+        return df.limit(0)
+    candidates = keyed if least is None else keyed.where(least)
+    return candidates.orderBy("_key").offset(offset - before).limit(limit).select(*df.columns)
+
+
+def _sortable(df: DataFrame, name: str) -> Column | None:
+    """A column as a value that sorts alike and survives the way through the driver; none if it has no order."""
+    kind, column = df.schema[name].dataType, F.col("`" + name.replace("`", "``") + "`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.date_format(column, "yyyyyy-MM-dd HH:mm:ss.SSSSSS")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column)
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.to_json(F.struct(column))
+    if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType)):
+        return column
+    return None
+
+
+def _literal(row: Row, table: DataFrame) -> Column:
+    """A collected row as a struct of literals."""
+    return F.struct(*[F.lit(row[field.name]).cast(field.dataType).alias(field.name) for field in table.schema])
 
 
 def experiment_class(state: Column) -> Column:

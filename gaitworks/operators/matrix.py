@@ -6,12 +6,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitworks.operators.joins import join_stored
+from gaitworks.session import stored
+
 TILE = 128
-#: Parts that the left tiles of one range of k are dealt to; the right tiles go to each.
-PARTS = 16
+#: Tiles of either side, of one range of k, that a task multiplies with each other; more are cut into a grid.
+GRID_TILES = 32
+
+
+def _tile_of(place: str, tile: int) -> Column:
+    return F.call_function("div", F.col(place) - F.pmod(F.col(place), F.lit(tile)), F.lit(tile))
 
 
 def _tiles(cells: DataFrame, row: str, column: str, side: str, tile: int) -> DataFrame:
@@ -21,8 +28,8 @@ def _tiles(cells: DataFrame, row: str, column: str, side: str, tile: int) -> Dat
     not travel row by row.
     """
     placed = cells.select(
-        F.call_function("div", F.col(row) - F.pmod(F.col(row), F.lit(tile)), F.lit(tile)).alias(f"{side}_row"),
-        F.call_function("div", F.col(column) - F.pmod(F.col(column), F.lit(tile)), F.lit(tile)).alias(f"{side}_col"),
+        _tile_of(row, tile).alias(f"{side}_row"),
+        _tile_of(column, tile).alias(f"{side}_col"),
         (F.pmod(F.col(row), F.lit(tile)) * tile + F.pmod(F.col(column), F.lit(tile))).cast("int").alias("_at"),
         F.col("v").cast("double").alias("_v"),
     )
@@ -34,13 +41,28 @@ def _tiles(cells: DataFrame, row: str, column: str, side: str, tile: int) -> Dat
     )
 
 
-def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataFrame:
+def grids(left: DataFrame, right: DataFrame, tile: int = TILE, grid_tiles: int = GRID_TILES) -> DataFrame:
+    """``k, down, across`` of the ranges of k with more than ``grid_tiles`` tiles on a side: parts of the left and right ones."""
+    sides = [
+        cells.select(_tile_of("k", tile).alias("k"), _tile_of(other, tile).alias("_tile"), F.lit(name).alias("_side")).distinct()
+        for cells, other, name in ((left, "i", "left"), (right, "j", "right"))
+    ]
+    counts = sides[0].unionByName(sides[1]).groupBy("k").agg(
+        *[F.ceil(F.count_if(F.col("_side") == name) / grid_tiles).alias(part) for name, part in (("left", "down"), ("right", "across"))]
+    )
+    return counts.where("down > 1 OR across > 1")
+
+
+def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE, grid_tiles: int = GRID_TILES) -> DataFrame:
     """``i, j, v`` of left (``i, k, v``) times right (``k, j, v``); cells without any product are absent.
 
     Tiles that share a range of k are joined and multiplied with NumPy, and
     the partial cells are summed before the last shuffle. The join thus
-    handles pairs of tiles, not pairs of cells; a range of k with many tiles,
-    as all are where the inner dimension is small, is joined by many tasks.
+    handles pairs of tiles, not pairs of cells. A range of k with many tiles,
+    as all are where the inner dimension is small, becomes a grid of
+    ``down`` times ``across`` tasks, as its tile counts ask for: a left tile is
+    copied to the ``across`` tasks of its row of the grid, a right tile to the
+    ``down`` ones of its column. Where there are few tiles nothing is copied.
     """
 
     def multiply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +91,26 @@ def matrix_product(left: DataFrame, right: DataFrame, tile: int = TILE) -> DataF
 
     lefts = _tiles(left, "i", "k", "l", tile)
     rights = _tiles(right, "k", "j", "r", tile)
-    lefts = lefts.withColumn("l_part", F.pmod(F.xxhash64("l_row"), F.lit(PARTS)))
-    rights = rights.withColumn("r_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    same = (lefts["l_col"] == rights["r_row"]) & (lefts["l_part"] == rights["r_part"])
-    pairs = lefts.join(rights, same).select("l_row", "r_col", "l_at", "l_v", "r_at", "r_v")
+    large = stored(grids(left, right, tile, grid_tiles), "grids")
+    keys = ["k"]
+    lefts, rights = lefts.withColumnRenamed("l_col", "k"), rights.withColumnRenamed("r_row", "k")
+    if not large.isEmpty():
+        keys = ["k", "_down", "_across"]
+        lefts = _dealt(lefts, large, "l_row", "_down", "down", "_across", "across")
+        rights = _dealt(rights, large, "r_col", "_across", "across", "_down", "down")
+    pairs = lefts.join(rights, keys).select("l_row", "r_col", "l_at", "l_v", "r_at", "r_v")
     partial = pairs.mapInArrow(multiply, "i long, j long, v double")
     return partial.groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def _dealt(tiles: DataFrame, large: DataFrame, by: str, own: str, own_count: str, other: str, other_count: str) -> DataFrame:
+    """Tiles with their part of the grid along their own side, once for each part along the other side."""
+    placed = join_stored(tiles, large, ["k"], F.col(by), "left")
+    one = F.lit(1).cast("long")
+    part = F.pmod(F.xxhash64(by), F.coalesce(own_count, one)).alias(own)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other_count, one) - 1)).alias(other)
+    return placed.select(*tiles.columns, part, copies)
+
+
 def checksum(cells: DataFrame) -> DataFrame:
     return cells.agg(F.sum("v").alias("checksum"))

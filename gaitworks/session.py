@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,9 +67,44 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Tables below the shared folder that this process has made, and their sessions.
+_scratch: dict[str, SparkSession] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder."""
-    return f"{shared_dir(spark)}/gaitworks-{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder; what is written there goes with the scope or the driver's process."""
+    path = f"{shared_dir(spark)}/gaitworks-{label}-{uuid.uuid4().hex}"
+    _scratch[path] = spark
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Delete, at its end, the intermediate tables made within it.
+
+    Results that are still to be computed read such tables: write or collect
+    them inside the scope.
+    """
+    before = set(_scratch)
+    try:
+        yield
+    finally:
+        _clear([path for path in _scratch if path not in before])
+
+
+def _clear(paths: list[str]) -> None:
+    for path in paths:
+        spark = _scratch.pop(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _clear_at_exit() -> None:
+    try:
+        _clear(list(_scratch))
+    except Exception:  # noqa: BLE001 - the session may be gone; the cluster clears its shared folder itself
+        return
 
 
 def materialized(df: DataFrame) -> DataFrame:

@@ -1,15 +1,25 @@
-"""Datasets as Parquet: ``samples``, ``files`` and ``dataset_meta`` below one folder."""
+"""Datasets as Parquet: ``samples``, ``files`` and ``dataset_meta`` in a version folder below the dataset's own.
+
+A write goes to a version folder of its own, the meta table last. Its success
+mark is what makes the version count: readers take the newest whole version, so
+a write that fails, at whatever point, leaves the dataset as it was, and a
+reader that has opened a version keeps it while the next one is written. The
+version before the newest stays for such readers; older ones go with the next
+write. Datasets without versions (the three tables right below the folder) are
+read, too. One writer at a time.
+"""
 
 from __future__ import annotations
 
 import math
+import re
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-import pyarrow.parquet as parquet
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaitworks.functions.text import path_stem
 from gaitworks.operators.checks import raise_if_any, reconcile
@@ -53,10 +63,13 @@ def compression_options(name: str, level: int | None = None, strict: bool = True
 
 @dataclass(frozen=True)
 class Dataset:
+    """``path`` is the dataset's folder, ``folder`` that of the version that was opened."""
+
     samples: DataFrame
     files: DataFrame
     meta: DataFrame
     path: str
+    folder: str
 
     def meta_dict(self) -> dict[str, str]:
         """The recorded parameters, a handful of rows."""
@@ -68,12 +81,46 @@ def meta_table(spark: SparkSession, values: dict[str, object]) -> DataFrame:
     return spark.createDataFrame(rows, "key string, value string").coalesce(1)
 
 
-def _prepare(spark: SparkSession, path: str, overwrite: bool) -> None:
-    """From here until the meta table is written again, the folder is no dataset."""
+_VERSION = re.compile(r"v(\d{6,})-[0-9a-f]{8}")
+
+
+def versions(path: str) -> list[tuple[int, str, bool]]:
+    """``number, folder, whole`` of the versions below a dataset's folder, oldest first; a dataset without versions is number 0."""
+    _, folders = storage.list_both(path)
+    found = []
+    for name in (folder.rstrip("/").rsplit("/", 1)[1] for folder in folders):
+        match = _VERSION.fullmatch(name)
+        if match:
+            found.append((int(match[1]), f"{path}/{name}", storage.exists(f"{path}/{name}/{META}/_SUCCESS")))
+    if storage.exists(f"{path}/{META}/_SUCCESS"):
+        found.append((0, path, True))
+    return sorted(found)
+
+
+def current(path: str) -> str:
+    """The folder of the newest whole version."""
+    whole = [folder for _, folder, done in versions(path) if done]
+    if not whole:
+        raise FileNotFoundError(f"no whole dataset at {path}: it has no {META}")
+    return whole[-1]
+
+
+def _new_version(path: str, overwrite: bool) -> str:
     if not overwrite and storage.exists(path):
         raise FileExistsError(f"output exists: {path}")
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{META}")
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    number = max((number for number, _, _ in versions(path)), default=0) + 1
+    return f"{path}/v{number:06d}-{uuid.uuid4().hex[:8]}"
+
+
+def _clear_older(spark: SparkSession, path: str, newest: str) -> None:
+    """Delete what is older than the whole version before the newest, and unfinished versions before the newest."""
+    older = [version for version in versions(path) if version[1] != newest]
+    kept = next((folder for _, folder, done in reversed(older) if done), None)
+    for _, folder, _ in older:
+        if folder != kept:
+            for place in [f"{path}/{name}" for name in (SAMPLES, FILES, META)] if folder == path else [folder]:
+                target = spark._jvm.org.apache.hadoop.fs.Path(place)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def write_consolidated(
@@ -100,13 +147,13 @@ def write_consolidated(
     the write.
     """
     spark = samples.sparkSession
-    _prepare(spark, path, overwrite)
+    target = _new_version(path, overwrite)
     if "file_offset" not in files.columns:
         files = with_offsets(files)
     if not in_order:
         samples = _in_parts(samples, files, part_rows)
-    samples.write.mode("overwrite").options(**compression_options(compression, level)).parquet(f"{path}/{SAMPLES}")
-    return _finish(spark, files, path, meta or {}, verify)
+    samples.write.options(**compression_options(compression, level)).parquet(f"{target}/{SAMPLES}")
+    return _finish(spark, files, path, target, meta or {}, verify)
 
 
 def _in_parts(samples: DataFrame, files: DataFrame, part_rows: int) -> DataFrame:
@@ -123,19 +170,20 @@ def _in_parts(samples: DataFrame, files: DataFrame, part_rows: int) -> DataFrame
     )
 
 
-def _finish(spark: SparkSession, files: DataFrame, path: str, meta: dict, verify: bool) -> Dataset:
-    """Side tables after the samples. The meta table goes last: a folder that has it is whole."""
+def _finish(spark: SparkSession, files: DataFrame, path: str, target: str, meta: dict, verify: bool) -> Dataset:
+    """Side tables after the samples. The meta table goes last: a version that has it is whole, and counts from then on."""
     if "file_offset" not in files.columns:
         files = with_offsets(files)
-    files.write.mode("overwrite").parquet(f"{path}/{FILES}")
-    written = spark.read.parquet(f"{path}/{SAMPLES}")
-    stored = spark.read.parquet(f"{path}/{FILES}")
+    files.write.parquet(f"{target}/{FILES}")
+    written = spark.read.parquet(f"{target}/{SAMPLES}")
+    stored = spark.read.parquet(f"{target}/{FILES}")
     if verify:
         raise_if_any(reconcile(written.select("file_idx", "sample_idx"), stored), "rows written differ from rows declared")
     total = stored.agg(F.coalesce(F.sum("num_samples"), F.lit(0)), F.count("*")).first()
     values = {"num_samples": total[0], "source_files": total[1], **meta}
-    meta_table(spark, values).write.mode("overwrite").parquet(f"{path}/{META}")
-    return read_dataset(spark, path, required=())
+    meta_table(spark, values).write.parquet(f"{target}/{META}")
+    _clear_older(spark, path, target)
+    return _opened(spark, path, target, required=())
 
 
 def write_shards(
@@ -155,36 +203,67 @@ def write_shards(
     files, so a huge file is written by many tasks. Without ``part_rows`` the
     rows are written as they lie, for input that is in runs already.
     """
-    spark = samples.sparkSession
-    _prepare(spark, path, overwrite)
+    target = _new_version(path, overwrite)
     if part_rows:
         run = F.call_function("div", F.col("sample_idx"), F.lit(part_rows))
         samples = samples.repartition("file_idx", run).sortWithinPartitions("file_idx", "sample_idx")
     (
-        samples.write.mode("overwrite")
-        .partitionBy("file_idx")
+        samples.write.partitionBy("file_idx")
         .options(**compression_options(compression, level))
-        .parquet(f"{path}/{SAMPLES}")
+        .parquet(f"{target}/{SAMPLES}")
     )
-    shard = F.concat(F.lit(f"{path}/{SAMPLES}/file_idx="), F.col("file_idx").cast("string"))
-    return _finish(spark, files.withColumn("shard_path", shard), path, meta or {}, verify)
+    shard = F.concat(F.lit(f"{target}/{SAMPLES}/file_idx="), F.col("file_idx").cast("string"))
+    return _finish(samples.sparkSession, files.withColumn("shard_path", shard), path, target, meta or {}, verify)
 
 
 def read_dataset(spark: SparkSession, path: str, required: tuple[str, ...] = ("action", "state")) -> Dataset:
-    """Open a dataset; it must have the required fields and the files table's names and offsets.
+    """Open a dataset's newest whole version; it must have the required fields and the files table's names and offsets.
 
-    A folder without its meta table was not written to the end, and is refused.
+    A folder in which nothing was written to the end is refused.
     """
-    if not storage.exists(f"{path}/{META}/_SUCCESS"):
-        raise FileNotFoundError(f"no whole dataset at {path}: it has no {META}")
-    samples = spark.read.parquet(f"{path}/{SAMPLES}").withColumn("file_idx", F.col("file_idx").cast("long"))
-    files = spark.read.parquet(f"{path}/{FILES}")
-    meta = spark.read.parquet(f"{path}/{META}")
+    return _opened(spark, path, current(path), required)
+
+
+def _opened(spark: SparkSession, path: str, folder: str, required: tuple[str, ...]) -> Dataset:
+    samples = spark.read.parquet(f"{folder}/{SAMPLES}").withColumn("file_idx", F.col("file_idx").cast("long"))
+    files = spark.read.parquet(f"{folder}/{FILES}")
+    meta = spark.read.parquet(f"{folder}/{META}")
     lacking = [name for name in required if name not in samples.columns]
     lacking += [name for name in ("name", "file_offset", "num_samples") if name not in files.columns]
     if lacking:
         raise KeyError(f"dataset {path} lacks {lacking}")
-    return Dataset(samples, files, meta, path)
+    return Dataset(samples, files, meta, path, folder)
+
+
+def rows_between(dataset: Dataset, start: int, end: int) -> DataFrame:
+    """The rows of ``union_view`` with ``start <= global_row < end``, read from no more than the files and parts that hold them.
+
+    The ends are looked up in the offsets first: each is a file and a place in
+    it, and these are plain comparisons of ``file_idx`` and ``sample_idx``,
+    which reach the scan. They prune shard folders, or row groups by their
+    footers' bounds.
+    """
+    filled = dataset.files.where(F.col("num_samples") > 0).where(F.col("file_offset") < end)
+    facts = filled.agg(
+        F.max(F.when(F.col("file_offset") <= start, F.struct("file_offset", "file_idx"))).alias("first"),
+        F.max(F.struct("file_offset", "file_idx")).alias("last"),
+    ).first()
+    samples = dataset.samples
+    if end <= start or facts["last"] is None:
+        return attach_offset(samples.where(F.lit(False)), dataset.files)
+    last_file, last_row = facts["last"]["file_idx"], end - facts["last"]["file_offset"]
+    first = facts["first"] or {"file_idx": None}
+    index, row = F.col("file_idx"), F.col("sample_idx")
+    wanted = index <= last_file
+    if first["file_idx"] == last_file:
+        # within one file the rows are bounded as well
+        wanted = (index == last_file) & (row >= start - first["file_offset"]) & (row < last_row)
+    else:
+        wanted &= (index < last_file) | (row < last_row)
+        if first["file_idx"] is not None:
+            wanted &= (index >= first["file_idx"]) & ((index > first["file_idx"]) | (row >= start - first["file_offset"]))
+    near = dataset.files.where(index <= last_file)
+    return attach_offset(samples.where(wanted), near if first["file_idx"] is None else near.where(index >= first["file_idx"]))
 
 
 def union_view(dataset: Dataset) -> DataFrame:
@@ -204,16 +283,28 @@ def concat_datasets(first: Dataset, second: Dataset) -> tuple[DataFrame, DataFra
 
 
 def present_paths(paths: DataFrame, column: str = "path") -> DataFrame:
-    """Adds ``present``; the look-ups run in tasks."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in paths.schema) + ", present boolean"
+    """Adds ``present``: whether there is a file or folder of that name.
+
+    The folders the paths lie in are listed by tasks, each once, and joined with
+    the paths; so requests grow with folders, not with paths. A null path, one
+    without a folder and one spelled with a last ``.`` or ``..`` is not there.
+    """
+    spark = paths.sparkSession
+    parent, name = F.regexp_extract(column, "^(.*)/[^/]+/*$", 1), F.regexp_extract(column, "^.*/([^/]+)/*$", 1)
+    keyed = paths.withColumns({"_parent": parent, "_name": name})
+    folders = keyed.select("_parent").where("_parent <> '' OR _name <> ''").distinct()
 
     def look(batches):
         for batch in batches:
-            found = pa.array([path is not None and storage.exists(path) for path in batch[column].to_pylist()], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "present"])
+            for folder in batch["_parent"].to_pylist():
+                for names in storage.names_below(folder or "/"):
+                    yield pa.RecordBatch.from_pydict({"_parent": pa.array([folder] * len(names), pa.string()), "_name": pa.array(names, pa.string())})
 
-    tasks = paths.sparkSession.sparkContext.defaultParallelism * 4
-    return paths.repartition(tasks, column).mapInArrow(look, schema)
+    tasks = spark.sparkContext.defaultParallelism * 4
+    there = folders.repartition(tasks, "_parent").mapInArrow(look, "_parent string, _name string")
+    there = there.withColumn("present", F.lit(True))
+    found = join_lookup(keyed, there, ["_parent", "_name"], F.col("_name"), "left")
+    return found.select(*paths.columns, F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def choose_shards(candidates: DataFrame) -> DataFrame:
@@ -269,16 +360,17 @@ def materialize(
 
     The shards are read from ``shard_dir`` (the dataset's own folder if none is
     given) if all of them are there, else from the places the files table
-    recorded. They are read part by part in the order of their samples and
-    written as read, without a shuffle of the samples.
+    recorded. The engine scans them and writes what it reads, without a shuffle
+    of the samples; small shards share a part of about ``part_rows`` samples.
     """
     if not overwrite and storage.exists(target):
         raise FileExistsError(f"output exists: {target}")
-    files = spark.read.parquet(f"{source}/{FILES}")
-    recorded = {row["key"]: row["value"] for row in spark.read.parquet(f"{source}/{META}").collect()}
-    folder = shard_dir or f"{source}/{SAMPLES}"
-    places = resolve_shards(files, folder).join(files.select("file_idx", "file_offset"), "file_idx")
-    samples = read_in_order(places, part_rows)
+    opened = current(source)
+    files = spark.read.parquet(f"{opened}/{FILES}")
+    recorded = {row["key"]: row["value"] for row in spark.read.parquet(f"{opened}/{META}").collect()}
+    folder = shard_dir or f"{opened}/{SAMPLES}"
+    total = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
+    samples = scan_shards(resolve_shards(files, folder)).coalesce(max(1, math.ceil(total / part_rows)))
     meta = {key: value for key, value in recorded.items() if key != "vds"}
     meta |= {"materialized_from_vds": True, "source_dataset": source, "source_shard_dir": folder}
     return write_consolidated(
@@ -286,63 +378,42 @@ def materialize(
     )
 
 
-def read_in_order(places: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """The samples of shard folders (``file_idx, path, file_offset``), in the order of files and samples.
+def scan_shards(places: DataFrame) -> DataFrame:
+    """The samples of shard folders (``file_idx, path``), by a scan of the engine's.
 
-    Footers are read first: a row group holds consecutive samples, and its
-    least index is its place. Row groups are dealt to tasks by place, in runs of
-    about ``part_rows`` samples, and each task reads its own.
+    Folders named ``file_idx=<n>`` are partitions of the folder they lie in,
+    however many there are; of others each file's folder says whose it is.
     """
     spark = places.sparkSession
-    first = places.orderBy("file_idx").select("path").first()
-    if first is None:
+    parts = places.select("file_idx", "path", F.regexp_extract("path", "^(.*)/file_idx=([0-9]+)/*$", 1).alias("parent"))
+    own = F.regexp_extract("path", "^(.*)/file_idx=([0-9]+)/*$", 2) == F.col("file_idx").cast("string")
+    parts = stored(parts.withColumn("own", own), "shards")
+    if parts.isEmpty():
         raise ValueError("there are no shards")
-    whole = spark.read.parquet(first["path"]).schema
-    inner = [name for name in whole.names if name != "file_idx"]
-    schema = T.StructType([T.StructField("file_idx", T.LongType()), *[field for field in whole if field.name != "file_idx"]])
-
-    def groups(batches):
-        for batch in batches:
-            for file_idx, path, offset in zip(*[batch[name].to_pylist() for name in ("file_idx", "path", "file_offset")]):
-                for part in storage.list_dir(path):
-                    if not part.endswith(".parquet"):
-                        continue
-                    system, place = storage.resolve(part)
-                    with system.open_input_file(place) as raw:
-                        footer = parquet.ParquetFile(raw).metadata
-                    at = [footer.schema.column(i).path for i in range(footer.num_columns)].index("sample_idx")
-                    facts = [footer.row_group(i) for i in range(footer.num_row_groups)]
-                    found = [(i, group.column(at).statistics.min, group.num_rows) for i, group in enumerate(facts) if group.num_rows]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "file_idx": pa.array([file_idx] * len(found), pa.int64()),
-                            "part": pa.array([part] * len(found), pa.string()),
-                            "row_group": pa.array([i for i, _, _ in found], pa.int32()),
-                            "place": pa.array([offset + start for _, start, _ in found], pa.int64()),
-                            "rows": pa.array([rows for _, _, rows in found], pa.int64()),
-                        }
-                    )
-
-    def read(batches):
-        for batch in batches:
-            for file_idx, part, group in zip(*[batch[name].to_pylist() for name in ("file_idx", "part", "row_group")]):
-                system, place = storage.resolve(part)
-                with system.open_input_file(place) as raw:
-                    for found in parquet.ParquetFile(raw).iter_batches(256, row_groups=[group], columns=inner):
-                        index = pa.array([file_idx] * found.num_rows, pa.int64())
-                        yield pa.RecordBatch.from_arrays([index, *[found[name] for name in inner]], ["file_idx", *inner])
-
-    tasks = spark.sparkContext.defaultParallelism * 4
-    listed = places.select("file_idx", "path", "file_offset").repartition(tasks, "file_idx")
-    found = stored(listed.mapInArrow(groups, "file_idx long, part string, row_group int, place long, rows long"), "row-groups")
-    facts = found.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max("place"), F.lit(0)).alias("last")).first()
-    parts = max(1, math.ceil(facts["rows"] / part_rows))
-    share = facts["last"] // parts + 1
-    return (
-        found.repartitionById(parts, F.call_function("div", F.col("place"), F.lit(share)).cast("int"))
-        .sortWithinPartitions("place")
-        .mapInArrow(read, schema)
-    )
+    if parts.where("NOT own").isEmpty():
+        parents = [row["parent"] for row in parts.select("parent").distinct().collect()]
+        found = []
+        for parent in parents:
+            samples = spark.read.parquet(parent).withColumn("file_idx", F.col("file_idx").cast("long"))
+            wanted = parts.where(F.col("parent") == parent).select(F.col("file_idx").cast("long").alias("file_idx"))
+            # the folder may hold shards that the dataset does not name
+            found.append(join_lookup(samples, wanted, ["file_idx"], F.col("sample_idx"), "left_semi"))
+        whole = reduce(DataFrame.unionByName, found)
+    else:
+        paths = [row["path"] for row in parts.select("path").collect()]
+        file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        folder = F.regexp_replace(file, "/[^/]*$", "")
+        samples = spark.read.parquet(*paths).withColumn("_folder", _plain_path(folder))
+        # a folder may be spelled as a partition of another file
+        samples = samples.select("_folder", *[c for c in samples.columns if c not in ("file_idx", "_folder")])
+        owners = parts.select(_plain_path(F.col("path")).alias("_folder"), F.col("file_idx").cast("long").alias("file_idx"))
+        whole = join_lookup(samples, owners, ["_folder"], F.col("sample_idx")).drop("_folder")
+    return whole.select("file_idx", *[c for c in whole.columns if c != "file_idx"])
+
+
+def _plain_path(path: Column) -> Column:
+    """Without the ways of writing that a local path and a URI of it differ in."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/*", "/"), "/+$", "")
 
 
 def dataset_summary(samples: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -26,15 +27,14 @@ def walk(spark: SparkSession, roots: Sequence[str], deep: bool = True) -> DataFr
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for root, folder in zip(batch["root"].to_pylist(), batch["path"].to_pylist()):
-                files, folders = storage.list_both(folder)
-                found = [*((path, False) for path in files), *((path, True) for path in (folders if deep else ()))]
-                for start in range(0, len(found), _BATCH):
-                    part = found[start : start + _BATCH]
+                found = ((path, below) for path, below in storage.entries(folder) if deep or not below)
+                # a batch at a time, however many names a folder holds
+                while part := list(itertools.islice(found, _BATCH)):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([root] * len(part), pa.string()),
                             pa.array([path for path, _ in part], pa.string()),
-                            pa.array([folder for _, folder in part], pa.bool_()),
+                            pa.array([below for _, below in part], pa.bool_()),
                         ],
                         ["root", "path", "folder"],
                     )

@@ -27,8 +27,7 @@ from gaitworks.sources import listing, storage
 
 SPLIT_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
-# tasks of a read: enough for large clusters, few enough for one shuffle
-# what opening a split costs, in bytes read
+#: What opening a split costs, in bytes read.
 OPEN_COST = 1 << 20
 
 PROFILE_SCHEMA = (
@@ -174,7 +173,31 @@ def read_recordings(
     Partitions come in file and sample order, so a write needs no shuffle of
     the samples.
     """
-    fields, trim = list(fields), trim or {}
+    splits, ranks, tasks = planned(profiled, fields, split_bytes)
+    cuts = [(trim or {}).get(field, ()) for field in fields]
+    names = list(fields)
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for split in batch.to_pylist():
+                yield from decode(split, names, cuts)
+
+    return (
+        splits.repartitionById(tasks, "_task")
+        .sortWithinPartitions("file_idx", "start")
+        .drop("_task")
+        .mapInArrow(read, schema_of(names, ranks))
+    )
+
+
+def schema_of(fields: Sequence[str], ranks: Sequence[int]) -> str:
+    types = ["array<" * (rank - 1) + "float" + ">" * (rank - 1) for rank in ranks]
+    return "file_idx long, sample_idx long, " + ", ".join(f"`{f}` {t}" for f, t in zip(fields, types))
+
+
+def planned(profiled: DataFrame, fields: Sequence[str], split_bytes: int = SPLIT_BYTES) -> tuple[DataFrame, list[int], int]:
+    """``file_idx, path, start, end, _task`` of the splits in order, the fields' ranks, and the number of tasks."""
+    fields = list(fields)
     described = profiled.select(
         "file_idx", "path", *[F.col("fields")[name].alias(f"_f{i}") for i, name in enumerate(fields)]
     )
@@ -240,25 +263,10 @@ def read_recordings(
         )
         .select("file_idx", "path", "start", "end", F.floor(F.col("_at") / share).cast("int").alias("_task"))
     )
-
-    types = ["array<" * (rank - 1) + "float" + ">" * (rank - 1) for rank in ranks]
-    schema = "file_idx long, sample_idx long, " + ", ".join(f"`{f}` {t}" for f, t in zip(fields, types))
-    cuts = [trim.get(field, ()) for field in fields]
-
-    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for split in batch.to_pylist():
-                yield from _decode(split, fields, cuts)
-
-    return (
-        splits.repartitionById(tasks, "_task")
-        .sortWithinPartitions("file_idx", "start")
-        .drop("_task")
-        .mapInArrow(read, schema)
-    )
+    return splits, ranks, tasks
 
 
-def _decode(split: dict, fields: list[str], cuts: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
+def decode(split: dict, fields: list[str], cuts: list[tuple[int, ...]]) -> Iterator[pa.RecordBatch]:
     """Stream one split as record batches of a few megabytes."""
     system, inner = storage.resolve(split["path"])
     with system.open_input_file(inner) as raw, zipfile.ZipFile(raw) as archive:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -55,16 +56,37 @@ def list_dir(path: str, recursive: bool = False) -> Iterator[str]:
             yield prefix + info.path
 
 
-def list_both(path: str) -> tuple[list[str], list[str]]:
-    """Full paths of the files and of the folders right below a folder; an absent one has none."""
+def entries(path: str) -> Iterator[tuple[str, bool]]:
+    """Full path of each file and folder right below a folder, and whether it is a folder; an absent one has none.
+
+    A local folder is gone through as a stream; of a store the client's own list is.
+    """
     system, inner = resolve(path)
-    prefix, files, folders = prefix_of(path), [], []
+    prefix = prefix_of(path)
+    if isinstance(system, fs.LocalFileSystem):
+        if os.path.isdir(inner):
+            with os.scandir(inner) as found:
+                for entry in found:
+                    folder = entry.is_dir()
+                    if folder or entry.is_file():
+                        yield f"{prefix}{inner.rstrip('/')}/{entry.name}", folder
+        return
     for info in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
-        if info.type == fs.FileType.File:
-            files.append(prefix + info.path)
-        elif info.type == fs.FileType.Directory:
-            folders.append(prefix + info.path)
-    return files, folders
+        if info.type in (fs.FileType.File, fs.FileType.Directory):
+            yield prefix + info.path, info.type == fs.FileType.Directory
+
+
+def names_below(path: str, size: int = 10_000) -> Iterator[list[str]]:
+    """The names right below a folder, so many at a time."""
+    found = (name.rstrip("/").rsplit("/", 1)[1] for name, _ in entries(path))
+    while names := list(itertools.islice(found, size)):
+        yield names
+
+
+def list_both(path: str) -> tuple[list[str], list[str]]:
+    """Full paths of the files and of the folders right below a folder; an absent one has none."""
+    found = list(entries(path))
+    return [name for name, folder in found if not folder], [name for name, folder in found if folder]
 
 
 def glob_root(pattern: str) -> tuple[str, str, bool]:

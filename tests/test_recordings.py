@@ -1,5 +1,11 @@
 """NPZ files written by the test, read back, checked, rebuilt and compared with NumPy."""
 
+import io
+import os
+import re
+import shutil
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +13,7 @@ from pyspark.sql import functions as F
 from gaitworks.operators import checks
 from gaitworks.operators.features import window_partitions
 from gaitworks.plans import rebuild
-from gaitworks.sources import datasets, recordings
+from gaitworks.sources import datasets, npz, recordings, storage
 from gaitworks.spec import RolloutSpec
 
 
@@ -155,37 +161,197 @@ def test_shards_are_read_where_they_are(spark, folder, tmp_path):
     bare = tmp_path / "bare"
     built.files.write.parquet(str(bare / "files"))
     built.meta.write.parquet(str(bare / "dataset_meta"))
-    copied = datasets.materialize(spark, str(bare), str(tmp_path / "one"), part_rows=7)
+    copied = datasets.materialize(spark, str(bare), str(tmp_path / "one"), part_rows=20)
+    assert len(copied.samples.inputFiles()) <= 4
     assert_derived(copied.samples, NAMES, folder, spec)
     assert copied.meta_dict()["source_shard_dir"] == f"{bare}/samples"
     # shards elsewhere, and no record of them
     moved = tmp_path / "elsewhere"
-    (tmp_path / "out" / "samples").rename(moved)
+    (Path(built.folder) / "samples").rename(moved)
     with pytest.raises(FileNotFoundError, match="missing examples: .*file_idx=0.*file_idx=1.*file_idx=2"):
         datasets.materialize(spark, str(bare), str(tmp_path / "two"))
     again = datasets.materialize(spark, str(bare), str(tmp_path / "two"), shard_dir=str(moved))
     assert_derived(again.samples, NAMES, folder, spec)
     assert again.meta_dict()["source_shard_dir"] == str(moved)
-    placed = datasets.resolve_shards(built.files, str(moved)).join(built.files.select("file_idx", "file_offset"), "file_idx")
-    plan = datasets.read_in_order(placed, 7)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "row_group" in plan.split("Exchange")[1]
-    read = datasets.read_in_order(placed, 7).select("file_idx", "sample_idx", F.monotonically_increasing_id().alias("m"))
-    order = [(row["file_idx"], row["sample_idx"]) for row in read.orderBy("m").collect()]
-    assert order == sorted(order) and len(order) == 62
+    found = datasets.scan_shards(datasets.resolve_shards(built.files, str(moved)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Python" not in plan and "InArrow" not in plan
+    assert "hashpartitioning" not in plan.split("FileScan parquet")[0]
+    assert sorted((row["file_idx"], row["sample_idx"]) for row in found.select("file_idx", "sample_idx").collect()) == sorted(
+        (i, t) for i, n in enumerate([5, 7, 3, 40, 1, 6]) for t in range(n)
+    )
+
+
+def test_shards_under_other_names(spark, tmp_path):
+    """Shard folders named after their files, with characters that URIs spell otherwise, and one that is nobody's."""
+    samples, files = simple_dataset(spark, [4, 2, 3])
+    files = files.withColumn("name", F.concat(F.lit("a b+c%20"), "file_idx", F.lit(".npz")))
+    made = datasets.write_shards(samples, files, str(tmp_path / "d"))
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    for i in range(3):
+        shutil.copytree(Path(made.folder) / "samples" / f"file_idx={i}", odd / f"a b+c%20{i}.shard")
+    shutil.copytree(Path(made.folder) / "samples" / "file_idx=0", odd / "other.shard")
+    found = datasets.scan_shards(datasets.resolve_shards(made.files, str(odd), ".shard"))
+    assert sorted(tuple(r) for r in found.select("file_idx", "sample_idx", "value").collect()) == sorted(tuple(r) for r in samples.collect())
+    # of a folder with more shards than the dataset has, only its own
+    few = datasets.scan_shards(datasets.resolve_shards(made.files.where("file_idx <> 1"), f"{made.folder}/samples"))
+    assert sorted(r["file_idx"] for r in few.collect()) == [0] * 4 + [2] * 3
+
+
+def test_presence_is_a_listing_of_folders(spark, tmp_path, monkeypatch):
+    (tmp_path / "a").mkdir()
+    for name in ("a/x", "a/y z", "top"):
+        (tmp_path / name).write_text("")
+    cases = {"a/x": True, "a/x/": True, "a/y z": True, "a": True, "a/": True, "top": True, "a/no": False, "none/x": False, "a/x/below": False, "": True}
+    paths = [(f"{tmp_path}/{name}" if name else "/tmp",) for name in cases] + [(None,), ("bare",), (f"file:{tmp_path}/top",)]
+    table = spark.createDataFrame([(i, *row) for i, row in enumerate(paths)], "present_ int, path string")
+    found = [row["present"] for row in datasets.present_paths(table).orderBy("present_").collect()]
+    assert found == [*cases.values(), False, False, True]
+
+
+def test_a_flat_folder_is_listed_in_batches(spark, tmp_path):
+    for number in range(2500):
+        (tmp_path / f"rec_{number:05d}.npz").touch()
+    assert [len(names) for names in storage.names_below(str(tmp_path), 1000)] == [1000, 1000, 500]
+    assert recordings.list_recordings(spark, folder=str(tmp_path)).count() == 2500
 
 
-def test_a_failed_overwrite_leaves_no_dataset(spark, tmp_path):
+def simple_dataset(spark, lengths):
+    files = spark.createDataFrame([(i, f"f{i}", n) for i, n in enumerate(lengths)], "file_idx long, name string, num_samples long")
+    rows = [(i, t, 100.0 * i + t) for i, n in enumerate(lengths) for t in range(n)]
+    return spark.createDataFrame(rows, "file_idx long, sample_idx long, value double"), files
+
+
+def values(dataset):
+    return sorted(row["value"] for row in dataset.samples.collect())
+
+
+@pytest.mark.parametrize("write", [datasets.write_consolidated, datasets.write_shards])
+def test_a_failed_overwrite_leaves_the_old_dataset(spark, tmp_path, write):
     path = str(tmp_path / "d")
-    files = spark.createDataFrame([(0, "a", 3)], "file_idx long, name string, num_samples long")
-    samples = spark.range(3).select(F.lit(0).cast("long").alias("file_idx"), F.col("id").alias("sample_idx"))
-    datasets.write_consolidated(samples, files, path)
-    assert datasets.read_dataset(spark, path, required=()).samples.count() == 3
+    samples, files = simple_dataset(spark, [3])
     with pytest.raises(ValueError):
-        datasets.write_consolidated(samples.where("sample_idx < 2"), files, path)
+        write(samples.where("sample_idx < 2"), files, path)
     with pytest.raises(FileNotFoundError, match="no whole dataset"):
         datasets.read_dataset(spark, path, required=())
-    datasets.write_consolidated(samples, files, path)
-    assert datasets.read_dataset(spark, path, required=()).samples.count() == 3
+    write(samples, files, path)
+    before = datasets.read_dataset(spark, path, required=())
+    # rows that do not add up, and a task that fails while it writes
+    with pytest.raises(ValueError):
+        write(samples.where("sample_idx < 2"), files, path)
+    broken = samples.withColumn("value", F.when(F.col("sample_idx") == 2, F.raise_error("no such sample").cast("double")).otherwise(0.0))
+    with pytest.raises(Exception, match="no such sample"):
+        write(broken, files, path)
+    after = datasets.read_dataset(spark, path, required=())
+    assert after.folder == before.folder and values(after) == values(before) == [0.0, 1.0, 2.0]
+    write(samples.withColumn("value", F.col("value") + 7), files, path)
+    assert values(datasets.read_dataset(spark, path, required=())) == [7.0, 8.0, 9.0]
+    # who had opened the version before still reads it; the failed ones are gone
+    assert values(before) == [0.0, 1.0, 2.0]
+    assert [whole for _, _, whole in datasets.versions(path)] == [True, True]
+    write(samples, files, path)
+    assert len(datasets.versions(path)) == 2
+    with pytest.raises(FileExistsError):
+        write(samples, files, path, overwrite=False)
+
+
+def test_datasets_without_versions_are_read_and_replaced(spark, tmp_path):
+    samples, files = simple_dataset(spark, [2, 3])
+    made = datasets.write_consolidated(samples, files, str(tmp_path / "new"))
+    plain = tmp_path / "plain"
+    shutil.copytree(made.folder, plain)
+    assert datasets.current(str(plain)) == str(plain)
+    assert values(datasets.read_dataset(spark, str(plain), required=())) == values(made)
+    for extra in (1, 2):
+        datasets.write_consolidated(samples.withColumn("value", F.col("value") + extra), files, str(plain))
+        assert values(datasets.read_dataset(spark, str(plain), required=()))[0] == extra
+    assert sorted(x.name[:7] for x in plain.iterdir()) == ["v000001", "v000002"]
+
+
+@pytest.mark.parametrize("write,part_rows", [(datasets.write_consolidated, 7), (datasets.write_shards, 7)])
+def test_rows_between_read_what_they_must(spark, tmp_path, write, part_rows):
+    lengths = [5, 0, 30, 1, 0, 12, 2]
+    samples, files = simple_dataset(spark, lengths)
+    dataset = write(samples, files, str(tmp_path / "d"), part_rows=part_rows)
+    whole = [row["value"] for row in datasets.union_view(dataset).orderBy("global_row").collect()]
+    assert len(whole) == 50
+    for start, end in [(0, 50), (0, 1), (4, 6), (5, 35), (6, 34), (10, 20), (35, 36), (36, 48), (49, 50), (50, 60), (-5, 3), (20, 20), (30, 10), (47, 99)]:
+        found = datasets.rows_between(dataset, start, end).orderBy("global_row").collect()
+        assert [row["global_row"] for row in found] == list(range(max(start, 0), min(end, 50))), (start, end)
+        assert [row["value"] for row in found] == whole[max(start, 0) : max(end, 0)] if start < end else not found
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = datasets.rows_between(dataset, 10, 20)._jdf.queryExecution().executedPlan().toString()
+    across = datasets.rows_between(dataset, 3, 40)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    if write is datasets.write_shards:
+        assert re.search(r"PartitionFilters: \[[^\]]*file_idx[^\]]* = 2", plan)
+    else:
+        assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(file_idx,2\)", plan)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(sample_idx,5\)[^\]]*LessThan\(sample_idx,15\)", plan)
+    assert re.search(r"(LessThanOrEqual\(file_idx,5\)|file_idx[^\]]* <= 5)", across)
+
+
+class CountingFile(io.FileIO):
+    total = 0
+
+    def read(self, size=-1):
+        data = super().read(size)
+        CountingFile.total += len(data)
+        return data
+
+    def size(self):
+        return os.path.getsize(self.name)
+
+
+def test_the_source_reads_what_is_asked_for(spark, folder, tmp_path, monkeypatch):
+    """Bytes read for the state alone, of some files, of a few samples."""
+    profiled = recordings.profile(recordings.list_recordings(spark, folder=str(folder)))
+    place = str(tmp_path / "splits")
+    monkeypatch.setattr(npz, "scratch_path", lambda spark, label: place)
+    npz.open_recordings(profiled, ["state"], split_bytes=1 << 12)
+
+    class System:
+        @staticmethod
+        def open_input_file(path):
+            return CountingFile(path)
+
+    def cost(fields, **wanted):
+        reader = npz.Reader(["file_idx", "sample_idx", *fields], place, {}, **wanted)
+        partitions = reader.partitions()
+        CountingFile.total = 0
+        with monkeypatch.context() as patched:
+            patched.setattr(storage, "resolve", lambda path: (System, path))
+            rows = [(f, s) for p in partitions for batch in reader.read(p) for f, s in zip(batch[0].to_pylist(), batch[1].to_pylist())]
+        return CountingFile.total, rows
+
+    both, rows = cost(["state", "action"])
+    state, same = cost(["state"])
+    assert rows == same == sorted(rows) and len(rows) == 62 and state < both / 2
+    one, found = cost(["state"], files=[2])
+    assert found == [r for r in rows if r[0] == 2] and one < state / 2
+    few, found = cost(["state"], files=[0, 2], samples=[1, 3])
+    assert found == [r for r in rows if r[0] in (0, 2) and 1 <= r[1] < 3]
+    assert cost(["state"], files=[]) == (0, [])
+
+
+def test_the_source_equals_the_reader(spark, folder):
+    profiled = recordings.profile(recordings.list_recordings(spark, folder=str(folder)))
+    fields, trim = ["state", "action"], {"action": (16, 29)}
+    reader = recordings.read_recordings(profiled, fields, trim, 1 << 15)
+    for files, samples in [(None, None), ([2], None), ([1, 4], (0, 2)), (None, (3, 10**9)), ([99], None), ([], None)]:
+        source = npz.open_recordings(profiled, fields, trim, files, samples, 1 << 15)
+        wanted = reader.where(f"file_idx IN ({', '.join(map(str, files)) or 'NULL'})") if files is not None else reader
+        wanted = wanted.where(F.col("sample_idx").between(samples[0], samples[1] - 1)) if samples else wanted
+        assert sorted(map(str, source.collect())) == sorted(map(str, wanted.collect())), (files, samples)
+        ordered = [(r["file_idx"], r["sample_idx"]) for r in source.select("file_idx", "sample_idx", F.monotonically_increasing_id().alias("m")).orderBy("m").collect()]
+        assert ordered == sorted(ordered)
+    # one source, read with several filters in one query and after each other
+    source = npz.open_recordings(profiled, ["state"])
+    halves = source.where("file_idx <= 1").select("file_idx").unionByName(source.where("file_idx > 1").select("file_idx"))
+    assert halves.count() == source.count() == 62 and source.where("sample_idx < 1 OR file_idx = 0").count() == 10
+    with pytest.raises(Exception, match="file_idx and sample_idx"):
+        spark.read.format(npz.NAME).schema("state array<float>").option("splits", "x").load().collect()
 
 
 def test_rebuild_of_a_rebuild_with_an_empty_recording(spark, tmp_path):
@@ -329,8 +495,8 @@ def test_compression(spark, folder, tmp_path):
     sizes = {}
     for name, level in (("none", None), ("lzf", None), ("gzip", 1), ("gzip", 9)):
         place = tmp_path / f"{name}{level}"
-        rebuild.rebuild_from_recordings(files, str(place), compression=name, level=level)
-        parts = list((place / "samples").rglob("*.parquet"))
+        built = rebuild.rebuild_from_recordings(files, str(place), compression=name, level=level)
+        parts = list((Path(built.folder) / "samples").rglob("*.parquet"))
         sizes[name, level] = sum(part.stat().st_size for part in parts)
     assert sizes["gzip", 9] <= sizes["gzip", 1] < sizes["none", None]
     with pytest.raises(ValueError, match="unknown compression"):

@@ -3,7 +3,10 @@
 import base64
 import json
 import random
-from datetime import datetime, timezone
+import re
+from collections import Counter
+from datetime import date, datetime, timezone
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -189,7 +192,7 @@ def test_experiment_queries(spark):
     assert ops.by_state(table, ["ERROR"], ["paused"]).count() == 1 and ops.by_state(table, [], ["paused"]).count() == 1
     assert ops.by_state(table).count() == 16 and ops.in_class(table, "failed").count() == 3
     assert [r["id"] for r in ops.page(table, limit=3, offset=2).collect()] == [2, 3, 4]
-    assert [r["id"] for r in ops.page(table, limit=3, offset=ops.DEEPEST_TOP_K).collect()] == []
+    assert [r["id"] for r in ops.page(table, limit=3, offset=10**9).collect()] == []
     assert ops.one_by_id(table, 99).isEmpty()
     line = ops.experiment_report(table.where("id = 3")).first()["line"]
     assert line == f"{3:6d} {'STOPPING_KILLED':15} {'me':15} n3"
@@ -198,10 +201,38 @@ def test_experiment_queries(spark):
     assert ops.old_completed(ended, datetime(2024, 1, 31, 0, 0, 1), 30).count() == 1
 
 
-def test_deep_page(spark, monkeypatch):
-    monkeypatch.setattr(ops, "DEEPEST_TOP_K", 5)
-    table = spark.range(50).repartition(7)
-    assert [row["id"] for row in ops.page(table, limit=4, offset=30).collect()] == [30, 31, 32, 33]
+PAGE_TYPES = "id int, name string, at timestamp, day date, price decimal(9,2), score double, raw binary, flag boolean, tags array<string>, local timestamp_ntz"
+
+
+@pytest.mark.parametrize("sorted_rows,pivots", [(1, 1), (5, 3), (30, 32), (10_000, 32)])
+def test_pages_at_any_depth(spark, sorted_rows, pivots):
+    """Pages beside each other hold all rows once, in order, with nulls, ties and repeated rows."""
+    draw = random.Random(sorted_rows)
+    rows = [
+        (
+            draw.choice([None, *range(6)]), draw.choice([None, "a", "ä", ""]), draw.choice([None, datetime(2024, 1, 1), datetime(2024, 1, 1, 0, 0, 0, 5)]),
+            draw.choice([None, date(2020, 1, 1)]), draw.choice([Decimal("1.50"), Decimal("-2.00")]), draw.choice([0.5, float("nan"), None]),
+            draw.choice([b"a", b""]), draw.choice([True, False]), draw.choice([["x"], [], None]), datetime(2024, 1, 1, 0, 0, draw.randrange(2)),
+        )
+        for _ in range(60)
+    ]
+    rows += [rows[0]] * 40
+    table = spark.createDataFrame(rows, PAGE_TYPES).repartition(5)
+    pages = [row for at in range(0, 110, 20) for row in ops.page(table, limit=20, offset=at, sorted_rows=sorted_rows, pivots=pivots).collect()]
+    assert len(pages) == 100 and Counter(map(str, pages)) == Counter(map(str, table.collect()))
+    ids = [-1 if row["id"] is None else row["id"] for row in pages]
+    assert ids == sorted(ids)
+    assert list(map(str, pages)) == list(map(str, ops.page(table, limit=1000).collect()))
+    assert ops.page(table, limit=5, offset=100, sorted_rows=sorted_rows).isEmpty() and ops.page(table.limit(0)).isEmpty()
+
+
+def test_a_deep_page_sorts_only_what_it_must(spark):
+    table = spark.range(0, 300_000, numPartitions=4).select((F.col("id") * 7919 % 300_000).alias("id"), F.lit("x").alias("name"))
+    found = ops.page(table, limit=4, offset=200_000, sorted_rows=1000)
+    assert [row["id"] for row in found.collect()] == [200_000, 200_001, 200_002, 200_003]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Existing RDD" not in plan
+    assert "Filter" in plan and int(re.search(r"offset=(\d+)", plan)[1]) <= 1000
 
 
 def test_named_items_and_trials(spark):
@@ -347,3 +378,37 @@ def test_matrix_product(spark, tile):
     halves = cells(left, "i", "k").withColumn("v", F.col("v") / 2)
     doubled = matrix.matrix_product(halves.unionByName(halves), cells(right, "k", "j"), tile)
     assert matrix.checksum(doubled).first()[0] == pytest.approx(wanted.sum())
+
+
+@pytest.mark.parametrize("grid_tiles", [1, 2, 32])
+def test_matrix_products_in_a_grid(spark, grid_tiles):
+    """A narrow inner dimension, one with a hot range of k, and rows and columns far apart."""
+    rng = np.random.default_rng(2)
+
+    def cells(entries, a, b):
+        return spark.createDataFrame([(i, j, v) for (i, j), v in entries.items()], f"{a} long, {b} long, v double")
+
+    left = {(int(i), int(k)): float(rng.normal()) for i in [*range(40), 1 << 40, -7] for k in ([0, 1, 2] if i % 3 else [0, 90])}
+    right = {(int(k), int(j)): float(rng.normal()) for k in (0, 1, 90, 91) for j in ([*range(30), -(1 << 41)] if k == 0 else [3, 17])}
+    found = matrix.matrix_product(cells(left, "i", "k"), cells(right, "k", "j"), 4, grid_tiles)
+    got = {(row["i"], row["j"]): row["v"] for row in found.collect()}
+    wanted = {}
+    for (i, k), x in left.items():
+        for (k2, j), y in right.items():
+            if k == k2:
+                wanted[i, j] = wanted.get((i, j), 0.0) + x * y
+    assert set(got) == set(wanted) and all(got[c] == pytest.approx(wanted[c]) for c in wanted)
+    parts = {row["k"]: (row["down"], row["across"]) for row in matrix.grids(cells(left, "i", "k"), cells(right, "k", "j"), 4, grid_tiles).collect()}
+    # 12 tile rows meet 9 tile columns at k 0 to 3; elsewhere there are 11 tile rows at most, and 2 tile columns
+    assert parts.get(0) == {1: (12, 9), 2: (6, 5), 32: None}[grid_tiles]
+
+
+def test_a_narrow_product_is_spread_and_a_small_one_not_copied(spark):
+    wide = spark.range(4000).select(F.col("id").alias("i"), (F.col("id") % 4).alias("k"), F.lit(1.0).alias("v"))
+    across = wide.select("k", F.col("i").alias("j"), "v")
+    parts = matrix.grids(wide, across, 4, 32).collect()
+    assert [(row["k"], row["down"] * row["across"] > 16) for row in parts] == [(0, True)]
+    total = matrix.checksum(matrix.matrix_product(wide, across, 4, 32)).first()[0]
+    assert total == 4 * 1000 * 1000
+    small = matrix.matrix_product(wide.where("i < 100"), across.where("j < 100"), 4, 32)
+    assert "explode" not in small._jdf.queryExecution().optimizedPlan().toString().lower()
