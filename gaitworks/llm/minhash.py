@@ -313,7 +313,7 @@ def near_duplicates(
     classes = (
         rows.filter("n > 0")
         .groupBy("n", "f1", "f2")
-        .agg(F.min("doc").alias("doc"), F.min(F.struct("k1", "k2")).alias("k"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc").alias("doc"), F.min(F.struct("k1", "k2", F.col("doc").alias("row"))).alias("k"), F.first("sketch").alias("sketch"))
         .select("n", "f1", "f2", "doc", "k.*", "sketch", F.monotonically_increasing_id().alias("id"))
     )
     classes = stored(classes, f"{label}-classes")
@@ -328,10 +328,13 @@ def near_duplicates(
 
     sizes = clusters.join(classes.select(F.col("id").alias("node"), "n"), "node")
     parts = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("count"))
-    wanted_texts = classes.join(clusters, classes["id"] == clusters["node"]).select("k1", "k2", "id")
+    # one row of a class gives its set, however many copies there are; only rows that repeat its doc_id, too, are dropped behind
+    wanted_rows = classes.join(clusters, classes["id"] == clusters["node"])
+    wanted_rows = checked(stored(wanted_rows.select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), "row", "id"), f"{label}-wanted"))
     t1, t2 = text_keys(quoted(text))
-    texts = docs.select(F.coalesce(quoted(text), F.lit("")).alias("text"), t1.alias("k1"), t2.alias("k2"))
-    texts = texts.join(checked(stored(wanted_texts, f"{label}-wanted")), ["k1", "k2"]).select("text", "id")
+    texts = docs.select(F.coalesce(quoted(text), F.lit("")).alias("text"), t1.alias("k1"), t2.alias("k2"), quoted(doc_id).cast("long").alias("doc"))
+    same_row = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")) & F.col("doc").eqNullSafe(F.col("row"))
+    texts = texts.join(wanted_rows, same_row).select("text", "id")
     sets = stored(texts.mapInArrow(_set_rows, "id long, members binary").dropDuplicates(["id"]), f"{label}-sets")
     named = clusters.join(parts, "component").select(F.col("node").alias("id"), "component", "count")
     full = sets.join(named, "id").join(classes.select("id", "n", "sketch"), "id")

@@ -158,3 +158,35 @@ def test_vectors_without_ids_and_without_rows(spark):
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in vectors.near_duplicates(table).collect())
     assert got == [(-1, 0, -1, True), (-1, 2, 4, False), (-1, 2, 4, False), (4, 2, 4, True)]
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_a_large_group_of_exact_and_near_copies(spark):
+    """10,000 equal rows (some of one doc_id, some of none) and 5,000 that differ from them by a word each."""
+    words = [f"w{i}" for i in range(300)]
+    text = " ".join(words)
+    near = [" ".join([*words[: i % 290], f"x{i}", *words[i % 290 + 1 :]]) for i in range(5000)]
+    rows = [(i if i % 100 else (None if i % 200 else 5), text) for i in range(1, 10_001)] + [(20_000 + i, x) for i, x in enumerate(near)]
+    rows += [(50_000 + i, " ".join(f"other{i}x{j}" for j in range(50))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    found = minhash.near_duplicates(docs).groupBy("component_id").count().collect()
+    counts = {r["component_id"]: r["count"] for r in found}
+    assert counts.pop(1) == 15_000 and len(counts) == 20 and set(counts.values()) == {1}
+    kept = minhash.representatives(docs).select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, *range(50_000, 50_020)]
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs whose similarity is 85 to 86 per cent: nearly all of them are linked, and none below."""
+    rows, wanted, below = [], [], []
+    for pair in range(1500):
+        words = [f"p{pair}w{i}" for i in range(400)]
+        other = list(words)
+        # each change in the middle replaces five shingles: 6 changes leave 366 of 426, 7 leave 361 of 431
+        for change in range(6 if pair % 3 else 7):
+            other[20 + 50 * change] = "changed"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        (wanted if pair % 3 else below).append(pair)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r["component_id"] // 2 for r in minhash.near_duplicates(docs).filter("NOT kept").collect()}
+    assert not linked & set(below)
+    assert len(linked) / len(wanted) >= 0.999
