@@ -323,7 +323,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
     """Every row with ``ids``: the tokens of the whole text, no special ones among them.
 
     ``vocabulary`` is the path of a rank file on every worker. Null text is
-    empty. A column of the input that is named ``ids`` is replaced.
+    empty, a text of any length is taken whole, an empty table gives no rows. A
+    column of the input that is named ``ids`` is replaced.
     """
     prepared(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != ids.lower()]
@@ -342,7 +343,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", i
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Every row with the bytes of its ids. Null ids have none; an id without a token is an error."""
+    """Every row with the bytes of its ids. Null ids have none; an id without a token is an error; an empty table stays empty."""
     prepared(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() != decoded.lower()]
     schema = docs.select(*[quoted(c) for c in kept]).schema.add(decoded, "binary")

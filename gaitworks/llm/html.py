@@ -420,8 +420,9 @@ def consensus(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Every row, without the html, with ``text`` (empty if there is none) and ``n_chars``.
 
-    Null html is empty; a null url's host is empty. Columns of the input with a
-    result's name are replaced.
+    Null html is empty; a null url's host is empty. Very long pages are read
+    whole; repeated rows stay, and each votes; an empty table gives no rows.
+    Columns of the input with a result's name are replaced.
     """
     prepared(pages.sparkSession)
     winners = stored(consensus(pages, url, html), "html-paths")

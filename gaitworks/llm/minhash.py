@@ -297,7 +297,8 @@ def near_duplicates(
     """Every row with ``n_shingles``, ``component_id`` (the least doc_id of its group) and ``kept``.
 
     ``kept`` tells the rows whose doc_id is their group's, and all rows of
-    groups without any doc_id. Columns of these names in the input are replaced.
+    groups without any doc_id. Very long texts are read whole; an empty table
+    gives no rows. Columns of these names in the input are replaced.
     ``group`` names one more column, if wanted: a number for each group, null
     for rows without words.
     """

@@ -44,8 +44,9 @@ def tokenize(
     may give the same vocabulary as a rank file: texts whose characters all
     lie below U+0250, where the two libraries' character classes are the same,
     are then encoded with it, which takes a fifth of the time; all others go
-    through the tokenizer. Null text is empty. A column of the input that is
-    named ``ids`` is replaced.
+    through the tokenizer. Null text is empty, a text of any length is taken
+    whole, an empty table gives no rows. A column of the input that is named
+    ``ids`` is replaced.
     """
     prepared(docs.sparkSession)
     kept = [c for c in docs.columns if c.lower() not in (text.lower(), ids.lower())]
@@ -81,7 +82,10 @@ def _by_ranks(path: str):
 
 
 def cut(tokenized: DataFrame, capacity: int = CAPACITY, ids: str = "ids") -> DataFrame:
-    """One row per piece: the other columns, ``start``, ``length``, ``doc_tokens``, and ``ids`` of this piece alone."""
+    """One row per piece: the other columns, ``start``, ``length``, ``doc_tokens``, and ``ids`` of this piece alone.
+
+    A text of any length gives as many pieces as it fills; an empty table gives none.
+    """
     names = ("start", "length", "doc_tokens")
     kept = [c for c in tokenized.columns if c != ids and c.lower() not in names]
     tokens = (F.octet_length(quoted(ids)) / 4).cast("long")
@@ -156,8 +160,8 @@ def pack(pieces: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     number each; groups are dealt by a hash of the whole row, and ties of
     length are taken in the order of that hash, so a task that runs again packs
     the same way. Only numbers and lengths go into the groups; their places are
-    joined back, so wide rows never meet in a group. Columns of the input with
-    a result's name are replaced.
+    joined back, so wide rows never meet in a group. An empty table gives no
+    rows. Columns of the input with a result's name are replaced.
     """
     prepared(pieces.sparkSession)
     pieces = pieces.select(*[quoted(c) for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])

@@ -99,7 +99,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_duplicates(rows).select("vec_id", "n_links", "component_id", "kept")
 
 
-@query("op10_suffix_array_dedup")
+@query("op10_suffix_array_dedup", S.SUFFIX_DEDUP)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = suffix.remove_repeated(docs)

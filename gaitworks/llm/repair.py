@@ -243,12 +243,11 @@ def repair(rows: DataFrame) -> DataFrame:
 
 def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["conv_id", *[field.split()[0] for field in FIELDS.split(", ")]]
-    kind, current, work, done = pa.int64(), None, None, []
+    kind, current, work, done = None, None, None, []
 
     def made() -> pa.RecordBatch:
         types = [kind, *[pa.int64()] * 6, pa.string(), pa.string()]
-        columns = list(zip(*done)) if done else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
 
     for batch in batches:
         kind = batch.schema.field("conv_id").type
@@ -265,4 +264,4 @@ def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = []
     if work is not None:
         done.append((current, *work.finish()))
-    yield made()
+        yield made()

@@ -215,3 +215,23 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
        best.c AS cost, best.a AS audit, sha256(substr(best.t, 2)) AS repaired_sha256
 FROM ended
 """
+
+SUFFIX_DEDUP = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM docs WHERE octet_length(b) >= 400),
+windows AS (SELECT r, i, md5(array_slice(b, i, i + 399)) AS h FROM starts),
+repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+cuts AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS cut FROM repeated),
+spans AS (
+  SELECT r, min(i) AS s, max(i) + 400 AS e FROM (SELECT r, i, sum(cut) OVER (PARTITION BY r ORDER BY i) AS g FROM cuts) GROUP BY r, g),
+totals AS (SELECT r, sum(e - s) AS n_removed, count(*) AS n_spans, max(e) AS last FROM spans GROUP BY r),
+pieces AS (
+  SELECT r, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS a, s - 1 AS z FROM spans
+  UNION ALL SELECT r, coalesce(last, 1), octet_length(b) FROM docs LEFT JOIN totals USING (r)),
+kept AS (
+  SELECT r, unhex(coalesce(string_agg(hex(array_slice(b, a, z)), '' ORDER BY a) FILTER (WHERE z >= a), '')) AS k
+  FROM pieces JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(k) AS kept_sha256
+FROM docs JOIN kept USING (r) LEFT JOIN totals USING (r)
+"""

@@ -98,6 +98,8 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 35, gram:
     A word goes if a window that covers it also starts anywhere else, in the
     same text or another one; windows are judged on the input. Without
     ``joined_words``, ``kept`` is the text itself, cut as ``without_words`` does.
+    A null text has no words, very long ones are searched whole, equal rows are
+    each other's repeats, and an empty table gives no rows.
     """
     prepared(docs.sparkSession)
     spans = repeated_spans(docs, text, window, gram)

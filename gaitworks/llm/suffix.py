@@ -151,7 +151,9 @@ def remove_repeated(docs: DataFrame, text: str = "text", window: int = 400, gram
 
     A byte goes if a string of ``window`` bytes that covers it also starts
     anywhere else, in the same text or another one; strings are judged on the
-    input. ``kept`` is binary: a cut may fall inside a character.
+    input. ``kept`` is binary: a cut may fall inside a character. Null texts count
+    as empty, very long ones are searched whole, equal rows are each other's
+    repeats, and an empty table gives no rows.
     """
     prepared(docs.sparkSession)
     spans = repeated_spans(docs, text, window, gram)

@@ -136,7 +136,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec
     Vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, and neither do vectors of different widths. Repeated
     rows link with each other. A null vec_id counts as greater than all
-    others. Columns of the input with a result's name are replaced.
+    others. An empty table gives no rows. Columns of the input with a result's
+    name are replaced.
     """
     spark = prepared(vectors.sparkSession)
     label, results = "vectors", ("n_links", "component_id", "kept")

@@ -263,5 +263,5 @@ def test_a_long_conversation_is_repaired(spark):
 
 
 def test_repair_without_copies_takes_rows_as_they_are(spark):
-    rows = spark.createDataFrame([(1, 0, "system", "x."), (1, 1, "user", "y."), (1, 2, "assistant", "z")], "conv_id long, turn int, role string, text string")
+    rows = spark.createDataFrame([(1, 0, "system", "x."), (1, 1, "user", "y."), (1, 2, "assistant", "z")], "conv_id int, turn int, role string, text string")
     assert tuple(repair.repair(rows).first())[1:8] == (0, 0, 0, 1, 0, 1, "KKK")

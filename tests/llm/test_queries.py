@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gaitworks.llm import language, queries
@@ -30,6 +31,7 @@ def test_query_without_sql_covers_its_table(spark, tables, name):
     found = queries.QUERIES[name](spark, DATA)
     table = "pages" if "html" in name else "documents"
     key = "page_id" if table == "pages" else "doc_id"
+    # every query without SQL is about one of these two tables
     wanted = tables.execute(f"SELECT count(*) FROM {table}").fetchone()[0]
     assert found.select(key).distinct().count() == wanted
 
@@ -133,3 +135,45 @@ def test_the_near_dedup_stage_takes_copies_from_80_per_cent(spark):
     similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
     assert 0.8 < similar[0] < 0.85 and similar[1] < 0.8 and similar[2] > 0.85
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == [0, 2, 3, 4]
+
+
+EMPTY = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "pages": "page_id long, url string, html string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "conversations": "conv_id long, turn long, role string, text string",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
+@pytest.fixture(scope="module")
+def no_rows(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("empty")
+    for name, schema in EMPTY.items():
+        spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [*sorted(queries.QUERIES), "pipeline"])
+def test_empty_tables_give_no_rows(spark, no_rows, name):
+    build = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
+    assert build(spark, no_rows).collect() == []
+
+
+def test_the_stages_keep_columns_of_any_name(spark):
+    """Columns that clash with names inside the operators, repeated rows, null and very long texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(9001, None, None, None, None), (9002, "", "en", "x", 0), (9003, "the same words and more of them. " * 40_000, "en", "x", 1)], docs.schema)
+    docs = docs.unionByName(docs.limit(20)).unionByName(odd)
+    names = ["kept", "n_words", "n_shingles", "score", "k1", "span", "group", "place", "ids", "_text", "_score"]
+    docs = docs.select("*", *[F.lit(i).alias(name) for i, name in enumerate(names)])
+    stages = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stages = stage(spark, stages, DATA)
+        assert stages.columns == docs.columns, name
+    rows = stages.collect()
+    assert len(rows) > 10 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert all([r[name] for name in names] == list(range(len(names))) for r in rows)
+    assert not {9001, 9002} & {r["doc_id"] for r in rows}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, stages, DATA)
+    assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {r["doc_id"] for r in rows}
