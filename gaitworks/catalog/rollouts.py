@@ -375,6 +375,47 @@ def rollout_features(spark, folder):
     return rows.select("file_idx", "sample_idx", flag, F.inline(steps))
 
 
+_WHOLE = {
+    "state_hist": ("step", _history(64)),
+    "cmd_hist": ("step", _history(58)),
+    "state_delta": ("step", DELTA),
+    "cmd": ("CAST(0 AS BIGINT)", _leading(58)),
+    "recovery_flag": (
+        "CAST(0 AS BIGINT)",
+        f"WITH {STATES}, {NORMS} SELECT file_idx, sample_idx, CAST(0 AS BIGINT) AS dim, CAST({FLAG} AS DOUBLE) AS value FROM norms",
+    ),
+}
+
+
+@query(
+    "rollout_features_cells",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS field, file_idx, sample_idx, {step} AS step, dim, value FROM ({sql})" for name, (step, sql) in _WHOLE.items()
+    ),
+)
+def rollout_features_cells(spark, folder):
+    """Every cell of every feature, from one ``derive``."""
+    rows = features.derive(states(spark, folder), SPEC)
+
+    def cells(name, matrix):
+        def cell(row, step):
+            return F.transform(
+                row,
+                lambda value, dim: F.struct(
+                    F.lit(name).alias("field"), step.cast("long").alias("step"), dim.cast("long").alias("dim"), value.cast("double").alias("value")
+                ),
+            )
+
+        return F.flatten(F.transform(matrix, cell))
+
+    shapes = {
+        **{name: F.col(name) for name in ("state_hist", "cmd_hist", "state_delta")},
+        "cmd": F.array("cmd"),
+        "recovery_flag": F.array(F.array("recovery_flag")),
+    }
+    return rows.select("file_idx", "sample_idx", F.inline(F.concat(*[cells(name, matrix) for name, matrix in shapes.items()])))
+
+
 def _cells(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(
         long("label").alias("label"), "vec_id", F.posexplode("embedding").alias("dim", "v")
