@@ -370,7 +370,9 @@ def materialize(
     recorded = {row["key"]: row["value"] for row in spark.read.parquet(f"{opened}/{META}").collect()}
     folder = shard_dir or f"{opened}/{SAMPLES}"
     total = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
-    samples = scan_shards(resolve_shards(files, folder)).coalesce(max(1, math.ceil(total / part_rows)))
+    # at least a part for each core, as compressing is most of the work
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(total / part_rows))
+    samples = scan_shards(resolve_shards(files, folder)).coalesce(parts)
     meta = {key: value for key, value in recorded.items() if key != "vds"}
     meta |= {"materialized_from_vds": True, "source_dataset": source, "source_shard_dir": folder}
     return write_consolidated(

@@ -162,7 +162,7 @@ def test_shards_are_read_where_they_are(spark, folder, tmp_path):
     built.files.write.parquet(str(bare / "files"))
     built.meta.write.parquet(str(bare / "dataset_meta"))
     copied = datasets.materialize(spark, str(bare), str(tmp_path / "one"), part_rows=20)
-    assert len(copied.samples.inputFiles()) <= 4
+    assert len(copied.samples.inputFiles()) <= max(4, spark.sparkContext.defaultParallelism)
     assert_derived(copied.samples, NAMES, folder, spec)
     assert copied.meta_dict()["source_shard_dir"] == f"{bare}/samples"
     # shards elsewhere, and no record of them
