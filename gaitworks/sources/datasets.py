@@ -25,7 +25,7 @@ from gaitworks.functions.text import path_stem
 from gaitworks.operators.checks import raise_if_any, reconcile
 from gaitworks.operators.indexing import attach_offset, with_offsets
 from gaitworks.operators.joins import join_lookup
-from gaitworks.session import stored
+from gaitworks.session import setting, stored
 from gaitworks.sources import storage
 
 SAMPLES, FILES, META = "samples", "files", "dataset_meta"
@@ -123,6 +123,20 @@ def _clear_older(spark: SparkSession, path: str, newest: str) -> None:
                 target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _read(spark: SparkSession, *paths: str) -> DataFrame:
+    """A table of any number of folders, listed by a few tasks for each core.
+
+    Left alone, the engine lists up to 10,000 folders with a task for each, and
+    starting a task takes far longer than listing a shard.
+    """
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", _few_tasks(spark)):
+        return spark.read.parquet(*paths)
+
+
+def _few_tasks(spark: SparkSession) -> int:
+    return spark.sparkContext.defaultParallelism * 4
+
+
 def write_consolidated(
     samples: DataFrame,
     files: DataFrame,
@@ -175,15 +189,17 @@ def _finish(spark: SparkSession, files: DataFrame, path: str, target: str, meta:
     if "file_offset" not in files.columns:
         files = with_offsets(files)
     files.write.parquet(f"{target}/{FILES}")
-    written = spark.read.parquet(f"{target}/{SAMPLES}")
+    written = _read(spark, f"{target}/{SAMPLES}")
     stored = spark.read.parquet(f"{target}/{FILES}")
     if verify:
-        raise_if_any(reconcile(written.select("file_idx", "sample_idx"), stored), "rows written differ from rows declared")
+        # positions are a small part of the samples, so that a task takes those of many shards
+        places = written.select("file_idx", "sample_idx").coalesce(_few_tasks(spark))
+        raise_if_any(reconcile(places, stored), "rows written differ from rows declared")
     total = stored.agg(F.coalesce(F.sum("num_samples"), F.lit(0)), F.count("*")).first()
     values = {"num_samples": total[0], "source_files": total[1], **meta}
     meta_table(spark, values).write.parquet(f"{target}/{META}")
     _clear_older(spark, path, target)
-    return _opened(spark, path, target, required=())
+    return _opened(spark, path, target, required=(), samples=written)
 
 
 def write_shards(
@@ -224,15 +240,22 @@ def read_dataset(spark: SparkSession, path: str, required: tuple[str, ...] = ("a
     return _opened(spark, path, current(path), required)
 
 
-def _opened(spark: SparkSession, path: str, folder: str, required: tuple[str, ...]) -> Dataset:
-    samples = spark.read.parquet(f"{folder}/{SAMPLES}").withColumn("file_idx", F.col("file_idx").cast("long"))
+def _opened(
+    spark: SparkSession, path: str, folder: str, required: tuple[str, ...], samples: DataFrame | None = None
+) -> Dataset:
+    """``samples`` are those of the folder where they have been listed already."""
+    samples = _read(spark, f"{folder}/{SAMPLES}") if samples is None else samples
+    samples = samples.withColumn("file_idx", F.col("file_idx").cast("long"))
     files = spark.read.parquet(f"{folder}/{FILES}")
     meta = spark.read.parquet(f"{folder}/{META}")
     lacking = [name for name in required if name not in samples.columns]
     lacking += [name for name in ("name", "file_offset", "num_samples") if name not in files.columns]
     if lacking:
         raise KeyError(f"dataset {path} lacks {lacking}")
-    return Dataset(samples, files, meta, path, folder)
+    total = files.agg(F.coalesce(F.sum("num_samples"), F.lit(0))).first()[0]
+    # small shards share a task; large ones have more than one for each part of the samples
+    tasks = max(_few_tasks(spark), math.ceil(total / PART_ROWS))
+    return Dataset(samples.coalesce(tasks), files, meta, path, folder)
 
 
 def rows_between(dataset: Dataset, start: int, end: int) -> DataFrame:
@@ -396,7 +419,7 @@ def scan_shards(places: DataFrame) -> DataFrame:
         parents = [row["parent"] for row in parts.select("parent").distinct().collect()]
         found = []
         for parent in parents:
-            samples = spark.read.parquet(parent).withColumn("file_idx", F.col("file_idx").cast("long"))
+            samples = _read(spark, parent).withColumn("file_idx", F.col("file_idx").cast("long"))
             wanted = parts.where(F.col("parent") == parent).select(F.col("file_idx").cast("long").alias("file_idx"))
             # the folder may hold shards that the dataset does not name
             found.append(join_lookup(samples, wanted, ["file_idx"], F.col("sample_idx"), "left_semi"))
@@ -405,7 +428,7 @@ def scan_shards(places: DataFrame) -> DataFrame:
         paths = [row["path"] for row in parts.select("path").collect()]
         file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
         folder = F.regexp_replace(file, "/[^/]*$", "")
-        samples = spark.read.parquet(*paths).withColumn("_folder", _plain_path(folder))
+        samples = _read(spark, *paths).withColumn("_folder", _plain_path(folder))
         # a folder may be spelled as a partition of another file
         samples = samples.select("_folder", *[c for c in samples.columns if c not in ("file_idx", "_folder")])
         owners = parts.select(_plain_path(F.col("path")).alias("_folder"), F.col("file_idx").cast("long").alias("file_idx"))

@@ -4,6 +4,7 @@ import io
 import os
 import re
 import shutil
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -210,6 +211,47 @@ def test_presence_is_a_listing_of_folders(spark, tmp_path, monkeypatch):
     assert found == [*cases.values(), False, False, True]
 
 
+def _tasks_of(spark, work):
+    """The number of tasks of each stage that some work runs."""
+    context, group = spark.sparkContext, f"tasks-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(group)]
+    stages = [tracker.getStageInfo(stage) for job in jobs for stage in job.stageIds]
+    return [stage.numTasks for stage in stages if stage]
+
+
+def test_many_small_shards_take_few_tasks(spark, tmp_path):
+    shards, few = 150, spark.sparkContext.defaultParallelism * 4
+    samples = spark.range(shards).select(F.col("id").alias("file_idx"), F.lit(0).cast("long").alias("sample_idx"), F.array(F.col("id").cast("float")).alias("state"))
+    files = spark.range(shards).select(F.col("id").alias("file_idx"), F.concat(F.lit("f"), "id").alias("name"), F.lit(1).cast("long").alias("num_samples"))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    before, found = spark.conf.get(key), []
+
+    def work():
+        path = str(tmp_path / "shards")
+        found.append(datasets.write_shards(samples, files, path).samples)
+        found.append(datasets.read_dataset(spark, path, ("state",)).samples)
+        found.append(datasets.materialize(spark, path, str(tmp_path / "compact")).samples)
+        for rows in found:
+            assert sorted((r["file_idx"], r["sample_idx"], r["state"][0]) for r in rows.collect()) == [(i, 0, float(i)) for i in range(shards)]
+
+    try:
+        # a partition of the scan for each shard
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        tasks = _tasks_of(spark, work)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert max(tasks) <= few
+    assert spark.conf.get(key) == before
+
+
 def test_a_flat_folder_is_listed_in_batches(spark, tmp_path):
     for number in range(2500):
         (tmp_path / f"rec_{number:05d}.npz").touch()
