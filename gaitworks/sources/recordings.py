@@ -122,9 +122,11 @@ def profile(files: DataFrame, tasks: int | None = None) -> DataFrame:
                 rows.append({**row, "num_bytes": size, "fields": fields})
             yield pa.RecordBatch.from_pylist(rows, schema=_PROFILE_ARROW)
 
-    tasks = tasks or files.sparkSession.sparkContext.defaultParallelism * 4
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    tasks = tasks or cores * 4
     named = files.select("file_idx", "name", "path").repartition(tasks, "file_idx")
-    return materialized(named.mapInArrow(read, PROFILE_SCHEMA))
+    # headers wait for storage, in many tasks; what is made of them is small, and many jobs read it
+    return materialized(named.mapInArrow(read, PROFILE_SCHEMA)).coalesce(min(tasks, cores))
 
 
 _PROFILE_ARROW = pa.schema(
