@@ -14,12 +14,14 @@ from gaitworks.catalog.registry import query, table
 from gaitworks.catalog.snapshots import STATE
 from gaitworks.functions import text
 from gaitworks.operators import logs
-from gaitworks.session import scratch_path
+from gaitworks.session import scratch_path, setting
 from gaitworks.sources import projects, snapshots
 
 _written: dict[tuple[str, str, str], str] = {}
 #: Items in a JSON document.
 ITEMS = 2000
+#: Of files' contents that a Python worker gets at a time.
+BATCH_BYTES = 4 << 20
 
 
 def _write(target: str):
@@ -30,14 +32,15 @@ def _write(target: str):
 
         made: set[str] = set()
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, inner = storage.resolve(f"{target}/{name}")
+            # one name and text at a time, the text as it lies in the batch
+            for name, content in zip(batch.column(0), batch.column(1)):
+                system, inner = storage.resolve(f"{target}/{name.as_py()}")
                 parent = inner.rsplit("/", 1)[0]
                 if parent not in made:
                     system.create_dir(parent, recursive=True)
                     made.add(parent)
                 with system.open_output_stream(inner) as out:
-                    out.write(content.encode())
+                    out.write(content.as_buffer())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     return write
@@ -49,7 +52,8 @@ def written(spark: SparkSession, folder: str, kind: str, files) -> str:
     if key not in _written:
         target = scratch_path(spark, kind)
         rows = files(spark, folder).repartition(spark.sparkContext.defaultParallelism, "name")
-        rows.mapInArrow(_write(target), "n long").agg(F.sum("n")).collect()
+        with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+            rows.mapInArrow(_write(target), "n long").agg(F.sum("n")).collect()
         _written[key] = target
     return _written[key]
 

@@ -4,6 +4,7 @@ import base64
 import json
 import random
 import re
+import tracemalloc
 from collections import Counter
 from datetime import date, datetime, timezone
 from decimal import Decimal
@@ -358,6 +359,26 @@ def test_project_manifest(spark, tmp_path):
     assert all(content == base64.b64encode(path.encode() * 50).decode() for path, content in found.items())
 
 
+@pytest.mark.parametrize("texts", [["\u0436" * 500_000 + str(i) for i in range(30)] + ["", "a\r\nb"], ["", ""]])
+def test_files_are_written_without_a_copy_of_their_batch(tmp_path, texts):
+    import pyarrow as pa
+
+    from gaitworks.catalog import documents
+
+    names = [f"a/{i}.txt" for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "content"])
+    tracemalloc.start()
+    try:
+        made = list(documents._write(str(tmp_path))([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [b.to_pydict() for b in made] == [{"n": [len(texts)]}]
+    assert [(tmp_path / name).read_bytes() for name in names] == [text_.encode() for text_ in texts]
+    # 30 MB of text: much less than one in ten of it was ever held beside the batch
+    assert peak < 2_000_000
+
+
 @pytest.mark.parametrize("tile", [3, 128])
 def test_matrix_product(spark, tile):
     rng = np.random.default_rng(tile)
